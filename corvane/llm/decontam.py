@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import repeat
+from itertools import chain, repeat
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import col, settle
@@ -19,7 +19,7 @@ BLOCK_WINDOWS = 50_000
 _PLAIN = bytes(
     c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256)
 )
-HITS = "__k string, n_words long, n_hit long, items array<string>, spans array<struct<start:long,end:long>>, words array<struct<start:long,end:long>>"
+HITS = "n_words long, n_hit long, items array<string>, spans array<struct<start:long,end:long>>, words array<struct<start:long,end:long>>"
 
 
 def plain_words(text: str | None) -> list[bytes]:
@@ -92,16 +92,14 @@ def original_spans(text: str, runs: list[tuple[int, int]]) -> list[tuple[int, in
     return spans
 
 
-def _blocks(items: DataFrame, id_col: str, text_col: str, width: int, most: int) -> Iterator[tuple[tuple[str, str], ...]]:
-    """The items, read one after another, in blocks of a bounded number of windows; only one block is held at a time.
+def _blocks(items: DataFrame, width: int, most: int) -> Iterator[tuple[tuple[str, str], ...]]:
+    """The items (i, t), read one after another, in blocks of a bounded number of windows; only one block is held at a time.
 
     An item of more windows than a block is a block of its own.
     """
     held: list[tuple[str, str]] = []
     count = 0
-    for row in items.select(col(id_col).cast("string").alias("i"), col(text_col).alias("t")).filter("t is not null").toLocalIterator():
-        if row["i"] is None:
-            continue
+    for row in items.filter("i is not null and t is not null").toLocalIterator():
         n = max(0, len(plain_words(row["t"])) - width + 1) or 1
         if held and count + n > most:
             yield tuple(sorted(held))
@@ -112,30 +110,23 @@ def _blocks(items: DataFrame, id_col: str, text_col: str, width: int, most: int)
         yield tuple(sorted(held))
 
 
-def _scan(docs: DataFrame, shared, width: int) -> DataFrame:
-    """docs (__k, __text) -> the rows of HITS; map only."""
+def _scan(text: Column, shared, width: int) -> Column:
+    """The struct HITS of a text; no shuffle."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf(HITS)
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         search = _searcher(shared.value, width)
-        for batch in batches:
+        for texts in batches:
             rows = []
-            for key, text in zip(batch["__k"], batch["__text"], strict=True):
+            for text in texts:
                 parts = plain_words(text)
                 runs, names = search.scan(parts)
                 spans = original_spans(text, runs) if runs else []
-                rows.append(
-                    (
-                        key,
-                        len(parts),
-                        sum(b - a for a, b in runs),
-                        sorted(names),
-                        [{"start": a, "end": b} for a, b in spans],
-                        [{"start": a, "end": b} for a, b in runs],
-                    )
-                )
-            yield pd.DataFrame(rows, columns=["__k", "n_words", "n_hit", "items", "spans", "words"])
+                dicts = [[{"start": a, "end": b} for a, b in x] for x in (spans, runs)]
+                rows.append((len(parts), sum(b - a for a, b in runs), sorted(names), *dicts))
+            yield pd.DataFrame(rows, columns=["n_words", "n_hit", "items", "spans", "words"])
 
-    return docs.mapInPandas(run, HITS)
+    return run(text)
 
 
 def contamination(
@@ -156,33 +147,42 @@ def contamination(
     Benchmarks of up to ``block_windows`` windows need one pass and no shuffle. Larger ones are broadcast block by
     block; what the blocks find in a text is merged by a join on the text's digest, so memory stays bounded.
     """
-    spark = docs.sparkSession
-    blocks = _blocks(items, item_id_col, item_text_col, width, block_windows)
+    rows, hits = _found(docs, col(text_col), items.select(col(item_id_col).cast("string").alias("i"), col(item_text_col).alias("t")), width, block_windows)
+    return rows.select(col(id_col).alias("doc_id"), *(hits[n].alias(n) for n in ("n_words", "n_hit", "items", "spans")), _flag(hits).alias("contaminated"))
+
+
+def flagged(docs: DataFrame, items: DataFrame, flag: str, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", width: int = WINDOW, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
+    """docs with a column that is true for contaminated rows; see contamination()."""
+    rows, hits = _found(docs, col(text_col), items.select(col(item_id_col).cast("string").alias("i"), col(item_text_col).alias("t")), width, block_windows)
+    return rows.select(*(col(c) for c in docs.columns), _flag(hits).alias(flag))
+
+
+def _flag(hits: Column) -> Column:
+    return (hits["n_hit"] > 0) & (20 * hits["n_hit"] >= hits["n_words"])
+
+
+def _found(docs: DataFrame, text: Column, items: DataFrame, width: int, most: int) -> tuple[DataFrame, Column]:
+    """docs with one more column, and that column: what was found in each text."""
+    spark, name = docs.sparkSession, "__corvane_hits"
+    blocks = _blocks(items, width, most)
     first, second = next(blocks, ()), next(blocks, None)
-    wrap = F.to_json(F.struct(col(id_col).alias("i")))  # keeps a null id and the id's type apart from the scan
-    kind = dict(docs.dtypes)[id_col]
     if second is None:
-        out = _scan(docs.select(wrap.alias("__k"), col(text_col).alias("__text")), spark.sparkContext.broadcast(first), width)
-        out = out.select(F.from_json("__k", f"i {kind}").getField("i").alias("doc_id"), "n_words", "n_hit", "items", "spans")
-    else:
-        digest = F.sha2(F.coalesce(col(text_col), F.lit("")), 256)
-        base = settle(docs.select(col(id_col).alias("doc_id"), digest.alias("__k")))
-        texts = docs.select(digest.alias("__k"), col(text_col).alias("__text"))
-        found = None
-        for block in (first, second):
-            part = settle(_scan(texts, spark.sparkContext.broadcast(block), width).dropDuplicates(["__k"]))
-            found = part if found is None else found.unionByName(part)
-        for block in blocks:
-            found = found.unionByName(settle(_scan(texts, spark.sparkContext.broadcast(block), width).dropDuplicates(["__k"])))
-        merged = found.groupBy("__k").agg(
-            F.max("n_words").alias("n_words"),
-            F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
-            _merged("words").alias("w"),
-            _merged("spans").alias("spans"),
-        )
-        hit = F.aggregate("w", F.lit(0).cast("long"), lambda s, x: s + x.end - x.start)
-        out = base.join(merged, "__k").select("doc_id", "n_words", hit.alias("n_hit"), "items", "spans")
-    return out.withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
+        return docs.withColumn(name, _scan(text, spark.sparkContext.broadcast(first), width)), F.col(name)
+    digest = F.sha2(F.coalesce(text, F.lit("")), 256)
+    texts = docs.select(digest.alias("k"), text.alias("t"))
+    found = None
+    for block in chain((first, second), blocks):
+        part = settle(texts.select("k", _scan(F.col("t"), spark.sparkContext.broadcast(block), width).alias("x")).select("k", "x.*").dropDuplicates(["k"]))
+        found = part if found is None else found.unionByName(part)
+    merged = found.groupBy("k").agg(
+        F.max("n_words").alias("n_words"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
+        _merged("words").alias("words"),
+        _merged("spans").alias("spans"),
+    )
+    hit = F.aggregate("words", F.lit(0).cast("long"), lambda s, x: s + x.end - x.start)
+    merged = merged.select(F.col("k").alias("__corvane_k"), F.struct("n_words", hit.alias("n_hit"), "items", "spans").alias(name))
+    return docs.withColumn("__corvane_k", digest).join(merged, "__corvane_k"), F.col(name)
 
 
 def _merged(name: str):

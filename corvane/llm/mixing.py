@@ -5,7 +5,7 @@ from __future__ import annotations
 import heapq
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -102,65 +102,100 @@ def flow(groups: Sequence[tuple[tuple, int]], quotas: dict, repeats: int = REPEA
     return {pattern: sum(e[3][1] for e in edges) for pattern, edges in offers.items()}
 
 
-def mix(
-    docs: DataFrame,
-    members: Column,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    carry: dict[str, Column] | None = None,
-    weights: dict[str | None, float] | None = None,
-    repeats: int = REPEATS,
-    seed: str = SEED,
-    most_patterns: int = MOST_PATTERNS,
-) -> tuple[DataFrame, DataFrame]:
-    """(rows, sources): rows one per document with doc_id, size, members, copies, taken and the ``carry`` columns; sources with
-    source, source_size and target.
+def _measured(docs: DataFrame, members: Column, id_col: str, text_col: str, seed: str, carry: dict[str, Column]) -> DataFrame:
+    """docs as doc_id, size, members (distinct, by code point, null last), __o (the seeded order) and the carried columns."""
+    both_null, a_null = lambda a, b: a.isNull() & b.isNull(), lambda a: a.isNull()
+    by = lambda a, b: F.when(both_null(a, b), 0).when(a_null(a), 1).when(a_null(b), -1).when(a < b, -1).when(a > b, 1).otherwise(0)
+    unique = F.coalesce(F.array_sort(F.array_distinct(members), by), F.array().cast("array<string>"))
+    order = F.md5(F.concat_ws("|", F.lit(seed), F.coalesce(col(id_col).cast("string"), F.lit(""))))
+    return docs.select(col(id_col).alias("doc_id"), n_words(col(text_col)).alias("size"), unique.alias("members"), order.alias("__o"), *(c.alias(n) for n, c in carry.items()))
+
+
+def _first_member(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("members", F.slice("members", 1, 1))
+
+
+class Mix:
+    """The plan of a mix: which documents are taken how often, as a small table by membership pattern.
 
     ``members`` is the array of sources of a document; a null source is a source of its own and comes last. A
-    document of several sources adds its size to each of them. Every pattern gives what the flow asks: whole rounds of all its documents, then documents in
-    a seeded order while they fit, then the one document that comes nearest to what is still open. The cut is found
-    from sums by leading digits of that order, so only the documents of one 4096th of a pattern are ever sorted; a hot
-    source costs no single task. Null and blank texts
-    have size 0 and are never taken. Repeated rows are documents of their own. Empty tables give empty tables.
-    Reruns agree, whatever the partitioning: the order hangs on the seed, the id and the size alone.
+    document of several sources adds its size to each of them. Every pattern gives what the flow asks: whole rounds
+    of all its documents, then documents in a seeded order while they fit, then the one document that comes nearest
+    to what is still open. The cut is found from sums by leading digits of that order, so only the documents of one
+    4096th of a pattern are ever sorted, and a hot source costs no single task. A row of the plan holds the last
+    place of the order that is in, so it applies to the texts themselves without a shuffle.
+
+    Null and blank texts have size 0 and are never taken, nor are documents without members. Rows with one id and
+    size are in or out together. Empty tables give empty results. Reruns agree, whatever the partitioning: the order
+    hangs on the seed and the id alone.
     """
-    spark, carry = docs.sparkSession, carry or {}
-    unique = F.array_sort(F.array_distinct(members), lambda a, b: F.when(a.isNull(), F.when(b.isNull(), 0).otherwise(1)).when(b.isNull(), -1).when(a < b, -1).when(a > b, 1).otherwise(0))
-    rows = settle(docs.select(col(id_col).alias("doc_id"), n_words(col(text_col)).alias("size"), unique.alias("members"), *(c.alias(n) for n, c in carry.items())))
-    groups = rows.groupBy("members").agg(F.sum("size").alias("n"))
-    if groups.limit(most_patterns + 1).count() > most_patterns:
-        rows = rows.withColumn("members", F.slice("members", 1, 1))
-        groups = rows.groupBy("members").agg(F.sum("size").alias("n"))
-    known = [(tuple(r["members"] or ()), int(r["n"])) for r in groups.toLocalIterator()]
-    sizes: dict[str | None, int] = {}
-    for pattern, n in known:
-        for s in pattern:
-            sizes[s] = sizes.get(s, 0) + n
-    wanted = targets(sizes, weights, repeats)
-    taken = flow(sorted(known, key=lambda g: [(s is None, s or "") for s in g[0]]), wanted, repeats)
-    plan = spark.createDataFrame(
-        [(list(p), n, n and taken.get(p, 0) // n, n and taken.get(p, 0) % n) for p, n in known],
-        "members array<string>, n long, full long, rest long",
-    )
-    order = F.md5(F.concat_ws("|", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    dealt = rows.withColumn("__o", order).withColumn("__b", F.substring("__o", 1, CUT_DIGITS))
-    sums = dealt.groupBy("members", "__b").agg(F.sum("size").alias("s"))
-    upto = W.partitionBy("members").orderBy("__b").rowsBetween(W.unboundedPreceding, -1)
-    cuts = sums.withColumn("before", F.coalesce(F.sum("s").over(upto), F.lit(0))).join(plan, "members")
-    cuts = cuts.filter("before < rest and before + s >= rest").select("members", F.col("__b").alias("cut"), "before")
-    plan = settle(plan.join(cuts, "members", "left"))
-    few = F.broadcast if len(known) <= most_patterns else lambda x: x
-    placed = dealt.join(few(plan), "members")
-    whole = placed.filter("cut is null or __b <> cut").withColumn("__in", F.coalesce(F.col("__b") < F.col("cut"), F.lit(False)))
-    run = W.partitionBy("members").orderBy("__o", "doc_id", "size").rowsBetween(W.unboundedPreceding, 0)
-    edge = placed.filter("__b = cut").withColumn("__in", F.col("before") + F.sum("size").over(run) <= F.col("rest"))
-    chosen = whole.unionByName(edge)
-    open_ = chosen.groupBy("members").agg((F.first("rest") - F.coalesce(F.sum(F.when(F.col("__in"), F.col("size"))), F.lit(0))).alias("gap"))
-    last = chosen.filter("not __in and size > 0").join(few(settle(open_)), "members").filter("abs(size - gap) < gap")
-    last = last.groupBy("members").agg(F.min(F.struct(F.abs(F.col("size") - F.col("gap")).alias("off"), "__o", "size")).alias("__last"))
-    ended = chosen.join(few(settle(last)), "members", "left")
-    also = F.coalesce(~F.col("__in") & (F.col("__o") == F.col("__last.__o")) & (F.col("size") == F.col("__last.size")), F.lit(False))
-    out = ended.withColumn("copies", F.when(F.col("size") > 0, F.col("full") + (F.col("__in") | also).cast("long")).otherwise(F.lit(0)))
-    rows = out.select("doc_id", "size", "members", "copies", (F.col("copies") * F.col("size")).alias("taken"), *carry)
-    sources = spark.createDataFrame([(s, sizes[s], wanted[s]) for s in sizes], "source string, source_size long, target double")
-    return rows, sources
+
+    def __init__(self, docs: DataFrame, members: Column, id_col: str = "doc_id", text_col: str = "text", weights: dict[str | None, float] | None = None, repeats: int = REPEATS, seed: str = SEED, most_patterns: int = MOST_PATTERNS):
+        spark = docs.sparkSession
+        self._how = (members, id_col, text_col, seed)
+        self.rows = settle(_measured(docs, *self._how, {}))
+        groups = self.rows.groupBy("members").agg(F.sum("size").alias("n"))
+        self.reduced = groups.limit(most_patterns + 1).count() > most_patterns
+        if self.reduced:
+            self.rows = _first_member(self.rows)
+            groups = self.rows.groupBy("members").agg(F.sum("size").alias("n"))
+        known = [(tuple(r["members"]), int(r["n"])) for r in groups.toLocalIterator()]
+        self._few = F.broadcast if len(known) <= most_patterns else lambda x: x
+        self.sizes: dict[str | None, int] = {}
+        for pattern, n in known:
+            for s in pattern:
+                self.sizes[s] = self.sizes.get(s, 0) + n
+        self.targets = targets(self.sizes, weights, repeats)
+        taken = flow(sorted(known, key=lambda g: [(s is None, s or "") for s in g[0]]), self.targets, repeats)
+        asked = spark.createDataFrame(
+            [(list(p), n and taken.get(p, 0) // n, n and taken.get(p, 0) % n) for p, n in known], "members array<string>, full long, rest long"
+        )
+        self.plan = settle(self._bounded(asked))
+
+    def _bounded(self, asked: DataFrame) -> DataFrame:
+        """asked with (upto_o, upto_size), the last place that is in, and (last_o, last_size), the document taken besides."""
+        dealt = self.rows.withColumn("__b", F.substring("__o", 1, CUT_DIGITS))
+        sums = dealt.groupBy("members", "__b").agg(F.sum("size").alias("s"))
+        upto = W.partitionBy("members").orderBy("__b").rowsBetween(W.unboundedPreceding, -1)
+        cuts = sums.withColumn("before", F.coalesce(F.sum("s").over(upto), F.lit(0))).join(asked, "members")
+        cuts = settle(cuts.filter("before < rest and before + s >= rest").select("members", "before", "rest", F.col("__b").alias("cut")))
+        near = dealt.join(self._few(cuts), (dealt["__b"] == cuts["cut"]) & (dealt["members"] == cuts["members"])).drop(dealt["members"])
+        run = W.partitionBy("members").orderBy("__o", "size").rangeBetween(W.unboundedPreceding, W.currentRow)
+        fits = near.withColumn("c", F.col("before") + F.sum("size").over(run)).filter("c <= rest")
+        place = fits.groupBy("members").agg(F.max(F.struct("__o", "size", "c")).alias("p"))
+        bound = cuts.join(place, "members", "left").select(
+            "members",
+            F.coalesce("p.__o", "cut").alias("upto_o"),  # the bare digits come before all that start with them
+            F.coalesce("p.size", F.lit(0)).alias("upto_size"),
+            (F.col("rest") - F.coalesce("p.c", "before")).alias("gap"),
+        )
+        bound = settle(bound)
+        out = self.rows.join(self._few(bound), "members").filter("size > 0 and abs(size - gap) < gap").filter(~_within())
+        best = out.groupBy("members").agg(F.min(F.struct(F.abs(F.col("size") - F.col("gap")).alias("off"), "__o", "size")).alias("b"))
+        best = best.select("members", F.col("b.__o").alias("last_o"), F.col("b.size").alias("last_size"))
+        return asked.drop("rest").join(bound.drop("gap"), "members", "left").join(best, "members", "left")
+
+    def _taken(self, rows: DataFrame) -> DataFrame:
+        rows = rows.join(self._few(self.plan), "members")
+        more = _within() | F.coalesce((F.col("__o") == F.col("last_o")) & (F.col("size") == F.col("last_size")), F.lit(False))
+        copies = F.when(F.col("size") > 0, F.col("full") + more.cast("long")).otherwise(F.lit(0))
+        return rows.withColumn("copies", copies).drop(*(c for c in self.plan.columns if c != "members"))
+
+    def chosen(self) -> DataFrame:
+        """One row per document: doc_id, size, members, copies, taken (words, repeats counted)."""
+        return self._taken(self.rows).select("doc_id", "size", "members", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+
+    def copies(self, docs: DataFrame, carry: dict[str, Column]) -> DataFrame:
+        """The carried columns of docs, each row as often as the mix takes it."""
+        rows = _measured(docs, *self._how, carry)
+        rows = self._taken(_first_member(rows) if self.reduced else rows).filter("copies > 0")
+        return rows.withColumn("__again", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*carry)
+
+    def sources(self, spark: SparkSession) -> DataFrame:
+        """source, source_size, target."""
+        return spark.createDataFrame([(s, self.sizes[s], self.targets[s]) for s in self.sizes], "source string, source_size long, target double")
+
+
+def _within() -> Column:
+    o, size = F.col("__o"), F.col("size")
+    return F.coalesce((o < F.col("upto_o")) | ((o == F.col("upto_o")) & (size <= F.col("upto_size"))), F.lit(False))

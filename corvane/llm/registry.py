@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, mixing, quality, secrets, simhash
-from .common import table
+from . import decontam, langid, mixing, pii, preference, quality, secrets, sharding, simhash, warc
+from .common import fresh_dir, table
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,9 +33,10 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows, sources = mixing.mix(table(spark, sf_dir, "documents"), F.array(F.col("source").cast("string")))
-    one = rows.withColumn("s", F.try_element_at("members", F.lit(1)))
-    return one.join(sources, one["s"].eqNullSafe(sources["source"])).select("doc_id", "size", "source_size", "target", "taken")
+    mix = mixing.Mix(table(spark, sf_dir, "documents"), F.array(F.col("source").cast("string")))
+    rows = mix.chosen().withColumn("s", F.try_element_at("members", F.lit(1)))
+    sources = mix.sources(spark)
+    return rows.join(sources, rows["s"].eqNullSafe(sources["source"])).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,7 +56,67 @@ def op8_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where each document lies after one arrival and compaction."""
+    store = sharding.Store(spark, fresh_dir(spark, "store"), small=8 << 20, target=64 << 20)
+    store.append(table(spark, sf_dir, "documents"))
+    store.compact()
+    store.vacuum()
+    return store.placed()
+
+
+def op4_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = pii.surrogates(table(spark, sf_dir, "documents"))
+    count = lambda *k: F.size(F.filter("entities", lambda x: x.kind.isin(*k))).cast("long")
+    return done.select(
+        "doc_id",
+        F.size("entities").cast("long").alias("n_entities"),
+        count("email").alias("n_email"),
+        count("ip").alias("n_ip"),
+        count("phone", "local_phone").alias("n_phone"),
+        count("card", "iban", "ssn").alias("n_number"),
+        count("name").alias("n_name"),
+        "distinct_kept",
+        "text",
+    )
+
+
+def op9_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    at = fresh_dir(spark, "warc")
+    warc.write(table(spark, sf_dir, "pages"), at)
+    return warc.captures(spark, at)
+
+
+def op10_preference_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations 2k and 2k + 1 as chosen and rejected; the texts are told by their digests."""
+    pair, rejected = F.floor(F.col("conv_id") / F.lit(2)), F.col("conv_id") % 2 != 0
+    rows = preference.pairs(table(spark, sf_dir, "conversations"), pair, rejected)
+    mask = lambda c: F.array_join(F.transform(c, lambda x: F.concat_ws(":", x.start, x.end)), ",")
+    return rows.select(
+        "pair_id",
+        "chosen_id",
+        "rejected_id",
+        "prompt_turns",
+        "chosen_turns",
+        "rejected_turns",
+        *(F.sha2(c, 256).alias(f"{c}_sha256") for c in ("prompt", "chosen", "rejected")),
+        mask("chosen_mask").alias("chosen_mask"),
+        mask("rejected_mask").alias("rejected_mask"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality_rules, op2_secret_scan, op5_language_id, op6_source_mixing, op7_decontamination, op8_simhash_dedup)
+    f.__name__: f for f in (
+        op1_quality_rules,
+        op2_secret_scan,
+        op3_sharding,
+        op4_pii_surrogates,
+        op5_language_id,
+        op6_source_mixing,
+        op7_decontamination,
+        op8_simhash_dedup,
+        op9_warc_transactions,
+        op10_preference_pairs,
+    )
 }
 ORACLE: dict[str, str] = {}

@@ -89,7 +89,9 @@ def links(prints: DataFrame) -> DataFrame:
 
 
 def clusters(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: dict[str, Column] | None = None) -> DataFrame:
-    """One row per document: the id, fp (long), component_id, and the ``carry`` columns computed from docs.
+    """One row per document: doc_id, fp (long), root, component_id, and the ``carry`` columns computed from docs.
+
+    root is the least fingerprint of the component and component_id the least id.
 
     Null and blank texts have fingerprint zero and link like any other. Equal texts meet in one fingerprint before
     any bucket is built, so copies cost nothing. Repeated rows stay as they are; a null id takes part in linking but
@@ -101,6 +103,5 @@ def clusters(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ca
     linked = components(links(prints.select("fp")))
     named = prints.join(linked.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    return rows.join(named.select("fp", "component").join(least, "component").select("fp", "component_id"), "fp").select(
-        "doc_id", "fp", "component_id", *carry
-    )
+    ends = named.select("fp", "component").join(least, "component").select("fp", F.col("component").alias("root"), "component_id")
+    return rows.join(ends, "fp").select("doc_id", "fp", "root", "component_id", *carry)
