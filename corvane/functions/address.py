@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 #: Characters that a glob reads as its own; in a literal address they are percent-encoded.
 META = "*?[{;"
+#: Characters whose percent escapes a glob takes for the character itself.
+ESCAPED = META + "]}!,"
 
 
 def _quoted(text: str) -> str:
@@ -23,7 +25,7 @@ def _quoted(text: str) -> str:
 
 def _decoded(text: str) -> str:
     """Percent escapes of glob characters become the characters; any other ``%`` is itself."""
-    return re.sub("%([0-9A-Fa-f]{2})", lambda m: chr(int(m[1], 16)) if chr(int(m[1], 16)) in META + "]}!," else m[0], text)
+    return re.sub("%([0-9A-Fa-f]{2})", lambda m: chr(int(m[1], 16)) if chr(int(m[1], 16)) in ESCAPED else m[0], text)
 
 
 def _parts(glob: str) -> list[tuple[str, str]]:
@@ -184,14 +186,14 @@ def matches_glob(uri: Column, pattern: Column) -> Column:
     terms = F.filter(F.transform(F.split(pattern, ";"), lambda t: F.trim(t)), lambda t: t != "")
     inc = F.filter(terms, lambda t: ~t.startswith("!"))
     exc = F.transform(F.filter(terms, lambda t: t.startswith("!")), lambda t: F.substring(t, F.lit(2), F.length(t)))
-    hit = lambda t: uri.rlike(pattern_regex(t))
+    hit = lambda t: F.regexp_like(uri, pattern_regex(t))
     return ((F.size(inc) == 0) | F.exists(inc, hit)) & ~F.exists(exc, hit)
 
 
 def pattern_regex(term: Column) -> Column:
     """glob_regex() as a column, for the wildcards of matches_glob()."""
     safe = F.regexp_replace(term, r"([.^$+(){}\[\]|\\])", r"\\$1")
-    for char in META:
+    for char in ESCAPED:
         safe = F.replace(safe, F.lit(f"%{ord(char):X}"), F.lit(f"\\{char}"))
     marks = (("/**/", "\u0001"), ("**", "\u0002"), ("\\*", "\u0003"), ("\\?", "\u0004"), ("*", "[^/]*"), ("?", "[^/]"))
     for old, new in marks:
