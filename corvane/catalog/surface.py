@@ -1 +1,190 @@
-"""Queries."""
+"""The SQL surface: dialect forms, the read-only gate, typed and tabular results, tools and scripts."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+
+from ..plans import dialect, results
+from ..plans.engine import Engine
+from ..sources import bindings as B
+from . import query
+from .relational import FILES, LISTING, MEMORY, MOUNT_SQL, mounts, values
+
+T = B.table
+
+
+def engine(spark, d) -> Engine:
+    e = Engine(spark)
+    for name in ("documents", "orders", "lineitem", "customer", "nation", "part", "events"):
+        e.register(name, T(spark, d, name))
+    e.register("Filesystems", mounts(spark))
+    e.register("Files", B.documents(spark, d))
+    return e
+
+
+def _both(name: str, sql: str, oracle: str | None = None) -> None:
+    """A statement in the external dialect, run through the engine and, as it is, by the other side."""
+    query(name, oracle or sql)(lambda spark, d: engine(spark, d).sql(sql))
+
+
+_both("p02_columns_by_predicate", "SELECT COLUMNS(c -> c IN ('uri', 'source_uri')) FROM Filesystems WHERE scheme = 'github'", f"WITH {MOUNT_SQL} SELECT uri FROM mounts WHERE scheme = 'github'")
+_both("w01_qualify", "SELECT lang, doc_id FROM documents QUALIFY row_number() OVER (PARTITION BY lang ORDER BY n_chars DESC, doc_id) <= 3")
+_both("a04_pivot_using", "PIVOT (SELECT lang, source, n_chars FROM documents) ON source IN ('src0', 'src1') USING sum(n_chars) GROUP BY lang", "SELECT lang, sum(n_chars) FILTER (WHERE source = 'src0')::BIGINT AS src0, sum(n_chars) FILTER (WHERE source = 'src1')::BIGINT AS src1 FROM documents GROUP BY lang")
+_both("f08_arrow_extract", "SELECT event_id, props ->> '$.k' AS k FROM events")
+_both("f08_json_in_where", "SELECT event_id FROM events WHERE json_extract_string(props, '$.k')::INTEGER > 50")
+_both("f03_trim_dialect", "SELECT uri, trim(path_prefix, '/') AS t, starts_with(path_prefix, 'app') AS s FROM Filesystems", f"WITH {MOUNT_SQL} SELECT uri, trim(path_prefix, '/') AS t, coalesce(starts_with(path_prefix, 'app'), false) AS s FROM mounts")
+_both("p03_from_first", "FROM nation WHERE n_regionkey = 1")
+_both("a02_filter_clause", "SELECT lang, count(*) FILTER (WHERE n_chars > 1000) AS long_ones, string_agg(DISTINCT lang, ',') AS l FROM documents GROUP BY lang")
+_both("j14_labelled_like", "SELECT CASE WHEN uri LIKE 'doc:///en/%' THEN 'en' ELSE 'other' END AS side, count(*) AS n FROM Files GROUP BY ALL", f"WITH {FILES} SELECT CASE WHEN uri LIKE 'doc:///en/%' THEN 'en' ELSE 'other' END AS side, count(*) AS n FROM files GROUP BY ALL")
+
+LISTED = """WITH repos AS (SELECT CASE WHEN kind = 'workspace' THEN 'workspace' ELSE 'import' END AS section, COLUMNS(c -> c IN ('uri', 'source_uri')), concat_ws('/', scheme, nullif(authority, ''), nullif(trim(path_prefix, '/'), '')) AS memory
+FROM Filesystems WHERE scheme NOT IN ('file', 'help', 'concept', 'vocabulary', 'worktree') AND coalesce(kind, '') NOT IN ('primary', 'worktree'))
+SELECT r.section, r.uri, count(m.uri) FILTER (WHERE starts_with(m.uri, 'concept:///' || r.memory || '/')) AS concepts FROM repos r LEFT JOIN Memory m ON starts_with(m.uri, 'concept:///' || r.memory || '/') GROUP BY r.section, r.uri"""
+
+
+@query("j02_listing_dialect", LISTING + " SELECT r.section, r.uri, count(m.uri) FILTER (WHERE starts_with(m.uri, 'concept:///' || r.memory || '/')) AS concepts FROM repos r LEFT JOIN memory_files m ON starts_with(m.uri, 'concept:///' || r.memory || '/') GROUP BY r.section, r.uri")
+def _(spark, d):
+    e = engine(spark, d)
+    e.register("Memory", spark.createDataFrame(MEMORY, "uri string, extension string, name string"))
+    return e.sql(LISTED)
+
+
+@query("s_version_fallback", f"WITH {MOUNT_SQL} SELECT uri AS line FROM mounts WHERE uri LIKE 'github://%'")
+def _(spark, d):
+    """The newer statement names a column that an older relation lacks; the older one is answered."""
+    return engine(spark, d).first_of("SELECT mounted_at, uri AS line FROM Filesystems", "SELECT uri AS line FROM Filesystems WHERE uri LIKE 'github://%'")
+
+
+GATED = [("SELECT 1", True), ("with a as (select 1) select * from a", True), ("DROP TABLE x", False), ("SELECT 1; SELECT 2", False), ("SELECT ';' AS x -- ; drop", True), ("SET a = 1", False), ("PRAGMA x", False), ("WITH a AS (SELECT 1) INSERT INTO t SELECT * FROM a", False), ("DESCRIBE SELECT 1", True), ("", False), ("EXPLAIN DELETE FROM t", False), ("SELECT 'DROP TABLE x' AS t;", True)]
+
+
+@query("p15_read_only_gate", "WITH " + values("g", "statement, passes", GATED) + " SELECT * FROM g")
+def _(spark, d):
+    def passes(sql: str) -> bool:
+        try:
+            return bool(dialect.gate(sql))
+        except dialect.Refused:
+            return False
+
+    return spark.createDataFrame([(s, passes(s)) for s, _ in GATED], "statement string, passes boolean")
+
+
+@query("p14_describe", "SELECT column_name, column_type FROM (DESCRIBE SELECT doc_id, lang, n_chars FROM documents)")
+def _(spark, d):
+    return engine(spark, d).describe("SELECT doc_id, lang, n_chars FROM documents")
+
+
+@query("p10_response_mask", "SELECT lang, doc_id FROM documents")
+def _(spark, d):
+    return results.masked(T(spark, d, "documents"), ["lang", "doc_id"])
+
+
+@query("k01_tsv_lines", "SELECT n_nationkey || chr(9) || n_name || chr(9) || n_regionkey AS line FROM nation")
+def _(spark, d):
+    return results.tsv_lines(T(spark, d, "nation").select("n_nationkey", "n_name", "n_regionkey"))
+
+
+@query("k01_tsv_result", "SELECT 0::BIGINT AS n, 'n_name' || chr(9) || 'n_regionkey' AS line UNION ALL SELECT row_number() OVER (ORDER BY n_name), n_name || chr(9) || n_regionkey FROM (SELECT * FROM nation ORDER BY n_name LIMIT 3)")
+def _(spark, d):
+    lines = list(engine(spark, d).query("SELECT n_name, n_regionkey FROM nation ORDER BY n_name LIMIT 3").tsv())[1:-1]
+    return spark.createDataFrame(list(enumerate(lines)), "n long, line string")
+
+
+@query("k02_typed_cells", "SELECT doc_id::VARCHAR AS doc_id, lang, n_chars::VARCHAR AS n_chars FROM documents")
+def _(spark, d):
+    return results.cells(T(spark, d, "documents").select("doc_id", "lang", "n_chars"))
+
+
+@query("k02_truncation", "SELECT 50::BIGINT AS returned, count(*) AS total_rows, count(*) > 50 AS truncated, 'doc_id BIGINT, lang VARCHAR' AS columns FROM documents")
+def _(spark, d):
+    r = engine(spark, d).query("SELECT doc_id, lang FROM documents", 50)
+    return spark.createDataFrame([(len(r.rows), r.total_rows, r.truncated, ", ".join(f"{n} {t}" for n, t in r.columns))], "returned long, total_rows long, truncated boolean, columns string")
+
+
+@query("t03_max_rows", "SELECT least(count(*), 200) AS returned, count(*) AS total_rows FROM events")
+def _(spark, d):
+    r = engine(spark, d).query("SELECT event_id FROM events")
+    return spark.createDataFrame([(len(r.rows), r.total_rows)], "returned long, total_rows long")
+
+
+@query("t04_default_limits", "SELECT count(*) AS n FROM (SELECT vec_id FROM embeddings LIMIT 10)")
+def _(spark, d):
+    from ..operators import search
+
+    return search.similar(T(spark, d, "embeddings"), F.col("vec_id") == 1, 0).agg(F.count("*").alias("n"))
+
+
+@query("k06_script_artifacts", "SELECT 'artifact:///langs.txt' AS uri, 'text/plain' AS media_type, 11::BIGINT AS size, 'de,en,es,fr' AS text")
+def _(spark, d):
+    done = engine(spark, d).execute("rows = query('SELECT DISTINCT lang FROM documents ORDER BY lang')\nartifact('langs.txt', ','.join([r['lang'] for r in rows]))")
+    return spark.createDataFrame([(a["uri"], a["media_type"], a["size"], a["text"]) for a in done["artifacts"]], "uri string, media_type string, size long, text string")
+
+
+SCRIPTS = [("result = sum([int(r['n_nationkey']) for r in query('SELECT n_nationkey FROM nation')])", "300", ""), ("import os", "null", "syntax"), ("result = data[9]", "null", "runtime"), ("x = 0\nfor i in range(10000000):\n    x += 1", "null", "memory"), ("result = data.__class__", "null", "syntax")]
+
+
+@query("x01_execute", "WITH " + values("s", "n, result, error", [(i, r, e) for i, (_, r, e) in enumerate(SCRIPTS)]) + " SELECT n::BIGINT AS n, result, error FROM s")
+def _(spark, d):
+    import json
+
+    e = engine(spark, d)
+    rows = []
+    for i, (script, _r, _e) in enumerate(SCRIPTS):
+        done = e.execute(script, [1, 2])
+        rows.append((i, json.dumps(done["result"]), (done["error"] or {}).get("kind", "")))
+    return spark.createDataFrame(rows, "n long, result string, error string")
+
+
+@query("x02_table_macro", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_custkey = 7")
+def _(spark, d):
+    T(spark, d, "orders").createOrReplaceTempView("corvane_orders")
+    spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION corvane_orders_of(who BIGINT) RETURNS TABLE(o_orderkey BIGINT, o_totalprice DOUBLE) RETURN SELECT o_orderkey, o_totalprice FROM corvane_orders WHERE o_custkey = who")
+    return spark.sql("SELECT * FROM corvane_orders_of(7)")
+
+
+@query("x05_tool_catalogue", "SELECT * FROM (VALUES ('query', true), ('read', true), ('explore', true), ('execute', true)) v(name, read_only)")
+def _(spark, d):
+    return engine(spark, d).tools().select("name", "read_only")
+
+
+@query("s36_tool_parameters", "SELECT * FROM (VALUES ('read', 1::BIGINT, 'address'), ('read', 2, 'token_budget')) v(name, ordinal, parameter)")
+def _(spark, d):
+    return engine(spark, d).tool_parameters().filter("name = 'read'")
+
+
+@query("x05_call_by_name", "SELECT n_name FROM nation WHERE n_nationkey < 3")
+def _(spark, d):
+    r = engine(spark, d).call("query", '{"sql": "SELECT n_name FROM nation WHERE n_nationkey < 3"}')
+    return spark.createDataFrame(r.rows, "n_name string")
+
+
+@query("f09_ask", "SELECT string_agg(line, chr(10) ORDER BY line) AS answer FROM (SELECT n_nationkey || chr(9) || n_name AS line FROM nation ORDER BY line LIMIT 3)")
+def _(spark, d):
+    e = engine(spark, d)
+    rows = T(spark, d, "nation").select("n_nationkey", "n_name")
+    lines = results.tsv_lines(rows).orderBy("line").limit(3).selectExpr("split(line, '\\t')[0] AS a", "split(line, '\\t')[1] AS b")
+    return spark.createDataFrame([(e.ask(lines, "anything", 100),)], "answer string")
+
+
+@query("f10_host_meta", "SELECT 'corvane' AS name, NULL::VARCHAR AS none")
+def _(spark, d):
+    e = engine(spark, d)
+    e.meta["name"] = "corvane"
+    return spark.createDataFrame([(e.host_meta("name"), e.host_meta("absent"))], "name string, none string")
+
+
+@query("d17_result_reuse", "SELECT true AS reused, false AS after_change")
+def _(spark, d):
+    e = engine(spark, d)
+    first = e.query("SELECT count(*) AS n FROM nation", cache_seconds=60)
+    again = e.query("SELECT  count(*) AS n\nFROM nation", cache_seconds=60)
+    e.register("extra", T(spark, d, "region"))
+    return spark.createDataFrame([(again is first, e.query("SELECT count(*) AS n FROM nation", cache_seconds=60) is first)], "reused boolean, after_change boolean")
+
+
+@query("p09_engine_read", f"WITH {FILES}, l AS (SELECT uri, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1)::BIGINT AS line_number FROM files WHERE lang = 'en') SELECT uri, line_number, line FROM l WHERE contains(lower(line), 'heron') ORDER BY uri, line_number LIMIT 100")
+def _(spark, d):
+    return engine(spark, d).read("doc:///en/** => grep: heron")
+
+
