@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from contextlib import contextmanager
+from functools import reduce
 from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,7 +14,18 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 ENTRY = "shard string, path string, tier int, docs long, bytes long"
-_RUN = "__corvane_run"
+
+
+@contextmanager
+def _separate(spark: SparkSession) -> Iterator[None]:
+    """Within it, a union keeps the single partitions of its parts apart; by default it would make one of them."""
+    name = "spark.sql.unionOutputPartitioning"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "false")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
 
 
 class Store:
@@ -70,17 +83,14 @@ class Store:
         ratio = F.greatest(size / F.lit(float(self.small)), F.lit(1.0))
         return F.ceil(F.round(F.log(ratio) / F.log(F.lit(float(self.fan_in))), 9)).cast("int")
 
-    def _written(self, folder: str, version: int, schema: T.StructType) -> DataFrame:
+    def _written(self, folder: str, version: int, schema: T.StructType, kind: str = "a") -> DataFrame:
         """ENTRY rows of the files under folder: their footers are read, their pages are not."""
         rows = self.spark.read.schema(schema).parquet(f"{self.root}/{folder}").select("_metadata.file_path", "_metadata.file_size")
-        path = F.concat(F.lit(f"{folder}/"), F.element_at(F.split("file_path", f"{folder}/"), -1))
-        run = F.regexp_extract("file_path", rf"{_RUN}=([0-9]+)/", 1)
-        name = F.when(run != "", F.concat(F.lit("m"), F.lpad(run, 6, "0"))).otherwise(F.regexp_extract("file_path", r"part-([0-9]+)", 1))
-        part = F.regexp_extract("file_path", r"(-c[0-9]+)\.", 1)  # files of one task, cut by their rows
+        path = F.concat(F.lit(f"{folder}/"), F.element_at(F.split("file_path", "/"), -1))
+        place = F.concat(F.regexp_extract("file_path", r"part-([0-9]+)", 1), F.regexp_extract("file_path", r"(-c[0-9]+)\.", 1))
         found = rows.groupBy("file_path", "file_size").agg(F.count("*").alias("docs"))
-        return found.select(
-            F.concat(F.lit(f"v{version:06d}-"), name, part).alias("shard"), path.alias("path"), self._tier(F.col("file_size")).alias("tier"), "docs", F.col("file_size").alias("bytes")
-        )
+        size = F.col("file_size")
+        return found.select(F.concat(F.lit(f"v{version:06d}-{kind}"), place).alias("shard"), path.alias("path"), self._tier(size).alias("tier"), "docs", size.alias("bytes"))
 
     def append(self, docs: DataFrame, rows_per_shard: int = 0) -> int:
         """Write an arrival as small shards, one or more a task and without a shuffle, and commit them.
@@ -106,32 +116,27 @@ class Store:
         ready = held.filter((F.col("k") >= self.fan_in) | ((F.col("k") > 1) & (F.col("all") * 2 >= self.target)))
         return ready.withColumn("run", F.dense_rank().over(W.orderBy("tier", "n"))).select("shard", "path", "run", "bytes")
 
-    def compact(self, wave: int = 5_000, rounds: int = 10) -> int:
+    def compact(self, wave: int = 256, rounds: int = 1_000) -> int:
         """Merge until no run is ready; every round is a version. Returns the latest version.
 
-        A round reads the shards of its runs, at most ``wave`` shards in one job, deals the rows out by run and
-        writes one file a run: no task gets more than about a target. What is not merged is not touched.
+        A round merges up to ``wave`` runs in one job without a shuffle: a run is one task, which reads its shards
+        one after another and writes one file. What is not merged is neither read nor touched.
         """
         for _ in range(rounds):
-            chosen = self.plan().orderBy("run", "shard").limit(wave).select("path", "run").collect()
-            if len(chosen) == wave:  # the last run may be cut: it waits for the next round
-                chosen = [r for r in chosen if r["run"] != chosen[-1]["run"]] or chosen
+            chosen = self.plan().filter(F.col("run") <= wave).select("path", "run").collect()  # names of one wave
             if not chosen:
                 break
             version, schema = self.version() + 1, self.schema()
             folder = f"data/{version:08d}-{uuid4().hex}"
-            runs = self.spark.createDataFrame([(r["path"].rsplit("/", 1)[1], r["path"].rsplit("/", 2)[1], r["run"]) for r in chosen], f"f string, d string, {_RUN} int")
-            names = [c for c in schema.names]
-            source = self.spark.read.schema(schema).parquet(*(f"{self.root}/{r['path']}" for r in chosen))
-            at = F.col("_metadata.file_path")
-            rows = source.select("*", F.element_at(F.split(at, "/"), -1).alias(f"{_RUN}_f"), F.element_at(F.split(at, "/"), -2).alias(f"{_RUN}_d"))
-            on = (F.col(f"{_RUN}_f") == runs["f"]) & (F.col(f"{_RUN}_d") == runs["d"])
-            merged = rows.join(F.broadcast(runs), on).select(*(F.col("`" + n.replace("`", "``") + "`") for n in names), _RUN)  # at most wave rows
-            count = len({r["run"] for r in chosen})
-            merged.repartition(count, _RUN).write.partitionBy(_RUN).option("compression", "zstd").parquet(f"{self.root}/{folder}")
+            runs: dict[int, list[str]] = {}
+            for row in sorted(chosen, key=lambda r: (r["run"], r["path"])):
+                runs.setdefault(row["run"], []).append(f"{self.root}/{row['path']}")
+            merged = reduce(DataFrame.union, (self.spark.read.schema(schema).parquet(*paths).coalesce(1) for paths in runs.values()))
+            with _separate(self.spark):
+                merged.write.option("compression", "zstd").parquet(f"{self.root}/{folder}")
             gone = self.spark.createDataFrame([(r["path"],) for r in chosen], "path string")
-            kept = self.manifest().join(F.broadcast(gone), "path", "left_anti")
-            self._commit(version, kept.unionByName(self._written(folder, version, schema)), schema)
+            kept = self.manifest().join(gone, "path", "left_anti")
+            self._commit(version, kept.unionByName(self._written(folder, version, schema, "m")), schema)
         return self.version()
 
     def vacuum(self) -> None:
