@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, mixing, pii, preference, quality, secrets, sharding, simhash, warc
+from . import decontam, langid, mixing, oracle, pii, preference, quality, secrets, sharding, simhash, warc
 from .common import fresh_dir, table
 
 
@@ -119,4 +119,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op10_preference_pairs,
     )
 }
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = oracle.every()
