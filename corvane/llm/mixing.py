@@ -159,7 +159,7 @@ class Mix:
         upto = W.partitionBy("members").orderBy("__b").rowsBetween(W.unboundedPreceding, -1)
         cuts = sums.withColumn("before", F.coalesce(F.sum("s").over(upto), F.lit(0))).join(asked, "members")
         cuts = settle(cuts.filter("before < rest and before + s >= rest").select("members", "before", "rest", F.col("__b").alias("cut")))
-        near = dealt.join(self._few(cuts), (dealt["__b"] == cuts["cut"]) & (dealt["members"] == cuts["members"])).drop(dealt["members"])
+        near = dealt.withColumnRenamed("__b", "cut").join(self._few(cuts), ["members", "cut"])
         run = W.partitionBy("members").orderBy("__o", "size").rangeBetween(W.unboundedPreceding, W.currentRow)
         fits = near.withColumn("c", F.col("before") + F.sum("size").over(run)).filter("c <= rest")
         place = fits.groupBy("members").agg(F.max(F.struct("__o", "size", "c")).alias("p"))

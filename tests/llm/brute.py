@@ -90,3 +90,7 @@ def components(ids, prints):
         if i is not None:
             least[root(p)] = min(least.get(root(p), i), i)
     return [least.get(root(p)) for p in prints]
+
+
+def pulled(df, *names):
+    return sorted((tuple(r[n] for n in names) for r in df.collect()), key=repr)
