@@ -17,6 +17,8 @@ SAMPLE_DOCS, SAMPLE_PIECES, MOST_LANGS = 300, 4, 64
 #: Bytes of a piece: the network starts anew with each, and the pieces cover the whole text.
 PIECE = 96
 HIDDEN, ROUNDS, BATCH, RATE = 8, 10, 128, 0.02
+#: Updates of the weights, at least: a small sample is gone through more often, in smaller batches.
+LEAST_UPDATES = 500
 PAD = 256
 UNKNOWN = "und"
 
@@ -128,6 +130,8 @@ class BiGru:
         m = {k: np.zeros_like(v) for k, v in self.p.items()}
         v = {k: np.zeros_like(x) for k, x in self.p.items()}
         step = 0
+        batch = max(16, min(batch, len(codes) // 8))
+        rounds = max(rounds, -(-LEAST_UPDATES * batch // max(1, len(codes))))
         for turn in range(rounds):
             order = rng.permutation(len(codes))
             for at in range(0, len(order), batch):
