@@ -189,20 +189,7 @@ def _(spark, d):
 
 @query("j06_redundant_alias", "WITH alias(alias) AS (VALUES ('the'), ('nowhere-to-be-found'), ('que'), ('zzqq')) SELECT alias, EXISTS (SELECT 1 FROM documents WHERE contains(text, alias)) AS redundant FROM alias")
 def _(spark, d):
-    return redundant(spark.createDataFrame([("the",), ("nowhere-to-be-found",), ("que",), ("zzqq",)], "alias string"), T(spark, d, "documents"))
-
-
-def redundant(aliases, docs, alias: str = "alias", text: str = "text"):
-    """aliases with redundant: found verbatim in some text. One pass over the texts for a list of aliases.
-
-    The aliases are one array of a checked size; each text names those it holds, and only names are shuffled.
-    """
-    held = aliases.select(alias).distinct()
-    if held.limit(10_001).count() > 10_000:
-        raise ValueError("more than 10000 aliases in one call")
-    every = held.agg(F.collect_list(alias).alias("__a"))
-    found = docs.select(text).join(F.broadcast(every)).select(F.explode(F.filter("__a", lambda a: F.contains(F.col(text), a))).alias(alias)).distinct()
-    return aliases.join(found.withColumn("__f", F.lit(True)), alias, "left").withColumn("redundant", F.coalesce("__f", F.lit(False))).drop("__f")
+    return joins.redundant(spark.createDataFrame([("the",), ("nowhere-to-be-found",), ("que",), ("zzqq",)], "alias string"), T(spark, d, "documents"))
 
 
 @query("j07_suppress_seen", "SELECT DISTINCT a.user_id AS session, a.event_type AS item FROM events a WHERE NOT EXISTS (SELECT 1 FROM events b WHERE b.user_id = a.user_id AND b.event_type = a.event_type AND b.ts < TIMESTAMP '2024-01-15') AND a.ts >= TIMESTAMP '2024-01-15'")

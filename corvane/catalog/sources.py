@@ -8,7 +8,7 @@ import zipfile
 from pyspark.sql import functions as F
 
 from ..functions import scalars
-from ..operators import search
+from ..operators import joins, search
 from ..operators.lineage import fresh_dir
 from ..sources import bindings as B
 from ..sources import code, connectors, mounts, office, readers
@@ -365,11 +365,9 @@ def _(spark, d):
 @query("k04_capture_vocabulary", "SELECT alias, EXISTS (SELECT 1 FROM documents WHERE contains(text, alias)) AS redundant FROM (VALUES ('herons'), ('the')) v(alias)")
 def _(spark, d):
     """The entry is stored either way; redundant aliases are reported."""
-    from .relational import redundant
-
     at = fresh_dir(spark, "vocabulary")
     readers.capture_terms(spark.createDataFrame([("heron", "a bird", ["herons", "the"], [], "birds")], "term string, meaning string, aliases array<string>, scope array<string>, domain string"), at)
-    return redundant(readers.vocabulary(spark, at).select(F.explode("aliases").alias("alias")), T(spark, d, "documents"))
+    return joins.redundant(readers.vocabulary(spark, at).select(F.explode("aliases").alias("alias")), T(spark, d, "documents"))
 
 
 @query("s40_registry", "SELECT stage, count(*) AS files, sum(failures)::BIGINT AS failures FROM (SELECT CASE WHEN event_type IN ('purchase', 'click', 'view') THEN 'complete' WHEN event_type = 'signup' THEN 'discovered' ELSE 'failed' END AS stage, (event_type = 'error')::INT AS failures FROM events) GROUP BY stage")

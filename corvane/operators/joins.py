@@ -80,22 +80,49 @@ def tokens(text: Column) -> Column:
 
 #: Words of the longest term that contains() looks for.
 TERM_WORDS = 4
+#: Terms that are sent to every task to filter by; with more, all runs of words are dealt out.
+FEW_TERMS = 10_000
 
 
 def contains(texts: DataFrame, terms: DataFrame, text: str = "text", term: str = "term") -> DataFrame:
     """texts × terms that occur in them as whole words, any case. Each pair comes out once.
 
     A text names its distinct runs of one to TERM_WORDS words and meets the terms on equal runs: nothing is compared
-    pairwise. Longer terms are an error rather than missed.
+    pairwise, and of few terms the texts drop the other runs at once. Longer terms are an error rather than missed.
     """
     run = F.array_join(tokens(F.col(term)), " ")
     keyed = terms.withColumn("__key", run).withColumn("__key", F.when(F.size(F.split("__key", " ")) <= TERM_WORDS, F.col("__key")).otherwise(F.raise_error(F.concat(F.lit("term of too many words: "), F.col(term)))))
-    words = tokens(F.col(text))
-    split = texts.withColumn("__w", words)
+    keyed = keyed.filter("__key <> ''")
+    split = texts.withColumn("__w", tokens(F.col(text)))
     grams = F.array_distinct(
         F.flatten(F.transform(F.sequence(F.lit(1), F.lit(TERM_WORDS)), lambda n: F.when(F.size("__w") >= n, F.transform(F.sequence(F.lit(1), F.size("__w") - n + 1), lambda i: F.array_join(F.slice("__w", i, n), " "))).otherwise(F.array().cast("array<string>"))))
     )
-    return split.withColumn("__key", F.explode(grams)).drop("__w").join(keyed.filter("__key <> ''"), "__key").drop("__key")
+    runs = split.withColumn("__g", grams).drop("__w")
+    few = keyed.select("__key").distinct()
+    if few.limit(FEW_TERMS + 1).count() <= FEW_TERMS:  # then each text drops the runs that are no term before any is dealt out
+        every = few.agg(F.collect_list("__key").alias("__e"))
+        runs = runs.join(F.broadcast(every)).withColumn("__g", F.array_intersect("__g", "__e")).drop("__e")
+    return runs.withColumn("__key", F.explode("__g")).drop("__g").join(keyed, "__key").drop("__key")
+
+
+#: Aliases that one pass over the texts looks for.
+ALIASES = 10_000
+
+
+def redundant(aliases: DataFrame, docs: DataFrame, alias: str = "alias", text: str = "text") -> DataFrame:
+    """aliases with redundant: found verbatim in some text.
+
+    The aliases go to the texts as arrays of at most about ALIASES, a pass each; a text names those that it holds, and
+    only names are shuffled.
+    """
+    held = aliases.select(alias).filter(F.col(alias).isNotNull()).distinct()
+    blocks = -(-held.count() // ALIASES) or 1
+    found = None
+    for block in range(blocks):
+        every = held.filter(F.pmod(F.xxhash64(alias), F.lit(blocks)) == block).agg(F.collect_list(alias).alias("__a"))
+        here = docs.select(text).join(F.broadcast(every)).select(F.explode(F.filter("__a", lambda a: F.contains(F.col(text), a))).alias(alias)).distinct()
+        found = here if found is None else found.unionByName(here)
+    return aliases.join(found.withColumn("__f", F.lit(True)), alias, "left").withColumn("redundant", F.coalesce("__f", F.lit(False))).drop("__f")
 
 
 def references(edges: DataFrame, known: DataFrame, src: str = "src", dst: str = "dst", uri: str = "uri") -> DataFrame:

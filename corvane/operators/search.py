@@ -6,7 +6,10 @@ import hashlib
 import math
 import re
 from collections import Counter
+from collections.abc import Iterator
+from functools import lru_cache
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -86,7 +89,11 @@ def place_of(word: str) -> tuple[int, int]:
 
 
 def vector_scores(docs: DataFrame, query: str, key: str, text: str = "text") -> DataFrame:
-    """key, score: cosine of hashed, signed log counts of words. No statistics of the corpus, so texts stand alone."""
+    """key, score: cosine of hashed, signed log counts of words. No statistics of the corpus, so texts stand alone.
+
+    Counting the words of a text and adding 256 sums is one walk in Python by batches; said with built-in functions it
+    would deal out every word of every text.
+    """
     wanted: Counter = Counter()
     for word, n in Counter(re.findall(r"\w+", query.lower())).items():
         dim, sign = place_of(word)
@@ -94,17 +101,24 @@ def vector_scores(docs: DataFrame, query: str, key: str, text: str = "text") ->
     wanted = Counter({k: v for k, v in wanted.items() if v})
     if not wanted:
         return docs.select(key, F.lit(0.0).alias("score")).limit(0)
-    each = docs.select(key, F.explode(joins.tokens(F.col(text))).alias("w")).groupBy(key, "w").agg((1 + F.log(F.count("*"))).alias("v"))
-    code = F.md5("w")
-    dim = F.conv(F.substring(code, 1, 2), 16, 10).cast("int")
-    sign = F.when(F.conv(F.substring(code, 3, 1), 16, 10).cast("int") % 2 == 0, 1.0).otherwise(-1.0)
-    dims = each.select(key, dim.alias("d"), (sign * F.col("v")).alias("v")).groupBy(key, "d").agg(F.sum("v").alias("v"))
-    weight = F.lit(0.0)
-    for d, v in sorted(wanted.items()):
-        weight = F.when(F.col("d") == d, F.lit(float(v))).otherwise(weight)
+    weights = [float(wanted.get(d, 0.0)) for d in range(DIMENSIONS)]
     size = math.sqrt(sum(v * v for v in wanted.values()))
-    sums = dims.groupBy(key).agg(F.sum(F.col("v") * weight).alias("dot"), F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("len"))
-    return sums.filter("len > 0").select(key, F.round(F.col("dot") / (F.col("len") * size), 6).alias("score")).filter("score > 0")
+
+    @F.pandas_udf("double")
+    def cosines(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        place = lru_cache(maxsize=200_000)(place_of)
+        for texts in batches:
+            out = []
+            for value in texts:
+                vector = [0.0] * DIMENSIONS
+                for word, n in Counter(re.findall(r"\w+", value or "")).items():
+                    dim, sign = place(word)
+                    vector[dim] += sign * (1 + math.log(n))
+                length = math.sqrt(sum(v * v for v in vector))
+                out.append(sum(a * b for a, b in zip(vector, weights, strict=True)) / (length * size) if length else 0.0)
+            yield pd.Series(out, dtype="float64")
+
+    return docs.select(key, F.round(cosines(F.lower(text)), 6).alias("score")).filter("score > 0")
 
 
 def fused(lists: list[DataFrame], key: str, most: int) -> DataFrame:
