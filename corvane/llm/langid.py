@@ -8,6 +8,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import col
@@ -194,17 +195,16 @@ def held_out(id_col: Column) -> Column:
 def sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, per_lang: int = SAMPLE_DOCS, pieces: int = SAMPLE_PIECES, most: int = MOST_LANGS) -> list[tuple[str, bytes]]:
     """(lang, piece) of a bounded sample of labelled documents that are not held out.
 
-    The ids with the least hash of each language come from a scan without texts; a second scan reads the texts of
-    those alone and sends ``pieces`` evenly spaced pieces of each whole text.
+    The ids with the least hash of each language come from scans without texts, cut to ``per_lang`` a language before
+    they are shuffled; then the texts of those alone are read, and ``pieces`` evenly spaced pieces of each are sent.
     """
     known = docs.select(col(id_col).alias("i"), col(lang_col).cast("string").alias("lang")).filter(F.col("lang").isNotNull() & F.col("i").isNotNull() & ~held_out(F.col("i")))
     counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most).collect()
     if not counts:
         return []
-    hashed = known.withColumn("h", F.xxhash64("i", "lang"))
-    chosen: list = []
-    for row in counts:
-        chosen += hashed.filter(F.col("lang") == row["lang"]).orderBy("h").limit(per_lang).select("i").collect()
+    order = W.partitionBy("lang").orderBy("h", "i")
+    ranked = known.filter(F.col("lang").isin([r["lang"] for r in counts])).withColumn("h", F.xxhash64("i", "lang"))
+    chosen = ranked.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= per_lang).select("i").collect()  # per_lang * most ids
     ids = docs.sparkSession.createDataFrame(sorted({(r["i"],) for r in chosen}), f"__i {dict(docs.dtypes)[id_col]}")
     text = F.encode(col(text_col), "utf-8")
     size = F.length("t")
