@@ -188,3 +188,70 @@ def _(spark, d):
     return engine(spark, d).read("doc:///en/** => grep: heron")
 
 
+
+
+@query("x02_parse_join", "SELECT n_name, team FROM nation JOIN (VALUES (0, 'Security'), (1, 'Billing')) v(k, team) ON n_nationkey = k")
+def _(spark, d):
+    return engine(spark, d).sql("SELECT n_name, p.team FROM nation JOIN parse('k,team\\n0,Security\\n1,Billing') p ON n_nationkey = p.k::INTEGER")
+
+
+@query("x02_grep_in_sql", f"WITH {FILES}, l AS (SELECT uri, lang, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM files WHERE lang = 'en'), g AS (SELECT * FROM l WHERE contains(lower(line), 'heron') ORDER BY uri, n LIMIT 50) SELECT uri, count(*) AS hits FROM g GROUP BY uri")
+def _(spark, d):
+    return engine(spark, d).sql("SELECT g.uri, count(*) AS hits FROM grep_matches('heron', 'doc:///en/**', 50) g JOIN Files f ON f.uri = g.uri GROUP BY g.uri")
+
+
+@query("x02_co_change_in_sql", "WITH l AS (SELECT l_partkey::VARCHAR AS uri, l_orderkey AS hash FROM (SELECT DISTINCT l_partkey, l_orderkey FROM lineitem) JOIN (SELECT o_orderkey FROM orders ORDER BY o_orderdate DESC, o_orderkey LIMIT 200) ON l_orderkey = o_orderkey) SELECT a.uri AS a, b.uri AS b, count(*) AS together FROM l a JOIN l b ON a.hash = b.hash AND a.uri < b.uri GROUP BY ALL")
+def _(spark, d):
+    e = engine(spark, d)
+    e.register("commits", B.commits(spark, d))
+    e.register("commit_files", B.commit_files(spark, d).select("hash", F.col("file").cast("string").alias("uri")))
+    return e.sql("SELECT a.uri AS a, b.uri AS b, count(*) AS together FROM git_log('**', 200) a JOIN git_log('**', 200) b ON a.hash = b.hash AND a.uri < b.uri GROUP BY ALL")
+
+
+SOURCES = [("file:///a.py", "text/x-python;kind=code.python", "import os\nclass A(B):\n    def run(self):\n        pass\n"), ("file:///b.go", "text/x-go;kind=code.go", "package b\nimport \"fmt\"\ntype T struct {\n}\nfunc New() {"), ("file:///c.md", "text/markdown;kind=markdown.doc", "# Title\n\nSome text. More.")]
+
+
+@query("a02_indexed_views", "SELECT * FROM (VALUES ('edge', 8::BIGINT), ('files', 3), ('functions', 2), ('go_types', 1), ('node', 9), ('python_imports', 1), ('types', 2)) v(relation, n)")
+def _(spark, d):
+    e = Engine(spark)
+    e.index(spark.createDataFrame(SOURCES, "uri string, mime string, text string"))
+    names = ("edge", "files", "functions", "go_types", "node", "python_imports", "types")
+    return e.sql(" UNION ALL ".join(f"SELECT '{n}' AS relation, count(*) AS n FROM {n}" for n in names))
+
+
+@query("j01_hits_joined_with_types", "SELECT 'file:///a.py' AS uri, 'A' AS name")
+def _(spark, d):
+    e = Engine(spark)
+    e.index(spark.createDataFrame(SOURCES, "uri string, mime string, text string"))
+    return e.sql("SELECT s.uri, t.name FROM search_pipeline('class run', 'file:///*.py', 10) s JOIN Types t ON t.uri = s.uri")
+
+
+@query("m05_list_vocabulary", "SELECT * FROM (VALUES ('heron', 'a bird', 'birds'), ('nation', 'a country', 'law')) v(term, meaning, domain)")
+def _(spark, d):
+    from ..operators.lineage import fresh_dir
+    from ..sources import readers
+
+    at, kind = fresh_dir(spark, "vocabulary"), "term string, meaning string, aliases array<string>, scope array<string>, domain string"
+    for term, meaning, domain in (("heron", "a bird", "birds"), ("nation", "a country", "law")):
+        readers.capture_terms(spark.createDataFrame([(term, meaning, [], [], domain)], kind), at)
+    return readers.vocabulary(spark, at).select("term", "meaning", "domain")
+
+
+@query("s40_write_phase_stats", "SELECT l_returnflag AS write_kind, l_linestatus AS phase, count(*) AS operations, round(avg(l_quantity), 6) AS avg_ms, max(l_quantity) AS max_ms FROM lineitem GROUP BY 1, 2")
+def _(spark, d):
+    rows = T(spark, d, "lineitem").groupBy(F.col("l_returnflag").alias("write_kind"), F.col("l_linestatus").alias("phase"))
+    return rows.agg(F.count("*").alias("operations"), F.round(F.avg("l_quantity"), 6).alias("avg_ms"), F.max("l_quantity").alias("max_ms"))
+
+
+@query("s40_operations", "SELECT o_orderkey AS id, CASE o_orderstatus WHEN 'F' THEN 'done' WHEN 'O' THEN 'running' ELSE 'deferred' END AS state FROM orders ORDER BY o_orderdate DESC, o_orderkey LIMIT 20")
+def _(spark, d):
+    state = F.when(F.col("o_orderstatus") == "F", "done").when(F.col("o_orderstatus") == "O", "running").otherwise("deferred")
+    rows = T(spark, d, "orders").select(F.col("o_orderkey").alias("id"), state.alias("state"), "o_orderdate")
+    return rows.orderBy(F.col("o_orderdate").desc_nulls_last(), "id").limit(20).select("id", "state")
+
+
+@query("s40_coverage_functions", "SELECT count(*) FILTER (WHERE quality = 0) AS uncovered, count(*) AS files FROM documents LEFT JOIN labels USING (doc_id) WHERE lang = 'en'")
+def _(spark, d):
+    e = engine(spark, d)
+    e.register("coverage", B.coverage(spark, d))
+    return e.sql("SELECT (SELECT count(*) FROM uncovered_symbols('doc:///en/**')) AS uncovered, (SELECT count(*) FROM file_coverage('doc:///en/**')) AS files")

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars
 from ..functions.address import in_scope, parse_address
 from ..operators import joins, ranking, retrieve, search
-from . import dialect, results
+from . import dialect, macros, results
 
 #: Session settings that may be read and set by name.
 SETTINGS = ("spark.sql.shuffle.partitions", "spark.sql.files.maxPartitionBytes", "spark.sql.autoBroadcastJoinThreshold", "spark.sql.session.timeZone")
@@ -42,6 +42,8 @@ class Engine:
         self.views: dict[str, DataFrame] = {}
         self.meta: dict[str, str] = {}
         self.version = 0
+        self.macros: dict[str, macros.Macro] = macros.standard(self)
+        self._number = 0
         self._cache: dict[tuple, tuple[float, results.Result]] = {}
         self._tools: dict[str, Tool] = {}
         scalars.register(spark)
@@ -60,9 +62,17 @@ class Engine:
         self.views[name.lower()] = rows
         self.version += 1
 
+    def next_number(self) -> int:
+        self._number += 1
+        return self._number
+
+    def index(self, files: DataFrame) -> None:
+        """Files, symbols and edges as relations; see macros.index()."""
+        macros.index(self, files)
+
     def sql(self, statement: str) -> DataFrame:
         """A statement that passes the gate, as a DataFrame. Errors of the analyser come out as they are."""
-        text = dialect.gate(statement)
+        text = macros.expand(self, dialect.gate(statement))
         used = [t.lower() for t in dialect.tokens(text)]
         known = list(dict.fromkeys(c for v, rows in self.views.items() if v in used for c in rows.columns))
         return self.spark.sql(dialect.rewrite(text, known))
