@@ -26,10 +26,10 @@ GLOBS = [
     ("doc:///**;!**/src0/**", "doc:///en/src0/1", False),
     ("doc:///**;!**/src0/**", "doc:///en/src1/1", True),
     ("!**/src0/**", "doc:///en/src1/1", True),
-    ("app/%5Bslug%5D/page", "app/[slug]/page", True),
-    ("app/%2A/page", "app/x/page", False),
+    ("routes/%5Bid%5D/view", "routes/[id]/view", True),
+    ("routes/%2A/view", "routes/x/view", False),
     ("a.b", "axb", False),
-    ("50%.cs", "50%.cs", True),
+    ("100%.md", "100%.md", True),
 ]
 
 
@@ -54,7 +54,7 @@ def _(spark, d):
     return g.select("n", A.matches_glob(g.uri, g.pattern).alias("hit"))
 
 
-LITERALS = [("app/[slug]/page.tsx", "app/%5Bslug]/page.tsx"), ("a*b?c{d;e 50%.cs", "a%2Ab%3Fc%7Bd%3Be 50%.cs"), ("plain", "plain"), (None, None)]
+LITERALS = [("routes/[id]/view.tsx", "routes/%5Bid]/view.tsx"), ("what?/{now};*all* 100%.md", "what%3F/%7Bnow}%3B%2Aall%2A 100%.md"), ("plain", "plain"), (None, None)]
 
 
 @query("p06_literal_target", "WITH " + values("l", "path, target", LITERALS) + " SELECT * FROM l")
@@ -80,8 +80,8 @@ def _(spark, d):
     return retrieve.sliced(B.documents(spark, d), 2, 4)
 
 
-SYMBOLS = ["AuthService", "AuthService.Login", "AuthService.Login.inner", "Other.Login", "AuthServiceX.Run", "ValidateToken"]
-WANTED = {"AuthService.*": ["AuthService.Login"], "AuthService.**": ["AuthService.Login", "AuthService.Login.inner"], "Login": ["AuthService.Login", "Other.Login"], "*Token": ["ValidateToken"], "AuthService": ["AuthService"]}
+SYMBOLS = ["Store", "Store.Save", "Store.Save.inner", "Other.Save", "StoreX.Run", "CheckToken"]
+WANTED = {"Store.*": ["Store.Save"], "Store.**": ["Store.Save", "Store.Save.inner"], "Save": ["Store.Save", "Other.Save"], "*Token": ["CheckToken"], "Store": ["Store"]}
 
 
 @query("p08_symbol_slice", "WITH " + values("s", "wanted, name", [(w, n) for w, names in WANTED.items() for n in names]) + " SELECT * FROM s")

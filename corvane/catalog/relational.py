@@ -6,36 +6,37 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import scalars
-from ..operators import joins, ranking, rollups
+from ..operators import joins, memory, ranking, rollups
 from ..sources import bindings as B
 from . import query
 
 T = B.table
 #: The Files relation for the SQL side.
 FILES = """files AS (SELECT 'doc:///' || lang || '/' || source || '/' || doc_id AS uri, doc_id, lang, source, text FROM documents)"""
+#: kind, scheme, authority, path_prefix, uri: known and unknown kinds and schemes, nulls, slashes at either end.
 MOUNTS = [
-    ("primary", "file", None, "", "file:///"),
-    (None, "help", None, None, "help:///"),
-    (None, "concept", None, None, "concept:///"),
-    (None, "concept", None, "local/srv/vendor/lib", "concept:///local/srv/vendor/lib"),
-    (None, "vocabulary", None, None, "vocabulary:///"),
-    ("worktree", "worktree", "feature", "", "worktree://feature"),
-    ("workspace", "github", "acme", "billing", "github://acme/billing"),
-    ("import", "github", "acme", "widgets", "github://acme/widgets"),
-    ("import", "local", None, "/srv/vendor/lib/", "local:///srv/vendor/lib"),
-    ("import", "local", None, "/srv/vendor/", "local:///srv/vendor"),
-    ("import", "s3", "acme-logs", "app", "s3://acme-logs/app/"),
-    ("connector", "workos", "prod", "", "workos://prod"),
-    ("hologram", "future", "deck", "", "future://deck"),
-    (None, "nfs", "share", "", "nfs://share"),
+    ("primary", "file", None, None, "file:///"),
+    (None, "vocabulary", None, "", "vocabulary:///"),
+    ("worktree", "git", "fix-7", "", "git://fix-7"),
+    ("import", "git", "team", "api", "git://team/api"),
+    ("workspace", "git", "team", "web", "git://team/web"),
+    ("import", "disk", "", "/data/shop/", "disk:///data/shop"),
+    ("import", "disk", None, "/data/shopping", "disk:///data/shopping"),
+    ("mirror", "bucket", "logs", "2024/", "bucket://logs/2024/"),
+    (None, "ftp", "old", None, "ftp://old"),
+    ("import", "help", None, "", "help:///more"),
 ]
+#: uri, extension, name of memory files; a path that only starts alike is not below.
 MEMORY = [
-    ("concept:///local/srv/vendor/lib/rule/One.md", ".md", "One.md"),
-    ("concept:///local/srv/vendor/lib/rule/Two.md", ".md", "Two.md"),
-    ("concept:///local/srv/vendor/lib/README.md", ".md", "README.md"),
-    ("vocabulary:///local/srv/vendor/lib/widget", "", "widget"),
-    ("concept:///rule/Mine.md", ".md", "Mine.md"),
-    ("concept:///local/srv/vendor/other/Three.md", ".md", "Three.md"),
+    ("concept:///disk/data/shop/prices/Round.md", ".md", "Round.md"),
+    ("concept:///disk/data/shop/Tax.md", ".md", "Tax.md"),
+    ("concept:///disk/data/shop/ReadMe.md", ".md", "ReadMe.md"),
+    ("concept:///disk/data/shop/notes.txt", ".txt", "notes.txt"),
+    ("concept:///disk/data/shopping/Cart.md", ".md", "Cart.md"),
+    ("vocabulary:///disk/data/shop/sku", "", "sku"),
+    ("vocabulary:///git/team/api/token", "", "token"),
+    ("vocabulary:///git/team/api/scope", "", "scope"),
+    ("concept:///Own.md", ".md", "Own.md"),
 ]
 
 
@@ -115,57 +116,28 @@ def _(spark, d):
     return n.join(r, n.n_regionkey == r.r_regionkey).select("n_name", "r_name")
 
 
-LISTING = f"""WITH {MOUNT_SQL}, {MEMORY_SQL},
-repos AS (SELECT CASE WHEN kind = 'workspace' THEN 'workspace' ELSE 'import' END AS section, CASE WHEN kind NOT IN ('workspace', 'import') THEN kind END AS label, uri,
-  concat_ws('/', scheme, nullif(authority, ''), nullif(trim(path_prefix, '/'), '')) AS memory FROM mounts
-  WHERE scheme NOT IN ('file', 'help', 'concept', 'vocabulary', 'worktree') AND coalesce(kind, '') NOT IN ('primary', 'worktree')),
-memory AS (SELECT uri FROM memory_files WHERE (uri LIKE 'concept:///%' AND extension = '.md' AND lower(name) <> 'readme.md') OR uri LIKE 'vocabulary:///%')"""
+LISTED = f"""WITH {MOUNT_SQL}, {MEMORY_SQL}, m AS (SELECT *, array_to_string(list_filter([scheme, authority, trim(path_prefix, '/')], lambda x: x <> ''), '/') AS path FROM mounts),
+l AS (SELECT uri, if(kind = 'workspace', 'workspace', 'import') AS section, if(kind IN ('workspace', 'import'), NULL, kind) AS label,
+  (SELECT count(*) FROM memory_files f WHERE starts_with(f.uri, 'concept:///' || path || '/') AND extension = '.md' AND name NOT ILIKE 'readme.md') AS concepts,
+  (SELECT count(*) FROM memory_files f WHERE starts_with(f.uri, 'vocabulary:///' || path || '/')) AS words
+  FROM m WHERE scheme NOT IN ('file', 'help', 'concept', 'vocabulary', 'worktree') AND kind IS DISTINCT FROM 'primary' AND kind IS DISTINCT FROM 'worktree')"""
 
 
-def _repos(spark):
-    m = mounts(spark)
-    section = F.when(m.kind == "workspace", "workspace").otherwise("import")
-    label = F.when(~m.kind.isin("workspace", "import"), m.kind)
-    kept = ~m.scheme.isin("file", "help", "concept", "vocabulary", "worktree") & ~F.coalesce(m.kind, F.lit("")).isin("primary", "worktree")
-    return m.filter(kept).select(section.alias("section"), label.alias("label"), "uri", scalars.memory_path(m.scheme, m.authority, m.path_prefix).alias("memory"))
+def memory_files(spark):
+    return spark.createDataFrame(MEMORY, "uri string, extension string, name string")
 
 
-def _memory(spark):
-    f = spark.createDataFrame(MEMORY, "uri string, extension string, name string")
-    note = f.uri.startswith("concept:///") & (f.extension == ".md") & (F.lower(f.name) != "readme.md")
-    return f.filter(note | f.uri.startswith("vocabulary:///"))
+@query("j02_prefix_or_join", LISTED + " SELECT * FROM l")
+def _(spark, d):
+    return memory.mount_memory(mounts(spark), memory_files(spark))
 
 
-def _counted(spark):
-    below = lambda s: F.concat(F.lit(f"{s}:///"), F.col("memory"), F.lit("/"))
-    return joins.prefix_counts(_repos(spark), _memory(spark), {"concepts": below("concept"), "words": below("vocabulary")}, ["uri"])
+LINES_SQL = "array_to_string(list_filter([label, if(concepts > 0, concepts || if(concepts = 1, ' concept', ' concepts'), NULL), if(words > 0, words || if(words = 1, ' vocab word', ' vocab words'), NULL)], lambda x: x IS NOT NULL), ', ')"
 
 
-@query(
-    "j02_prefix_or_join",
-    LISTING
-    + """ SELECT r.section, r.label, r.uri, count(m.uri) FILTER (WHERE starts_with(m.uri, 'concept:///' || r.memory || '/')) AS concepts,
-count(m.uri) FILTER (WHERE starts_with(m.uri, 'vocabulary:///' || r.memory || '/')) AS words FROM repos r
-LEFT JOIN memory m ON starts_with(m.uri, 'concept:///' || r.memory || '/') OR starts_with(m.uri, 'vocabulary:///' || r.memory || '/') GROUP BY r.section, r.label, r.uri""",
-)
-def _(spark, d):
-    return _counted(spark).drop("memory")
-
-
-@query(
-    "m06_memory_counts",
-    LISTING
-    + """, counts AS (SELECT r.section, r.label, r.uri, count(m.uri) FILTER (WHERE starts_with(m.uri, 'concept:///' || r.memory || '/')) AS concepts,
-count(m.uri) FILTER (WHERE starts_with(m.uri, 'vocabulary:///' || r.memory || '/')) AS words FROM repos r
-LEFT JOIN memory m ON starts_with(m.uri, 'concept:///' || r.memory || '/') OR starts_with(m.uri, 'vocabulary:///' || r.memory || '/') GROUP BY r.section, r.label, r.uri)
-SELECT section AS kind, uri || coalesce(' (' || nullif(concat_ws(', ', label, CASE WHEN concepts > 0 THEN concepts || ' concept' || CASE WHEN concepts = 1 THEN '' ELSE 's' END END,
-CASE WHEN words > 0 THEN words || ' vocab word' || CASE WHEN words = 1 THEN '' ELSE 's' END END), '') || ')', '') AS line FROM counts""",
-)
+@query("m06_memory_counts", LISTED + f", t AS (SELECT section, uri, {LINES_SQL} AS held FROM l) SELECT section, uri || if(held = '', '', ' (' || held || ')') AS line FROM t")
 def _(spark, d):
-    c = _counted(spark)
-    inner = F.nullif(F.concat_ws(", ", "label", scalars.counted(c.concepts, "concept", "concepts"), scalars.counted(c.words, "vocab word", "vocab words")), F.lit(""))
-    line = F.concat("uri", F.coalesce(F.concat(F.lit(" ("), inner, F.lit(")")), F.lit("")))
-    return c.select(F.col("section").alias("kind"), line.alias("line"))
+    return memory.memory_lines(memory.mount_memory(mounts(spark), memory_files(spark)))
 
 
 @query("j03_co_change", "WITH c AS (SELECT DISTINCT l_orderkey AS k, l_partkey AS f FROM lineitem) SELECT a.f AS a, b.f AS b, count(*) AS together FROM c a JOIN c b ON a.k = b.k AND a.f < b.f GROUP BY 1, 2 HAVING count(*) >= 2")
@@ -369,7 +341,7 @@ def _(spark, d):
     return T(spark, d, "events").select("event_id", scalars.percent(F.col("user_id"), F.col("value") - 50).alias("pct"))
 
 
-SOURCES = [*((f"github://acme/r{i}", i) for i in range(35)), ("workspace", 7), ("local:///a", 2), ("local:///b", 3), ("s3://logs/app", 11)]
+SOURCES = [*((f"git://team/r{i}", i) for i in range(12)), ("workspace", 7), ("disk:///a", 2), ("disk:///b", 3), ("disk:///c", 5), ("bucket://logs/2024", 11)]
 
 
 @query(
@@ -507,9 +479,9 @@ def _(spark, d):
     return T(spark, d, "documents").select("doc_id", mime.alias("mime"), scalars.media_type_kind(mime).alias("kind"), scalars.media_type_kind(F.lit("text/plain")).alias("none"))
 
 
-@query("f02_starts_with", f"WITH {MOUNT_SQL} SELECT uri, coalesce(starts_with(path_prefix, 'app'), false) AS app FROM mounts")
+@query("f02_starts_with", f"WITH {MOUNT_SQL} SELECT uri, coalesce(starts_with(path_prefix, '/data'), false) AS app FROM mounts")
 def _(spark, d):
-    return mounts(spark).select("uri", scalars.starts_with(F.col("path_prefix"), F.lit("app")).alias("app"))
+    return mounts(spark).select("uri", scalars.starts_with(F.col("path_prefix"), F.lit("/data")).alias("app"))
 
 
 @query("f03_trim_chars", f"WITH {MOUNT_SQL} SELECT uri, trim(path_prefix, '/') AS trimmed FROM mounts")
@@ -544,8 +516,8 @@ def _(spark, d):
     return T(spark, d, "events").groupBy("event_type").agg(F.sum(F.get_json_object("props", "$.k").cast("long")).alias("k"))
 
 
-OPERATIONS = [("startup", None), ("sweep", None), ("analyze", ""), ("import:github.com/acme/widgets", None), ("import:github.com/acme/widgets", "github://acme/widgets/"), ("import:/worktree://wt/", None), ("import:wt", "worktree://wt/"), ("import:", None), ("import:gitlab.com/g/p", ""), (None, None)]
-OPERATIONS_TOLD = ["indexing this repository", None, None, "importing github://acme/widgets", "importing github://acme/widgets", None, None, None, "importing gitlab.com/g/p", None]
+OPERATIONS = [("startup", None), ("sweep", None), ("analyze", ""), ("import:github.com/team/api", None), ("import:github.com/team/api", "github://team/api/"), ("import:/worktree://wt/", None), ("import:wt", "worktree://wt/"), ("import:", None), ("import:gitlab.com/g/p", ""), (None, None)]
+OPERATIONS_TOLD = ["indexing this repository", None, None, "importing github://team/api", "importing github://team/api", None, None, None, "importing gitlab.com/g/p", None]
 
 
 @query("f11_operation_words", "WITH " + values("o", "n, operation, told", [(i, o[0], t) for i, (o, t) in enumerate(zip(OPERATIONS, OPERATIONS_TOLD, strict=True))]) + " SELECT n::BIGINT AS n, operation, told FROM o")

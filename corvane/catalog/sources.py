@@ -41,10 +41,10 @@ def _(spark, d):
     return rows.select("uri", "name", "extension", scalars.media_type_kind(F.col("mime")).alias("kind"), "byte_size")
 
 
-@query("s02_import_mounts", "SELECT * FROM (VALUES ('github://acme/widgets/', 'import', 2::BIGINT), ('local:///data/', 'import', 5::BIGINT)) v(mount, kind, file_count)")
+@query("s02_import_mounts", "SELECT * FROM (VALUES ('git://team/api/', 'import', 2::BIGINT), ('local:///data/', 'import', 5::BIGINT)) v(mount, kind, file_count)")
 def _(spark, d):
     w = mounts.Workspace(spark, fresh_dir(spark, "workspace"))
-    w.add_folder("github://acme/widgets/", put(spark, {"a.md": "x", "b/c.md": "y"}))
+    w.add_folder("git://team/api/", put(spark, {"a.md": "x", "b/c.md": "y"}))
     w.add_folder("local:///data/", put(spark, TREE))
     return w.listing().select("mount", "kind", "file_count")
 
@@ -104,9 +104,9 @@ def _(spark, d):
     return readers.vocabulary(spark, at).select("term", "meaning", F.size("aliases").cast("long").alias("aliases"), "domain")
 
 
-@query("s11_worktree_mounts", f"WITH {MOUNT_SQL} SELECT uri, kind FROM mounts WHERE scheme = 'worktree'")
+@query("s11_worktree_mounts", f"WITH {MOUNT_SQL} SELECT uri, kind FROM mounts WHERE kind = 'worktree'")
 def _(spark, d):
-    return mount_rows(spark).filter("scheme = 'worktree'").select("uri", "kind")
+    return mount_rows(spark).filter("kind = 'worktree'").select("uri", "kind")
 
 
 @query("s12_federated_remote", "SELECT c_custkey FROM customer WHERE c_nationkey = 3")

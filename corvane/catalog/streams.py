@@ -15,33 +15,33 @@ from .relational import values
 from .sources import put
 
 T = B.table
-HOST = {"host_pid": 41247, "host_started_at_unix_ms": 1791280375986}
-IMPORT = {"type": "host.signal", "signal": "progress", **HOST, "operation": "import:github.com/acme/widgets", "operation_total": 905, "operation_done": 199, "registry_total": 235523, "registry_complete": 225610, "settled": False}
+HOST = {"host_pid": 812, "host_started_at_unix_ms": 1700000000001}
+IMPORT = {"type": "host.signal", "signal": "progress", **HOST, "operation": "import:github.com/team/api", "operation_total": 40, "operation_done": 9, "registry_total": 5000, "registry_complete": 4100, "settled": False}
 FEED = [
     {"type": "monitor.connection", "state": "waiting"},
     {"type": "monitor.connection", "state": "connected", **HOST},
     {"type": "session.snapshot", **HOST},
     IMPORT,
     IMPORT,
-    IMPORT | {"operation_done": 500},
+    IMPORT | {"operation_done": 22},
     IMPORT | {"operation": "sweep"},
-    {"type": "host.signal", "signal": "hello", **HOST, "version": "1.7.20"},
+    {"type": "host.signal", "signal": "hello", **HOST, "version": "2.0"},
     IMPORT | {"operation": "startup", "operation_total": 0},
     IMPORT | {"operation": "", "settled": True},
     {"type": "monitor.connection", "state": "lost"},
-    {"type": "monitor.connection", "state": "connected", "host_pid": 50001, "host_started_at_unix_ms": 1791280999000},
+    {"type": "monitor.connection", "state": "connected", "host_pid": 950, "host_started_at_unix_ms": 1700000555000},
 ]
 #: seq, connection, files, work, percent, notice, line: every change, and nothing for records that change nothing.
 FOLDED = [
     (0, "waiting", None, None, None, None, None),
     (1, "connected", None, None, None, None, None),
-    (3, "connected", 225610, "importing github://acme/widgets", 21, None, None),
-    (5, "connected", 225610, "importing github://acme/widgets", 55, None, "importing github://acme/widgets 55%"),
-    (6, "connected", 225610, None, None, None, None),
-    (7, "connected", 225610, None, None, None, None),
-    (8, "connected", 225610, "indexing this repository", None, None, "indexing this repository"),
-    (9, "connected", 225610, None, None, None, None),
-    (10, "lost", 225610, None, None, None, None),
+    (3, "connected", 4100, "importing github://team/api", 22, None, None),
+    (5, "connected", 4100, "importing github://team/api", 55, None, "importing github://team/api 55%"),
+    (6, "connected", 4100, None, None, None, None),
+    (7, "connected", 4100, None, None, None, None),
+    (8, "connected", 4100, "indexing this repository", None, None, "indexing this repository"),
+    (9, "connected", 4100, None, None, None, None),
+    (10, "lost", 4100, None, None, None, None),
     (11, "connected", None, None, None, "host restarted", None),
 ]
 
@@ -74,7 +74,7 @@ def _(spark, d):
     return spark.createDataFrame([(changes, len(FEED))], "changes long, records long")
 
 
-@query("d04_dwell", "SELECT * FROM (VALUES (9000::BIGINT, NULL), (10000, 'importing github://acme/widgets 21%')) v(after_ms, line)")
+@query("d04_dwell", "SELECT * FROM (VALUES (9000::BIGINT, NULL), (10000, 'importing github://team/api 22%')) v(after_ms, line)")
 def _(spark, d):
     view, _notice = monitor.advance(monitor.View(), IMPORT, 0)
     return spark.createDataFrame([(t, view.line(t)) for t in (9_000, 10_000)], "after_ms long, line string")

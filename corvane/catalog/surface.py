@@ -9,7 +9,7 @@ from ..plans import dialect, results
 from ..plans.engine import Engine
 from ..sources import bindings as B
 from . import query
-from .relational import FILES, LISTING, MEMORY, MOUNT_SQL, mounts, values
+from .relational import FILES, MEMORY_SQL, MOUNT_SQL, memory_files, mounts, values
 
 T = B.table
 
@@ -28,32 +28,29 @@ def _both(name: str, sql: str, oracle: str | None = None) -> None:
     query(name, oracle or sql)(lambda spark, d: engine(spark, d).sql(sql))
 
 
-_both("p02_columns_by_predicate", "SELECT COLUMNS(c -> c IN ('uri', 'source_uri')) FROM Filesystems WHERE scheme = 'github'", f"WITH {MOUNT_SQL} SELECT uri FROM mounts WHERE scheme = 'github'")
+_both("p02_columns_by_predicate", "SELECT COLUMNS(c -> c IN ('uri', 'source_uri')) FROM Filesystems WHERE scheme = 'git'", f"WITH {MOUNT_SQL} SELECT uri FROM mounts WHERE scheme = 'git'")
 _both("w01_qualify", "SELECT lang, doc_id FROM documents QUALIFY row_number() OVER (PARTITION BY lang ORDER BY n_chars DESC, doc_id) <= 3")
 _both("a04_pivot_using", "PIVOT (SELECT lang, source, n_chars FROM documents) ON source IN ('src0', 'src1') USING sum(n_chars) GROUP BY lang", "SELECT lang, sum(n_chars) FILTER (WHERE source = 'src0')::BIGINT AS src0, sum(n_chars) FILTER (WHERE source = 'src1')::BIGINT AS src1 FROM documents GROUP BY lang")
 _both("f08_arrow_extract", "SELECT event_id, props ->> '$.k' AS k FROM events")
 _both("f08_json_in_where", "SELECT event_id FROM events WHERE json_extract_string(props, '$.k')::INTEGER > 50")
-_both("f03_trim_dialect", "SELECT uri, trim(path_prefix, '/') AS t, starts_with(path_prefix, 'app') AS s FROM Filesystems", f"WITH {MOUNT_SQL} SELECT uri, trim(path_prefix, '/') AS t, coalesce(starts_with(path_prefix, 'app'), false) AS s FROM mounts")
+_both("f03_trim_dialect", "SELECT uri, trim(path_prefix, '/') AS t, starts_with(path_prefix, '/data') AS s FROM Filesystems", f"WITH {MOUNT_SQL} SELECT uri, trim(path_prefix, '/') AS t, coalesce(starts_with(path_prefix, '/data'), false) AS s FROM mounts")
 _both("p03_from_first", "FROM nation WHERE n_regionkey = 1")
 _both("a02_filter_clause", "SELECT lang, count(*) FILTER (WHERE n_chars > 1000) AS long_ones, string_agg(DISTINCT lang, ',') AS l FROM documents GROUP BY lang")
 _both("j14_labelled_like", "SELECT CASE WHEN uri LIKE 'doc:///en/%' THEN 'en' ELSE 'other' END AS side, count(*) AS n FROM Files GROUP BY ALL", f"WITH {FILES} SELECT CASE WHEN uri LIKE 'doc:///en/%' THEN 'en' ELSE 'other' END AS side, count(*) AS n FROM files GROUP BY ALL")
 
-LISTED = """WITH repos AS (SELECT CASE WHEN kind = 'workspace' THEN 'workspace' ELSE 'import' END AS section, COLUMNS(c -> c IN ('uri', 'source_uri')), concat_ws('/', scheme, nullif(authority, ''), nullif(trim(path_prefix, '/'), '')) AS memory
-FROM Filesystems WHERE scheme NOT IN ('file', 'help', 'concept', 'vocabulary', 'worktree') AND coalesce(kind, '') NOT IN ('primary', 'worktree'))
-SELECT r.section, r.uri, count(m.uri) FILTER (WHERE starts_with(m.uri, 'concept:///' || r.memory || '/')) AS concepts FROM repos r LEFT JOIN Memory m ON starts_with(m.uri, 'concept:///' || r.memory || '/') GROUP BY r.section, r.uri"""
-
-
-@query("j02_listing_dialect", LISTING + " SELECT r.section, r.uri, count(m.uri) FILTER (WHERE starts_with(m.uri, 'concept:///' || r.memory || '/')) AS concepts FROM repos r LEFT JOIN memory_files m ON starts_with(m.uri, 'concept:///' || r.memory || '/') GROUP BY r.section, r.uri")
+@query("j02_prefix_join_dialect", f"WITH {MOUNT_SQL}, {MEMORY_SQL} SELECT m.uri, count(f.uri) FILTER (WHERE f.extension = '.md') AS notes FROM mounts m LEFT JOIN memory_files f ON starts_with(f.uri, 'concept:///' || m.scheme || '/' || trim(m.path_prefix, '/') || '/') GROUP BY m.uri")
 def _(spark, d):
+    """A prefix join as it is written in the external dialect, renamed columns and all."""
     e = engine(spark, d)
-    e.register("Memory", spark.createDataFrame(MEMORY, "uri string, extension string, name string"))
-    return e.sql(LISTED)
+    e.register("Memory", memory_files(spark))
+    return e.sql("""WITH m AS (SELECT COLUMNS(c -> c IN ('uri', 'source_uri')), scheme, path_prefix FROM Filesystems)
+SELECT m.uri, count(f.uri) FILTER (WHERE f.extension = '.md') AS notes FROM m LEFT JOIN Memory f ON starts_with(f.uri, 'concept:///' || m.scheme || '/' || trim(m.path_prefix, '/') || '/') GROUP BY m.uri""")
 
 
-@query("s_version_fallback", f"WITH {MOUNT_SQL} SELECT uri AS line FROM mounts WHERE uri LIKE 'github://%'")
+@query("s_version_fallback", f"WITH {MOUNT_SQL} SELECT uri AS line FROM mounts WHERE uri LIKE 'git://%'")
 def _(spark, d):
     """The newer statement names a column that an older relation lacks; the older one is answered."""
-    return engine(spark, d).first_of("SELECT mounted_at, uri AS line FROM Filesystems", "SELECT uri AS line FROM Filesystems WHERE uri LIKE 'github://%'")
+    return engine(spark, d).first_of("SELECT mounted_at, uri AS line FROM Filesystems", "SELECT uri AS line FROM Filesystems WHERE uri LIKE 'git://%'")
 
 
 GATED = [("SELECT 1", True), ("with a as (select 1) select * from a", True), ("DROP TABLE x", False), ("SELECT 1; SELECT 2", False), ("SELECT ';' AS x -- ; drop", True), ("SET a = 1", False), ("PRAGMA x", False), ("WITH a AS (SELECT 1) INSERT INTO t SELECT * FROM a", False), ("DESCRIBE SELECT 1", True), ("", False), ("EXPLAIN DELETE FROM t", False), ("SELECT 'DROP TABLE x' AS t;", True)]

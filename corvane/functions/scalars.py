@@ -48,7 +48,7 @@ def described(operation: Column, filesystem: Column) -> Column:
     source = F.regexp_replace(F.substring(operation, F.lit(8), F.length(operation)), r"^/+|/+$", "")
     named = F.regexp_replace(source, r"^github\.com/", "github://")
     address = F.when(F.coalesce(filesystem, F.lit("")) != "", F.regexp_replace(filesystem, r"/+$", "")).otherwise(named)
-    told = F.when((address != "") & ~address.startswith("worktree:/"), F.concat(F.lit("importing "), address))
+    told = F.when((address != "") & ~address.startswith("worktree://"), F.concat(F.lit("importing "), address))
     return F.when(operation == "startup", F.lit("indexing this repository")).when(operation.startswith("import:"), told)
 
 

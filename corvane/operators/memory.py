@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions import scalars
 from . import joins, ranking
 
 CATEGORIES = ("KNOWLEDGE", "RULE", "DECISION", "PATTERN", "WARNING")
@@ -91,3 +92,32 @@ def provenance(delivered: DataFrame, edited: DataFrame, seen: DataFrame, session
     """Delivered addresses that the session is itself editing in a worktree and has not been told about."""
     now = edited.select(session, uri, "worktree").distinct()
     return unseen(delivered.select(session, uri).distinct().join(now, [session, uri]), seen, [session, uri])
+
+
+# Mounts that a listing leaves out, as who asks knows them, and the names that memory goes by.
+UNLISTED_SCHEMES = ("file", "help", "concept", "vocabulary", "worktree")
+UNLISTED_KINDS = ("primary", "worktree")
+NOTES, WORDS = "concept:///", "vocabulary:///"
+
+
+def mount_memory(mounts: DataFrame, files: DataFrame) -> DataFrame:
+    """uri, section, label, concepts, words of every mount that is listed: how much memory lies below its path.
+
+    Notes are ``.md`` files other than a README. A mount of a new kind or without one is listed; its kind is the label.
+    """
+    kind = F.coalesce("kind", F.lit(""))
+    shown = mounts.filter(~F.col("scheme").isin(*UNLISTED_SCHEMES) & ~kind.isin(*UNLISTED_KINDS))
+    section = F.when(kind == "workspace", "workspace").otherwise("import")
+    label = F.when(~kind.isin("workspace", "import", ""), kind)
+    path = scalars.memory_path(F.col("scheme"), F.col("authority"), F.col("path_prefix"))
+    rows = shown.select("uri", section.alias("section"), label.alias("label"), path.alias("__path"))
+    note = (F.col("extension") == ".md") & (F.lower("name") != "readme.md")
+    held = files.filter((F.col("uri").startswith(NOTES) & note) | F.col("uri").startswith(WORDS))
+    below = {n: F.concat(F.lit(root), F.col("__path"), F.lit("/")) for n, root in (("concepts", NOTES), ("words", WORDS))}
+    return joins.prefix_counts(rows, held, below, ["uri"]).drop("__path")
+
+
+def memory_lines(listed: DataFrame) -> DataFrame:
+    """section, line: the address, and in brackets its label and what it holds."""
+    held = F.concat_ws(", ", "label", scalars.counted(F.col("concepts"), "concept", "concepts"), scalars.counted(F.col("words"), "vocab word", "vocab words"))
+    return listed.select("section", F.when(held == "", F.col("uri")).otherwise(F.concat("uri", F.lit(" ("), held, F.lit(")"))).alias("line"))

@@ -55,7 +55,7 @@ def words(operation: Any, filesystem: Any = None) -> str | None:
         place = name.removeprefix("import:").strip("/")
         if place.startswith("github.com/"):
             place = "github://" + place.removeprefix("github.com/")
-    return None if not place or place.startswith("worktree:/") else f"importing {place}"
+    return None if not place or place.startswith("worktree://") else f"importing {place}"
 
 
 def advance(view: View, record: dict[str, Any], now: int) -> tuple[View, str | None]:
