@@ -7,7 +7,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -60,6 +60,10 @@ def terms(text: str) -> list[str]:
     return list(dict.fromkeys(re.findall(r"\w+", text.lower())))
 
 
+def _is(word: str):
+    return lambda x: x == word
+
+
 def bm25(docs: DataFrame, query: str, key: str, text: str = "text") -> DataFrame:
     """key, score of the texts that hold a query word; the statistics cover all of docs.
 
@@ -69,17 +73,19 @@ def bm25(docs: DataFrame, query: str, key: str, text: str = "text") -> DataFrame
     words = terms(query)
     if not words:
         return docs.select(key, F.lit(0.0).alias("score")).limit(0)
-    held = docs.select(key, joins.tokens(F.col(text)).alias("__w")).withColumn("__n", F.size("__w"))
-    count = lambda w: F.size(F.filter("__w", lambda x: x == w))
-    rows = held.select(key, "__n", *(count(w).alias(f"__t{i}") for i, w in enumerate(words)))
-    stats = rows.agg(F.count("*").alias("__docs"), F.avg("__n").alias("__mean"), *(F.count_if(F.col(f"__t{i}") > 0).alias(f"__d{i}") for i in range(len(words))))
-    joined = rows.filter(" or ".join(f"__t{i} > 0" for i in range(len(words)))).join(F.broadcast(stats))  # one row
+    def counted(rows: DataFrame) -> DataFrame:
+        held = rows.select(key, joins.tokens(F.col(text)).alias("__w"))
+        return held.select(key, F.size("__w").alias("__n"), *(F.size(F.filter("__w", _is(w))).alias(f"__t{i}") for i, w in enumerate(words)))
+
+    stats = counted(docs).agg(F.count("*").alias("__docs"), F.avg("__n").alias("__mean"), *(F.count_if(F.col(f"__t{i}") > 0).alias(f"__d{i}") for i in range(len(words))))
+    some = reduce(Column.__or__, (F.contains(F.lower(text), F.lit(w)) for w in words))  # cheap, and true of all that score
+    joined = counted(docs.filter(some)).join(F.broadcast(stats))  # one row
     score = F.lit(0.0)
     for i in range(len(words)):
         tf, df = F.col(f"__t{i}"), F.col(f"__d{i}")
         idf = F.log(1 + (F.col("__docs") - df + 0.5) / (df + 0.5))
         score = score + idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("__n") / F.col("__mean")))
-    return joined.select(key, F.round(score, DIGITS).alias("score"))
+    return joined.select(key, score.alias("score")).filter("score > 0").select(key, F.round("score", DIGITS).alias("score"))
 
 
 def place_of(word: str) -> tuple[int, int]:
