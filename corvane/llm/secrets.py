@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,6 +21,8 @@ KINDS = {
     "blob": (r"[A-Za-z0-9+/_-]{20,}={0,2}", 0, 20, r"[A-Za-z0-9+/_-]{20}"),
     "endpoint": (r"[a-z][a-z0-9+.-]*://[A-Za-z0-9.-]+(?::[0-9]+)?[A-Za-z0-9/_.-]*", 0, 10, "://"),
 }
+#: Words of which a text must hold one, in lower case, before the patterns of a kind are tried on it.
+HINTS = {"assign": ("passw", "secret", "token", "api"), "access": ("akia",), "ident": ("client", "key", "user", "login", "account"), "endpoint": ("://",)}
 BASE = ["assign", "access", "hex"]
 WEAK = ["ident", "blob", "endpoint"]
 #: What a kind is to a credential: its identifier, its secret or the place where it is used.
@@ -30,9 +34,10 @@ _CHUNK = 256
 
 
 def _pieces(docs: DataFrame, kind: str) -> DataFrame:
-    """docs (t, ...) with z_<kind>: per match the length of the gap before it, its length, and the length that counts."""
+    """docs (t, low, ...) with z_<kind>: per match the length of the gap before it, its length, and the length that counts."""
     pattern, group, _, quick = KINDS[kind]
-    hit = F.col("t").rlike(quick)
+    hinted = reduce(Column.__or__, (F.contains("low", F.lit(h)) for h in HINTS.get(kind, ())), F.lit(kind not in HINTS))
+    hit = hinted & F.col("t").rlike(quick)
     m, g, p = f"m_{kind}", f"g_{kind}", f"p_{kind}"
     cut = docs.withColumns(
         {
@@ -137,6 +142,7 @@ def secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     ignored. Kinds are numbered in the order of KINDS.
     """
     rows = docs.select(col(id_col).alias("doc_id"), F.coalesce(col(text_col), F.lit("")).alias("t"))
+    rows = rows.withColumn("low", F.lower("t"))
     for kind in KINDS:
         rows = _pieces(rows, kind)
     uid = F.md5("t").alias("uid")
