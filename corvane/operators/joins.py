@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.address import matches_glob
-from .lineage import settle
+from .lineage import settle, spread
 
 
 def prefixes(uri: Column) -> Column:
@@ -82,27 +82,35 @@ def tokens(text: Column) -> Column:
 TERM_WORDS = 4
 #: Terms that are sent to every task to filter by; with more, all runs of words are dealt out.
 FEW_TERMS = 10_000
+#: Terms that a text is searched for one by one.
+WALKED_TERMS = 200
 
 
 def contains(texts: DataFrame, terms: DataFrame, text: str = "text", term: str = "term") -> DataFrame:
     """texts × terms that occur in them as whole words, any case. Each pair comes out once.
 
-    A text names its distinct runs of one to TERM_WORDS words and meets the terms on equal runs: nothing is compared
-    pairwise, and of few terms the texts drop the other runs at once. Longer terms are an error rather than missed.
+    A text names the terms that it holds and meets them on equal words: up to WALKED_TERMS terms it looks for each, up
+    to FEW_TERMS it keeps those of its runs of one to TERM_WORDS words that are terms, and with more it deals all its
+    distinct runs out. Nothing is compared pairwise. Longer terms are an error rather than missed.
     """
     run = F.array_join(tokens(F.col(term)), " ")
     keyed = terms.withColumn("__key", run).withColumn("__key", F.when(F.size(F.split("__key", " ")) <= TERM_WORDS, F.col("__key")).otherwise(F.raise_error(F.concat(F.lit("term of too many words: "), F.col(term)))))
     keyed = keyed.filter("__key <> ''")
-    split = texts.withColumn("__w", tokens(F.col(text)))
-    grams = F.array_distinct(
-        F.flatten(F.transform(F.sequence(F.lit(1), F.lit(TERM_WORDS)), lambda n: F.when(F.size("__w") >= n, F.transform(F.sequence(F.lit(1), F.size("__w") - n + 1), lambda i: F.array_join(F.slice("__w", i, n), " "))).otherwise(F.array().cast("array<string>"))))
-    )
-    runs = split.withColumn("__g", grams).drop("__w")
-    few = keyed.select("__key").distinct()
-    if few.limit(FEW_TERMS + 1).count() <= FEW_TERMS:  # then each text drops the runs that are no term before any is dealt out
-        every = few.agg(F.collect_list("__key").alias("__e"))
-        runs = runs.join(F.broadcast(every)).withColumn("__g", F.array_intersect("__g", "__e")).drop("__e")
-    return runs.withColumn("__key", F.explode("__g")).drop("__g").join(keyed, "__key").drop("__key")
+    texts = spread(texts)
+    distinct = keyed.select("__key").distinct()
+    n = distinct.limit(FEW_TERMS + 1).count()
+    if n <= FEW_TERMS:
+        texts = texts.join(F.broadcast(distinct.agg(F.collect_list("__key").alias("__e"))))  # one row
+    words = texts.withColumn("__w", tokens(F.col(text)))
+    if n <= WALKED_TERMS:
+        plain = F.concat(F.lit(" "), F.array_join("__w", " "), F.lit(" "))
+        runs = words.withColumn("__p", plain).withColumn("__g", F.filter("__e", lambda t: F.contains(F.col("__p"), F.concat(F.lit(" "), t, F.lit(" "))))).drop("__p")
+    else:
+        grams = F.array_distinct(
+            F.flatten(F.transform(F.sequence(F.lit(1), F.lit(TERM_WORDS)), lambda n: F.when(F.size("__w") >= n, F.transform(F.sequence(F.lit(1), F.size("__w") - n + 1), lambda i: F.array_join(F.slice("__w", i, n), " "))).otherwise(F.array().cast("array<string>"))))
+        )
+        runs = words.withColumn("__g", F.array_intersect(grams, "__e") if n <= FEW_TERMS else grams)
+    return runs.withColumn("__key", F.explode("__g")).drop("__g", "__w", "__e").join(keyed, "__key").drop("__key")
 
 
 #: Aliases that one pass over the texts looks for.

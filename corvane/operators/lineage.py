@@ -28,3 +28,18 @@ def settle(df: DataFrame) -> DataFrame:
     """df, computed once and kept where every executor can read it."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+#: Bytes below which an input may lie in fewer pieces than there are cores.
+SMALL = 64 << 20
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """rows over all cores when the input is small; a larger one is left as its files divide it.
+
+    A file of one row group is one task however many cores wait, which matters where each row costs much. Filters and
+    column choices still reach the scan.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return rows.repartition(cores) if size < SMALL and len(rows.inputFiles()) < cores else rows

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..sources.bindings import lines
 from . import joins
+from .lineage import settle, spread
 
 K1, B = 1.2, 0.75
 #: Constant of reciprocal rank fusion, and the candidates that each list contributes.
@@ -75,7 +76,8 @@ def bm25(docs: DataFrame, query: str, key: str, text: str = "text") -> DataFrame
         return docs.select(key, F.lit(0.0).alias("score")).limit(0)
     def counted(rows: DataFrame) -> DataFrame:
         held = rows.select(key, joins.tokens(F.col(text)).alias("__w"))
-        return held.select(key, F.size("__w").alias("__n"), *(F.size(F.filter("__w", _is(w))).alias(f"__t{i}") for i, w in enumerate(words)))
+        counts = F.struct(F.size("__w").alias("__n"), *(F.size(F.filter("__w", _is(w))).alias(f"__t{i}") for i, w in enumerate(words)))
+        return held.select(key, F.explode(F.array(counts)).alias("x")).select(key, "x.*")  # what filters on counts stays above them
 
     stats = counted(docs).agg(F.count("*").alias("__docs"), F.avg("__n").alias("__mean"), *(F.count_if(F.col(f"__t{i}") > 0).alias(f"__d{i}") for i in range(len(words))))
     some = reduce(Column.__or__, (F.contains(F.lower(text), F.lit(w)) for w in words))  # cheap, and true of all that score
@@ -124,7 +126,7 @@ def vector_scores(docs: DataFrame, query: str, key: str, text: str = "text") ->
                 out.append(sum(a * b for a, b in zip(vector, weights, strict=True)) / (length * size) if length else 0.0)
             yield pd.Series(out, dtype="float64")
 
-    return docs.select(key, F.round(cosines(F.lower(text)), 6).alias("score")).filter("score > 0")
+    return spread(docs.select(key, text)).select(key, F.round(cosines(F.lower(text)), 6).alias("score")).filter("score > 0")
 
 
 def fused(lists: list[DataFrame], key: str, most: int) -> DataFrame:
@@ -139,9 +141,11 @@ def fused(lists: list[DataFrame], key: str, most: int) -> DataFrame:
         part = best.select(key, (1.0 / (FUSION + F.row_number().over(W.orderBy(*order)))).alias("s"))  # few rows
         parts = part if parts is None else parts.unionByName(part)
     total = parts.groupBy(key).agg(F.round(F.sum("s"), 12).alias("s"))
-    span = total.agg(F.max("s").alias("hi"), F.min("s").alias("lo"))
-    scaled = F.when(F.col("hi") > F.col("lo"), (F.col("s") - F.col("lo")) / (F.col("hi") - F.col("lo"))).otherwise(F.lit(1.0))
-    rows = total.join(F.broadcast(span)).select(key, F.round(scaled, 6).alias("score"), "s")  # one row
+    every = W.partitionBy()  # at most CANDIDATES rows of each list, which are not computed twice
+    hi, lo = F.max("s").over(every), F.min("s").over(every)
+    rows = total.withColumn("__hi", hi).withColumn("__lo", lo)
+    scaled = F.when(F.col("__hi") > F.col("__lo"), (F.col("s") - F.col("__lo")) / (F.col("__hi") - F.col("__lo"))).otherwise(F.lit(1.0))
+    rows = rows.select(key, F.round(scaled, 6).alias("score"), "s")
     order = [F.col("s").desc(), F.col(key).asc_nulls_last()]
     return rows.orderBy(*order).limit(most).withColumn("rank", F.row_number().over(W.orderBy(*order)).cast("long")).select("rank", key, "score")
 
@@ -166,14 +170,14 @@ def localised(docs: DataFrame, keywords: str, key: str = "uri", text: str = "tex
 
 def find(docs: DataFrame, keywords: str, most: int = 10, key: str = "uri", text: str = "text") -> DataFrame:
     """rank, key, confidence from 0 to 100, line_number where one line holds words of the query."""
-    best = explore(docs, keywords, "", key, text, most or 10)
+    best = settle(explore(docs, keywords, "", key, text, most or 10))
     spots = localised(docs.join(F.broadcast(best.select(key)), key, "left_semi"), keywords, key, text)  # at most ``most`` keys
     return best.join(spots, key, "left").select("rank", key, F.round(F.col("score") * 100).cast("long").alias("confidence"), "line_number")
 
 
 def search_pipeline(docs: DataFrame, query: str, most: int, key: str = "uri", text: str = "text") -> DataFrame:
     """uri, symbol (null here), line_start, line_end, snippet, score: explore() as a relation to join with."""
-    best = explore(docs, query, "", key, text, most)
+    best = settle(explore(docs, query, "", key, text, most))
     spots = localised(docs.join(F.broadcast(best.select(key)), key, "left_semi"), query, key, text)
     rows = best.join(spots, key, "left")
     return rows.select(key, F.lit(None).cast("string").alias("symbol"), F.col("line_number").alias("line_start"), F.col("line_number").alias("line_end"), F.substring(F.trim("line"), 1, 160).alias("snippet"), "score")
@@ -191,7 +195,7 @@ def similar(vectors: DataFrame, seed: Column, most: int, key: str = "vec_id", ve
 
 def vocabulary(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     """term, df: the words of the corpus and in how many texts each occurs."""
-    return docs.select(key, F.explode(F.array_distinct(joins.tokens(F.col(text)))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    return spread(docs.select(key, text)).select(key, F.explode(F.array_distinct(joins.tokens(F.col(text)))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
 
 
 def fuzzy(known: DataFrame, word: str, most: int = 5, within: int = 2) -> DataFrame:
@@ -208,7 +212,7 @@ def discover(docs: DataFrame, keywords: str, key: str, text: str = "text", most:
     A term scores by the share of its texts that hold a probe word; the probe's own words are not repeated as terms.
     """
     probe = terms(keywords)
-    words = docs.select(key, F.array_distinct(joins.tokens(F.col(text))).alias("w"))
+    words = spread(docs.select(key, text)).select(key, F.array_distinct(joins.tokens(F.col(text))).alias("w"))
     marked = words.select(key, F.explode("w").alias("term"), F.arrays_overlap("w", F.array(*map(F.lit, probe))).alias("hit"))
     counts = marked.groupBy("term").agg(F.count("*").alias("df"), F.count_if("hit").alias("with"))
     known = counts.filter(F.col("term").isin(probe)).select(F.lit("CONFIRMED").alias("kind"), F.lit("lexical").alias("channel"), "term", "df", F.lit(1.0).alias("score"))
@@ -228,7 +232,7 @@ def explain(docs: DataFrame, question: str, keywords: str, budget: int, most: in
     from ..functions.scalars import token_count
     from . import ranking
 
-    best = explore(docs, keywords, question, key, text, most)
+    best = settle(explore(docs, keywords, question, key, text, most))
     chosen = docs.join(F.broadcast(best), key)  # at most ``most`` rows
     spots = localised(chosen.select(key, text), f"{keywords} {question}", key, text)
     costed = chosen.select("rank", key, token_count(F.col(text)).alias("tokens"))

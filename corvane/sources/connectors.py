@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import base64
 import importlib
 from collections.abc import Iterator
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -62,11 +64,18 @@ class ConnectorSource(DataSource):
         return SCHEMA
 
     def reader(self, schema) -> DataSourceReader:
-        module, _, name = self.options["connector"].partition(":")
-        return _Reader(getattr(importlib.import_module(module), name)(dict(self.options)))
+        options = dict(self.options)
+        sent = options.pop("pickled", None)
+        return _Reader((cloudpickle.loads(base64.b64decode(sent)) if sent else _named(options["connector"]))(options))
+
+
+def _named(name: str) -> type[Connector]:
+    module, _, attribute = name.partition(":")
+    return getattr(importlib.import_module(module), attribute)
 
 
 def connector(spark: SparkSession, name: str, **options: str) -> DataFrame:
     """uri, mime, text of an external system, read in the connector's own partitions."""
     spark.dataSource.register(ConnectorSource)
-    return spark.read.format("corvane").option("connector", name).options(**options).load()
+    sent = base64.b64encode(cloudpickle.dumps(_named(name))).decode()  # found here, so that workers need not
+    return spark.read.format("corvane").option("connector", name).option("pickled", sent).options(**options).load()
