@@ -59,3 +59,14 @@ def n_words(text: Column) -> Column:
 
 def keep_columns(docs: DataFrame, names: Sequence[str]) -> DataFrame:
     return docs.select(*(col(n) for n in names))
+
+
+#: Bytes below which an input may lie in fewer pieces than there are cores.
+SMALL = 64 << 20
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """rows over all cores when the input is small; a larger one is left as its files divide it."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return rows.repartition(cores) if size < SMALL and len(rows.inputFiles()) < cores else rows

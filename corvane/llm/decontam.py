@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 from itertools import chain, repeat
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import col, settle
+from .common import col, settle, spread
 
 WINDOW = 13
 #: Windows of one automaton; more items are searched in blocks, each an automaton and a scan of its own.
@@ -65,11 +64,6 @@ class Searcher:
         return runs, names
 
 
-@lru_cache(maxsize=2)
-def _searcher(items: tuple[tuple[str, str], ...], width: int) -> Searcher:
-    return Searcher(items, width)
-
-
 def original_spans(text: str, runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """Runs of words as code point offsets of the text itself, found by one walk over its normalised bytes."""
     import re
@@ -115,7 +109,7 @@ def _scan(text: Column, shared, width: int) -> Column:
 
     @F.pandas_udf(HITS)
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        search = _searcher(shared.value, width)
+        search = Searcher(shared.value, width)  # once a task
         for texts in batches:
             rows = []
             for text in texts:
@@ -147,7 +141,7 @@ def contamination(
     Benchmarks of up to ``block_windows`` windows need one pass and no shuffle. Larger ones are broadcast block by
     block; what the blocks find in a text is merged by a join on the text's digest, so memory stays bounded.
     """
-    rows, hits = _found(docs, col(text_col), items.select(col(item_id_col).cast("string").alias("i"), col(item_text_col).alias("t")), width, block_windows)
+    rows, hits = _found(spread(docs.select(col(id_col), col(text_col)) if id_col != text_col else docs), col(text_col), items.select(col(item_id_col).cast("string").alias("i"), col(item_text_col).alias("t")), width, block_windows)
     return rows.select(col(id_col).alias("doc_id"), *(hits[n].alias(n) for n in ("n_words", "n_hit", "items", "spans")), _flag(hits).alias("contaminated"))
 
 

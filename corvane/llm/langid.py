@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import col
+from .common import col, spread
 
 #: Documents of each language that training reads, at most; pieces of each document; languages, most frequent first.
 SAMPLE_DOCS, SAMPLE_PIECES, MOST_LANGS = 300, 4, 64
@@ -253,5 +253,6 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     equal answers, whatever their other columns. Repeated rows and null ids stay. An empty table gives an empty one.
     """
     model = train(sample(docs, id_col, text_col, lang_col))
-    rows = docs.select(col(id_col).alias("doc_id"), said(docs.sparkSession, model, col(text_col)).alias("s"))
+    rows = spread(docs.select(col(id_col).alias("doc_id"), col(text_col).alias("t")))
+    rows = rows.select("doc_id", said(docs.sparkSession, model, F.col("t")).alias("s"))
     return rows.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "s.lang_pred", "s.score")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import col
+from .common import col, spread
 
 KEY = "change-me"
 OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
@@ -227,7 +227,7 @@ def surrogates(docs: DataFrame, key: str = KEY, id_col: str = "doc_id", text_col
     document; collisions() checks it over all of them. A null text stays null and has no entities; whole texts are
     searched. Repeated rows get equal answers. An empty table gives an empty one. No shuffle.
     """
-    rows = docs.select(col(id_col).alias("doc_id"), col(text_col).alias("t"))
+    rows = spread(docs.select(col(id_col).alias("doc_id"), col(text_col).alias("t")))
     hit = F.col("t").rlike(QUICK)
     cut = rows.withColumns({"m": F.when(hit, F.regexp_extract_all("t", F.lit(EVERY), F.lit(0))), "g": F.when(hit, F.split("t", EVERY))})
     typed = cut.withColumn("e", F.transform("m", lambda s: F.struct(kind_of(s).alias("kind"), s.alias("entity"))))

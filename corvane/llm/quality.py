@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import BLANKS, col, settle, words
+from .common import BLANKS, col, settle, spread, words
 
 #: Words of a repeated window, fewest words of a document, most repeated words in a hundred.
 SPAN, FEWEST_WORDS, MOST_REPEATED = 8, 20, 30
@@ -30,6 +30,7 @@ def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     """
     text = F.coalesce(F.col("t"), F.lit(""))
     base = docs.select(col(id_col).alias("doc_id"), col(lang_col).alias("lang"), col(source_col).alias("source"), col(text_col).alias("t"))
+    base = spread(base)
     lines = F.filter(F.split(text, "\n"), lambda x: F.btrim(x, F.lit(BLANKS)) != "")
     a = base.select("doc_id", "lang", "source", words(F.col("t")).alias("w"), lines.alias("l"), (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long").alias("n_symbols"))
     hashed = F.when(F.size("w") >= SPAN, F.transform(F.sequence(F.lit(1), F.size("w") - (SPAN - 1)), lambda i: F.xxhash64(F.slice("w", i, SPAN))))

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import col, settle
+from .common import col, settle, spread
 
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 IDENT = r"""(?i:client_?id|key_?id|user_?name|user|login|account)["']?\x20*[:=]\x20*["']?[A-Za-z0-9_.@-]{3,}"""
@@ -142,7 +142,7 @@ def secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     ignored. Kinds are numbered in the order of KINDS.
     """
     rows = docs.select(col(id_col).alias("doc_id"), F.coalesce(col(text_col), F.lit("")).alias("t"))
-    rows = rows.withColumn("low", F.lower("t"))
+    rows = spread(rows).withColumn("low", F.lower("t"))
     for kind in KINDS:
         rows = _pieces(rows, kind)
     uid = F.md5("t").alias("uid")

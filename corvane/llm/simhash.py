@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import col, settle
+from .common import col, settle, spread
 from .components import components
 
 BITS = 64
@@ -98,7 +98,7 @@ def clusters(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ca
     never names a component unless a component has no other (then component_id is null). Extra columns are ignored.
     """
     carry = carry or {}
-    rows = settle(docs.select(col(id_col).alias("doc_id"), fingerprint(col(text_col)).alias("fp"), *(c.alias(n) for n, c in carry.items())))
+    rows = settle(spread(docs).select(col(id_col).alias("doc_id"), fingerprint(col(text_col)).alias("fp"), *(c.alias(n) for n, c in carry.items())))
     prints = settle(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
     linked = components(links(prints.select("fp")))
     named = prints.join(linked.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
