@@ -120,17 +120,19 @@ class Mix:
 
     ``members`` is the array of sources of a document; a null source is a source of its own and comes last. A
     document of several sources adds its size to each of them. Every pattern gives what the flow asks: whole rounds
-    of all its documents, then documents in a seeded order while they fit, then the one document that comes nearest
-    to what is still open. The cut is found from sums by leading digits of that order, so only the documents of one
-    4096th of a pattern are ever sorted, and a hot source costs no single task. A row of the plan holds the last
-    place of the order that is in, so it applies to the texts themselves without a shuffle.
+    of all its documents, then documents in a seeded order, each that still fits, then the one document that comes
+    nearest to what is still open. A document that does not fit is set aside, and with it all that are larger than
+    what is open. Without ``fill`` the first document that does not fit ends the order, as the SQL of op6 has it.
+    A cut is found from sums by leading digits of that order, so only the documents of one 4096th of a pattern are
+    ever sorted, and a hot source costs no single task. A row of the plan holds the stretches of the order that are
+    in, so it applies to the texts themselves without a shuffle.
 
     Null and blank texts have size 0 and are never taken, nor are documents without members. Rows with one id and
     size are in or out together. Empty tables give empty results. Reruns agree, whatever the partitioning: the order
     hangs on the seed and the id alone.
     """
 
-    def __init__(self, docs: DataFrame, members: Column, id_col: str = "doc_id", text_col: str = "text", weights: dict[str | None, float] | None = None, repeats: int = REPEATS, seed: str = SEED, most_patterns: int = MOST_PATTERNS):
+    def __init__(self, docs: DataFrame, members: Column, id_col: str = "doc_id", text_col: str = "text", weights: dict[str | None, float] | None = None, repeats: int = REPEATS, seed: str = SEED, most_patterns: int = MOST_PATTERNS, fill: bool = True):
         spark = docs.sparkSession
         self._how = (members, id_col, text_col, seed)
         self.rows = settle(_measured(docs, *self._how, {}))
@@ -150,7 +152,7 @@ class Mix:
         asked = spark.createDataFrame(
             [(list(p), n and taken.get(p, 0) // n, n and taken.get(p, 0) % n) for p, n in known], "members array<string>, full long, rest long"
         )
-        self.plan = settle(self._bounded(asked))
+        self.plan = settle(self._filled(asked) if fill else self._bounded(asked))
 
     def _bounded(self, asked: DataFrame) -> DataFrame:
         """asked with (upto_o, upto_size), the last place that is in, and (last_o, last_size), the document taken besides."""
@@ -175,9 +177,53 @@ class Mix:
         best = best.select("members", F.col("b.__o").alias("last_o"), F.col("b.size").alias("last_size"))
         return asked.drop("rest").join(bound.drop("gap"), "members", "left").join(best, "members", "left")
 
+    def _filled(self, asked: DataFrame) -> DataFrame:
+        """asked with stretches, which _stretched() reads, and (last_o, last_size), the document taken besides.
+
+        Each round starts at the next document that fits the gap. From there all that are no larger than the gap are
+        in, up to the first that it no longer holds. The gap only shrinks, so what was set aside stays so. Rows with
+        one id and size count as one document; the rounds go on until none fits.
+        """
+        docs = self.rows.filter("size > 0").groupBy("members", "__o", "size").agg((F.count("*") * F.col("size")).alias("words"))
+        docs = settle(docs.withColumn("__b", F.substring("__o", 1, CUT_DIGITS)))
+        none = F.array().cast("array<struct<from_o:string,from_size:long,upto_o:string,upto_size:long,most:long>>")
+        state = settle(asked.filter("rest > 0").select("members", F.col("rest").alias("gap"), F.lit("").alias("o"), F.lit(0).cast("long").alias("n"), none.alias("stretches")))
+        left, here = docs, F.struct("__o", "size")
+        while True:
+            on = self._few(state.filter("gap > 0 and o is not null").select("members", "gap", "o", "n"))
+            left = settle(left.select(*docs.columns).join(on, "members").filter("size <= gap and (__o > o or (__o = o and size > n))"))
+            start = settle(left.filter("words <= gap").groupBy("members").agg(F.min(here).alias("at")))
+            if start.isEmpty():
+                break
+            ahead = left.join(self._few(start), "members").filter(here >= F.col("at"))
+            upto = W.partitionBy("members").orderBy("__b").rowsBetween(W.unboundedPreceding, W.currentRow)
+            sums = ahead.groupBy("members", "gap", "at", "__b").agg(F.sum("words").alias("s")).withColumn("c", F.sum("s").over(upto))
+            cut = F.min(F.when(F.col("c") > F.col("gap"), F.struct("__b", (F.col("c") - F.col("s")).alias("before"))))
+            ends = sums.groupBy("members", "at").agg(F.max("c").alias("all"), cut.alias("cut"))
+            ends = settle(ends.select("members", "at", "all", F.col("cut.__b").alias("__b"), F.col("cut.before").alias("before")))
+            run = W.partitionBy("members").orderBy("__o", "size").rowsBetween(W.unboundedPreceding, W.currentRow)
+            near = ahead.drop("at").join(self._few(ends.filter("__b is not null").select("members", "__b", "before")), ["members", "__b"])
+            near = near.withColumn("c", F.col("before") + F.sum("words").over(run)).filter("c > gap")
+            block = near.groupBy("members").agg(F.min(F.struct("__o", "size", (F.col("c") - F.col("words")).alias("c"))).alias("x"))
+            moved = state.join(self._few(ends.select("members", "at", "all")), "members", "left").join(self._few(block), "members", "left")
+            step = F.struct(F.col("at.__o").alias("from_o"), F.col("at.size").alias("from_size"), F.col("x.__o").alias("upto_o"), F.col("x.size").alias("upto_size"), F.col("gap").alias("most"))
+            state = settle(
+                moved.select(
+                    "members",
+                    (F.col("gap") - F.coalesce("x.c", "all", F.lit(0))).alias("gap"),
+                    F.col("x.__o").alias("o"),  # null: nothing is left
+                    F.col("x.size").alias("n"),
+                    F.when(F.col("at").isNull(), F.col("stretches")).otherwise(F.concat("stretches", F.array(step))).alias("stretches"),
+                )
+            )
+        out = docs.join(self._few(state.select("members", "gap", "stretches")), "members").filter("abs(words - gap) < gap").filter(~_stretched())
+        best = out.groupBy("members").agg(F.min(F.struct(F.abs(F.col("words") - F.col("gap")).alias("off"), "__o", "size")).alias("b"))
+        best = best.select("members", F.col("b.__o").alias("last_o"), F.col("b.size").alias("last_size"))
+        return asked.drop("rest").join(state.select("members", "stretches"), "members", "left").join(best, "members", "left")
+
     def _taken(self, rows: DataFrame) -> DataFrame:
         rows = rows.join(self._few(self.plan), "members")
-        more = _within() | F.coalesce((F.col("__o") == F.col("last_o")) & (F.col("size") == F.col("last_size")), F.lit(False))
+        more = (_stretched() if "stretches" in self.plan.columns else _within()) | F.coalesce((F.col("__o") == F.col("last_o")) & (F.col("size") == F.col("last_size")), F.lit(False))
         copies = F.when(F.col("size") > 0, F.col("full") + more.cast("long")).otherwise(F.lit(0))
         return rows.withColumn("copies", copies).drop(*(c for c in self.plan.columns if c != "members"))
 
@@ -199,3 +245,9 @@ class Mix:
 def _within() -> Column:
     o, size = F.col("__o"), F.col("size")
     return F.coalesce((o < F.col("upto_o")) | ((o == F.col("upto_o")) & (size <= F.col("upto_size"))), F.lit(False))
+
+
+def _stretched() -> Column:
+    here = F.struct("__o", "size")
+    inside = lambda x: (F.col("size") <= x.most) & (here >= F.struct(x.from_o, x.from_size)) & (x.upto_o.isNull() | (here < F.struct(x.upto_o, x.upto_size)))
+    return F.coalesce(F.exists("stretches", inside), F.lit(False))

@@ -33,7 +33,8 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mix = mixing.Mix(table(spark, sf_dir, "documents"), F.array(F.col("source").cast("string")))
+    """Without filling, as the SQL says: the first document that does not fit ends a source's order."""
+    mix = mixing.Mix(table(spark, sf_dir, "documents"), F.array(F.col("source").cast("string")), fill=False)
     rows = mix.chosen().withColumn("s", F.try_element_at("members", F.lit(1)))
     sources = mix.sources(spark)
     return rows.join(sources, rows["s"].eqNullSafe(sources["source"])).select("doc_id", "size", "source_size", "target", "taken")

@@ -53,6 +53,44 @@ def test_sizes_limits_and_nearness(docs, texts):
         assert abs(taken.get(source, 0) - target) <= largest
 
 
+@pytest.mark.parametrize("huge", range(3))
+def test_a_huge_document_does_not_end_the_filling(spark, huge):
+    rows = [(i + 1000 * huge, "w " * 50, "a") for i in range(200)] + [(-1 - huge, "w " * 20_000, "a"), (None, "w " * 50, "a"), (None, "w " * 50, "a")]
+    rows += [(i + 5000, "w " * (1 + i % 90), "b") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    mix = mixing.Mix(docs, F.array("source"), weights={"a": 1, "b": 5})
+    got = mix.chosen().groupBy(F.col("members")[0].alias("s")).agg(F.sum("taken").alias("n")).collect()
+    assert all(abs(r["n"] - mix.targets[r["s"]]) <= 50 for r in got) and len(got) == 2
+
+
+def brute_filled(rows, rest):
+    """rows of (o, size) -> those in: in order, each that still fits, then the nearest."""
+    sums = {}
+    for place in rows:
+        sums[place] = sums.get(place, 0) + place[1]
+    taken, gap = set(), rest
+    for place in sorted(sums):
+        if 0 < sums[place] <= gap:
+            taken.add(place)
+            gap -= sums[place]
+    near = [(abs(n - gap), *place) for place, n in sums.items() if place not in taken and n and abs(n - gap) < gap]
+    return taken | ({min(near)[1:]} if near else set())
+
+
+def test_filling_equals_first_fit(docs):
+    mix = chosen(docs)
+    rows = mix.rows.collect()
+    full = {tuple(r["members"]): r["full"] for r in mix.plan.collect()}
+    taken = mixing.flow(sorted(((s,), n) for s, n in mix.sizes.items() if s) + [((None,), mix.sizes[None])], mix.targets)
+    got = {(r["doc_id"], r["size"], *r["members"]): r["copies"] for r in mix.chosen().collect()}
+    for s, n in mix.sizes.items():
+        mine = [r for r in rows if list(r["members"]) == [s]]
+        assert full[(s,)] == taken[(s,)] // n
+        more = brute_filled([(r["__o"], r["size"]) for r in mine], taken[(s,)] % n)
+        for r in mine:
+            assert got[(r["doc_id"], r["size"], s)] == (full[(s,)] + ((r["__o"], r["size"]) in more) if r["size"] else 0)
+
+
 def test_reruns_and_other_partitions_agree(docs):
     a = pulled(chosen(docs).chosen(), "doc_id", "size", "taken")
     assert a == pulled(chosen(docs.repartition(13)).chosen(), "doc_id", "size", "taken")
