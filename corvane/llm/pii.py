@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
+import random
+import unicodedata
+from functools import lru_cache
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,7 +37,7 @@ PATTERNS = {
 }
 EVERY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: A cheap test that every text with an entity passes.
-QUICK = rf"@|[0-9][0-9. -]{{5}}|[A-Z]{{2}}[0-9]{{2}}|(?<!\p{{L}})(?:{'|'.join(TITLES_F + TITLES_M + [n for g in GIVEN.values() for n in g])})[. ]"
+QUICK = rf"@|[0-9][0-9. -]{{5}}|\+[0-9]|\([0-9]{{2,4}}\)|[A-Z]{{2}}[0-9]{{2}}|(?<!\p{{L}})(?:{'|'.join(TITLES_F + TITLES_M + [n for g in GIVEN.values() for n in g])})[. ]"
 #: Character classes; each is permuted by itself, so a surrogate has the shape of what it stands for. Chunk lengths
 #: keep a half of a chunk, times a class size, within a long.
 CLASSES = {
@@ -109,6 +114,33 @@ def woven(s: Column, classes: list[str], key: str, tag: str) -> Column:
     )
 
 
+@lru_cache
+def _other_letters() -> list[list[str]]:
+    """Letters of no class, by script and case; letters with both cases are listed in one of them."""
+    held = {x for alphabet, _ in CLASSES.values() for c in alphabet for x in (c, c.upper())}
+    out: dict[tuple[str, str], list[str]] = {}
+    for c in map(chr, range(0x110000)):
+        kind = unicodedata.category(c)
+        if kind in ("Lu", "Ll") and c not in held:
+            paired = len(c.swapcase()) == 1 and c.swapcase() != c and c.swapcase().swapcase() == c and c.swapcase() not in held
+            if not paired or kind == "Ll":
+                out.setdefault((unicodedata.name(c).split(" ")[0], "both" if paired else kind), []).append(c)
+    return list(out.values())
+
+
+def _turned(s: Column, key: str) -> Column:
+    """s with each letter of no class replaced by another of its script and case, along one keyed ring of them."""
+    there, back = [], []
+    for letters in _other_letters():
+        ring = list(letters)
+        random.Random(hashlib.sha256(f"{key}|{''.join(letters)}".encode()).digest()).shuffle(ring)
+        for a, b in zip(ring, ring[1:] + ring[:1], strict=True):
+            both = len(a.swapcase()) == 1 == len(b.swapcase()) and a.swapcase().swapcase() == a != a.swapcase()
+            there += [a, a.swapcase()] if both else [a]
+            back += [b, b.swapcase()] if both else [b]
+    return F.translate(s, "".join(there), "".join(back))
+
+
 def _luhn(digits: Column) -> Column:
     """The check digit of the digits before it."""
     n = F.length(digits)
@@ -162,8 +194,6 @@ def _given(s: Column, key: str) -> Column:
     """A known given name becomes another of its script and gender, by a keyed rotation of the list; else null."""
     out = F.lit(None).cast("string")
     for group, names in GIVEN.items():
-        import hashlib
-
         turn = int(hashlib.sha256(f"{key}|{group}".encode()).hexdigest(), 16) % (len(names) - 1) + 1
         for i, name in enumerate(names):
             out = F.when(s == name, F.lit(names[(i + turn) % len(names)])).otherwise(out)
@@ -179,7 +209,7 @@ def _name(s: Column, key: str) -> Column:
     known = [n for g in GIVEN.values() for n in g]
 
     def letters(w: Column) -> Column:
-        once = lambda x: F.concat(woven(F.substring(x, F.lit(1), F.length(x) - 1), _LETTERS, key, "name"), F.substring(x, F.length(x), F.lit(1)))
+        once = lambda x: F.concat(_turned(woven(F.substring(x, F.lit(1), F.length(x) - 1), _LETTERS, key, "name"), key), F.substring(x, F.length(x), F.lit(1)))
         return F.element_at(F.transform(F.transform(F.array(w), once), lambda x: F.when(x.isin(known), once(x)).otherwise(x)), 1)
 
     def word(w: Column) -> Column:

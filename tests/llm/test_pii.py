@@ -105,3 +105,32 @@ def test_another_key_gives_other_surrogates(spark, rows):
 def test_nothing_to_do(rows, no_docs):
     assert rows[4]["text"] is None and rows[5]["text"] == "" and rows[6]["text"] == TEXTS[5][1]
     assert rows[6]["entities"] == [] and pii.surrogates(no_docs).collect() == []
+
+
+@pytest.mark.parametrize("text", ["Ruf (0711) 12345, danke", "+49 (711) 4711", "call (555) 12 34, thanks"])
+def test_short_phones_alone_in_a_text_are_found(spark, text):
+    rows = spark.createDataFrame([(1, text), (2, text + " a@example.org")], "doc_id long, text string")
+    alone, beside = sorted(pii.surrogates(rows).collect(), key=lambda r: r["doc_id"])
+    assert [x["kind"] for x in alone["entities"]] == ["phone"] and alone["text"] != text
+    assert alone["entities"][0] == beside["entities"][0]
+
+
+def test_names_of_every_script_are_replaced(spark):
+    names = ["Παπαδόπουλος", "Άννας", "Պետրոսյան", "ԱնԻ".capitalize(), "Їжак", "Ăţăr", "Őrsőfi", "Ⲁⲛⲟⲕ", "Ⴀⴁⴂⴃ", "Шевченко", "Ꭰꭱꭲꭳ"]
+    rows = spark.createDataFrame([(i, f"Mr {n} came") for i, n in enumerate(names)], "doc_id long, text string")
+    done = {r["doc_id"]: r["entities"] for r in pii.surrogates(rows).collect()}
+    import unicodedata
+
+    shape = lambda s: [(unicodedata.category(c), unicodedata.name(c).split()[0]) for c in s]
+    for i, n in enumerate(names):
+        (x,) = done[i]
+        new = x["surrogate"].removeprefix("Mr ")
+        assert x["entity"] == f"Mr {n}" and new != n and shape(new) == shape(n), (n, new)
+        assert sum(a != b for a, b in zip(n, new, strict=True)) * 2 >= len(n) - 1
+
+
+def test_other_letters_map_one_to_one(spark):
+    letters = sorted({x for g in pii._other_letters() for c in g for x in (c, c.swapcase()) if len(x) == 1})
+    df = spark.createDataFrame([(c,) for c in letters], "c string")
+    got = [r[0] for r in df.select(pii._turned(df.c, "k")).collect()]
+    assert len(set(got)) == len(letters) and all(len(g) == 1 for g in got)
