@@ -9,11 +9,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir.
+
+    Where it is unset, a folder of our own serves a session of one machine; on a cluster that is an error.
+    """
     context = spark.sparkContext._jsc.sc()
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where and context.getCheckpointDir().isDefined():
         where = context.getCheckpointDir().get()
+    if not where and spark.sparkContext.master.split("[")[0] != "local":
+        raise ValueError("spark.checkpoint.dir names no folder; on a cluster it must be one that all hosts share")
     where = where or tempfile.mkdtemp(prefix="corvane-")
     if not context.getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(where)
