@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Sequence
-from uuid import uuid4
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.lineage import fresh_dir, settle, shared_dir, spread
+
+__all__ = ["fresh_dir", "settle", "shared_dir", "spread"]
+
 #: A word: no space and no control among tab to carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
 GAP = r"[\x20\x09-\x0D]+"
@@ -24,29 +26,6 @@ def col(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a folder of our own where it is unset."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        where = held.get() if held.isDefined() else None
-    if not where:
-        where = tempfile.mkdtemp(prefix="corvane-")
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(where)
-    return where.rstrip("/")
-
-
-def fresh_dir(spark: SparkSession, kind: str) -> str:
-    return f"{shared_dir(spark)}/corvane-{kind}-{uuid4().hex}"
-
-
-def settle(df: DataFrame) -> DataFrame:
-    """df, computed once and kept in the shared folder; its lineage ends there."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def words(text: Column) -> Column:
     """The words of a text as an array; null and blank texts have none."""
     bare = F.btrim(text, F.lit(BLANKS))
@@ -61,12 +40,21 @@ def keep_columns(docs: DataFrame, names: Sequence[str]) -> DataFrame:
     return docs.select(*(col(n) for n in names))
 
 
-#: Bytes below which an input may lie in fewer pieces than there are cores.
-SMALL = 64 << 20
+#: Keys that are sent to every task because they hold many rows, at most; a key of fewer rows is never one of them.
+MOST_HOT, LEAST_HOT = 5_000, 1_000
+
 
+def skew_join(rows: DataFrame, few: DataFrame, key: str) -> DataFrame:
+    """rows left-joined with few, which has each key once, whatever share of the rows one key has.
 
-def spread(rows: DataFrame) -> DataFrame:
-    """rows over all cores when the input is small; a larger one is left as its files divide it."""
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return rows.repartition(cores) if size < SMALL and len(rows.inputFiles()) < cores else rows
+    The keys of more than a MOST_HOT-th of all rows, and of LEAST_HOT rows at least, are counted first: there are at
+    most MOST_HOT of them, so their rows of ``few`` are broadcast and the rows stay where they are. The others meet
+    their key in a shuffle, where no key is large. A null key finds nothing. ``rows`` is read three times: settle it.
+    """
+    counts = rows.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("__n"))
+    hot = settle(counts.filter(F.col("__n") > max(LEAST_HOT, rows.count() // MOST_HOT)).select(key))
+    if hot.isEmpty():
+        return rows.join(few, key, "left")
+    found = F.broadcast(hot.join(few, key, "left"))  # at most MOST_HOT rows
+    cold = rows.join(F.broadcast(hot), key, "left_anti")
+    return cold.join(few, key, "left").unionByName(rows.join(found, key))

@@ -3,7 +3,7 @@ import gzip
 import hashlib
 
 import pytest
-from corvane.llm import warc
+from corvane.llm import common, warc
 from corvane.llm.common import fresh_dir
 
 PAGES = [
@@ -79,3 +79,46 @@ def test_no_pages(spark):
     at = fresh_dir(spark, "warc")
     warc.write(spark.createDataFrame([], "page_id long, url string, html string"), at)
     assert warc.captures(spark, at).collect() == []
+
+
+def test_files_are_bounded_by_bytes(spark, monkeypatch):
+    monkeypatch.setattr(warc, "FILE_BYTES", 6000)
+    monkeypatch.setattr(warc, "SMALL_PAGE", 1000)
+    monkeypatch.setattr(warc, "BIG_PAGE", 3000)
+    sizes = [10, 1000, 1001, 3000, 3001, 9000, 0, 999] * 5
+    pages = [(i, "http://a.example", "x" * n + str(i % 3) if n > 10 else "x" * n) for i, n in enumerate(sizes)]
+    at = fresh_dir(spark, "warc")
+    warc.write(spark.createDataFrame(pages, "page_id long, url string, html string").coalesce(1), at)
+    got = {r["page_id"]: r["payload_bytes"] for r in warc.captures(spark, at).collect()}
+    assert got == {i: len(h) for i, _, h in pages}
+    held = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.gz").load(at).select("content").collect()
+    counts = [sum(r[1] in ("response", "revisit") for r in warc.parse(bytes(f[0]), False)) for f in held]
+    assert sum(counts) == len(pages) and max(counts) <= 6
+
+
+@pytest.mark.parametrize("sent", [0, 100_000])
+def test_many_returning_payloads_give_the_same(spark, monkeypatch, sent):
+    monkeypatch.setattr(warc, "SENT_PAYLOADS", sent)
+    monkeypatch.setattr(common, "LEAST_HOT", 3)
+    monkeypatch.setattr(common, "MOST_HOT", 5)
+    pages = [(i, f"http://a.example/{i}", "same" if i % 3 else f"page {i // 6}") for i in range(200)]
+    at = fresh_dir(spark, "warc")
+    warc.write(spark.createDataFrame(pages, "page_id long, url string, html string").repartition(4), at)
+    first = {}
+    for i, _, h in pages:
+        first[h] = min(first.get(h, i), i)
+    want = sorted((i, "response" if first[h] == i else "revisit", None if first[h] == i else first[h]) for i, _, h in pages)
+    assert sorted((r["page_id"], r["record_type"], r["refers_to"]) for r in warc.captures(spark, at).collect()) == want
+
+
+def test_dates_come_from_their_column(spark):
+    at = fresh_dir(spark, "warc")
+    df = spark.createDataFrame([(1, "http://a.example", "a", "2025-02-03T04:05:06Z"), (2, "http://a.example", "b", None)], "page_id long, url string, html string, at string")
+    warc.write(df, at, date_col="at")
+    got = {r["metadata"]["fields"]["page-id"]: r["response"]["date"] for r in warc.transactions(warc.read(spark, at)).collect()}
+    assert got == {"1": "2025-02-03T04:05:06Z", "2": warc.DATE}
+
+
+def test_base32_of_the_digest(spark):
+    df = spark.createDataFrame([(str(i) * i,) for i in range(200)], "s string")
+    assert [r[1] for r in df.select("s", warc.base32_sha1(df.s)).collect()] == [digest(str(i) * i) for i in range(200)]
