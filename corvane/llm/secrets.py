@@ -7,19 +7,21 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import col, settle, spread
+from .common import col, settle, skew_join, spread
 
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 IDENT = r"""(?i:client_?id|key_?id|user_?name|user|login|account)["']?\x20*[:=]\x20*["']?[A-Za-z0-9_.@-]{3,}"""
 #: kind -> (pattern, group whose length counts, least length, quick test of a text). Assignments are matched before
 #: short values go, as a short match may cover what would match by itself. The order breaks ties of equal starts.
+#: A scheme has 16 characters at most (of a longer run its end), so no pattern looks far ahead from every character of
+#: a long run without spaces.
 KINDS = {
     "assign": (ASSIGN, 2, 6, ASSIGN[:-2] + "{6,})"),
     "access": (r"AKIA[A-Z0-9]{16,}", 0, 20, r"AKIA[A-Z0-9]{16}"),
     "hex": (r"[0-9a-f]{24,}", 0, 24, r"[0-9a-f]{24}"),
     "ident": (IDENT, 0, 5, IDENT),
     "blob": (r"[A-Za-z0-9+/_-]{20,}={0,2}", 0, 20, r"[A-Za-z0-9+/_-]{20}"),
-    "endpoint": (r"[a-z][a-z0-9+.-]*://[A-Za-z0-9.-]+(?::[0-9]+)?[A-Za-z0-9/_.-]*", 0, 10, "://"),
+    "endpoint": (r"[a-z][a-z0-9+.-]{0,15}://[A-Za-z0-9.-]+(?::[0-9]+)?[A-Za-z0-9/_.-]*", 0, 10, "://"),
 }
 #: Words of which a text must hold one, in lower case, before the patterns of a kind are tried on it.
 HINTS = {"assign": ("passw", "secret", "token", "api"), "access": ("akia",), "ident": ("client", "key", "user", "login", "account"), "endpoint": ("://",)}
@@ -111,7 +113,7 @@ def linked(rows: DataFrame) -> DataFrame:
     An identifier wants a secret, a secret an identifier, an endpoint both; parts that overlap are not complements,
     and a weak span over a base span is the base span's business.
     """
-    texts = rows.filter("uid is not null").groupBy("uid").agg(F.first("base").alias("base"), F.first("weak").alias("weak"))
+    texts = rows.groupBy("uid").agg(F.first("base").alias("base"), F.first("weak").alias("weak"))
     parts = texts.select("uid", F.explode(F.concat("base", "weak")).alias("x"))
     role = F.element_at(F.array(*(F.lit(ROLE[k]) for k in KINDS)), F.col("x.kind") + 1)
 
@@ -152,8 +154,10 @@ def secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     base, weak = F.concat(*(f"s_{k}" for k in BASE)), F.concat(*(f"s_{k}" for k in WEAK))
     rows = rows.select("doc_id", "uid", F.sort_array(base).alias("base"), F.sort_array(weak).alias("weak"))
     alone = (F.size("weak") == 0) | (F.size("weak") + F.size("base") < 2)
-    rows = settle(rows.withColumn("uid", F.when(~alone, F.col("uid"))))
-    key = F.coalesce("uid", F.concat(F.lit("~"), F.xxhash64("doc_id") % 4096))  # spreads the rows without weak parts
-    out = rows.withColumn("k", key).join(linked(rows).withColumnRenamed("uid", "k"), "k", "left")
-    extra = F.coalesce("extra", F.array().cast(_SPAN))
-    return out.select("doc_id", "base", extra.alias("extra"), listed(F.col("base")).alias("base_list"), listed(F.concat("base", extra)).alias("all_list"))
+    rows = settle(rows.withColumn("alone", alone))
+    none = F.array().cast(_SPAN)
+    bare = rows.filter("alone").select("doc_id", "base", none.alias("extra"))  # no part to link: neither shuffled nor joined
+    held = rows.filter("not alone").select("uid", "doc_id", "base", "weak")
+    some = skew_join(held.select("uid", "doc_id", "base"), linked(held), "uid")  # many copies of one text are a hot key
+    out = bare.unionByName(some.select("doc_id", "base", F.coalesce("extra", none).alias("extra")))
+    return out.select("doc_id", "base", "extra", listed(F.col("base")).alias("base_list"), listed(F.concat("base", "extra")).alias("all_list"))

@@ -1,7 +1,7 @@
 import brute
 import pytest
 from brute import pulled
-from corvane.llm import quality, secrets
+from corvane.llm import common, quality, secrets
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
 
@@ -72,3 +72,32 @@ def test_equal_rows_get_equal_spans_and_base_spans_stay(found):
     assert len(seven) == 2 and seven[0] == seven[1]
     for r in found:
         assert set(filter(None, r["base_list"].split(","))) <= set(r["all_list"].split(","))
+
+
+LONG_RUNS = [
+    ("letters", "abcdefghij" * 500_000 + " at https://api.example.com/v1"),
+    ("digits", "0" * 2_000_000),
+    ("assignments", "token=" * 300_000),
+    ("spaces", "login:" + " " * 2_000_000 + "x"),
+    ("dashes", "a-" * 1_000_000 + "://x"),
+]
+
+
+@pytest.mark.parametrize("name,text", LONG_RUNS, ids=[n for n, _ in LONG_RUNS])
+def test_long_runs_without_spaces_cost_linear_time(spark, name, text):
+    import time
+
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    start = time.time()
+    (row,) = secrets.secrets(df).collect()
+    assert time.time() - start < 60
+    if name != "spaces":
+        assert row["base_list"] == ",".join(brute.secrets(text))
+
+
+def test_copies_of_a_text_with_weak_parts_are_one_hot_key(spark, monkeypatch):
+    monkeypatch.setattr(common, "LEAST_HOT", 3)
+    monkeypatch.setattr(common, "MOST_HOT", 4)
+    df = spark.createDataFrame([(i, SECRETS[6][1]) for i in range(40)] + [(99, SECRETS[7][1]), (100, None)], "doc_id long, text string")
+    got = {r["doc_id"]: r["all_list"] for r in secrets.secrets(df).collect()}
+    assert len(got) == 42 and len({got[i] for i in range(40)}) == 1 and got[0].count(",") >= 2 and got[99] == got[100] == ""
