@@ -61,12 +61,18 @@ def op8_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+#: Arrivals that the documents come in, and after how many the store is compacted.
+ARRIVALS, BETWEEN = 8, 4
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Where each document lies after one arrival and compaction."""
+    """Where each document lies after all arrivals, with compaction between them."""
     store = sharding.Store(spark, fresh_dir(spark, "store"), small=8 << 20, target=64 << 20)
-    store.append(table(spark, sf_dir, "documents"))
-    store.compact()
-    store.vacuum()
+    for number, docs in enumerate(sharding.arrivals(table(spark, sf_dir, "documents"), ARRIVALS), 1):
+        store.append(docs)
+        if number % BETWEEN == 0 or number == ARRIVALS:
+            store.compact()
+            store.vacuum()
     return store.placed()
 
 

@@ -97,7 +97,7 @@ def test_runs_hold_one_tier_and_about_a_target(store, docs):
 
 def test_a_version_is_committed_once(store, docs):
     store.append(docs)
-    with pytest.raises(Exception, match="already exists|AlreadyExists"):
+    with pytest.raises(sharding.Taken, match="already exists"):
         store._commit(1, store.manifest(), docs.schema)
     assert store.version() == 1
 
@@ -116,3 +116,87 @@ def test_an_empty_store_and_an_empty_arrival(spark, store, no_docs):
     store.append(no_docs)
     assert store.compact() == 1 and store.read().collect() == [] and store.read().columns == no_docs.columns
     assert store.placed().collect() == []
+
+
+def test_a_writer_that_dies_leaves_nothing_that_is_read(store, docs):
+    store.append(docs)
+    for name in ("commits/aside-1", "data/00000002-x/part-00000.parquet", "manifests/00000002-x/part-0.parquet"):
+        out = store._fs.create(store._path(f"{store.root}/{name}"), False)
+        out.write(bytearray(b"half of"))
+        out.close()
+    assert store.version() == 1 and store.read().count() == docs.count()
+    assert store.append(docs) == 2 and store.read().count() == 2 * docs.count()
+    store.vacuum(abandoned=-60)
+    assert store.read().count() == 2 * docs.count()
+    assert not any(store._fs.exists(store._path(f"{store.root}/{n}")) for n in ("commits/aside-1", "data/00000002-x/part-00000.parquet", "manifests/00000002-x/part-0.parquet"))
+
+
+def test_narrower_and_wider_arrivals_keep_every_column(spark, store, monkeypatch):
+    monkeypatch.setattr(sharding, "LEAST_TIER", 0)  # small files are one tier
+    store.append(spark.createDataFrame([(1, "a", "en")], "doc_id long, text string, lang string"))
+    store.append(spark.createDataFrame([(2, "b")], "doc_id long, text string"))
+    store.append(spark.createDataFrame([(3, 0.5)], "doc_id long, score double"))
+    store.compact()
+    store.vacuum()
+    assert store.manifest().count() == 1 and store.read().columns == ["doc_id", "text", "lang", "score"]
+    assert sorted(map(tuple, store.read().collect())) == [(1, "a", "en", None), (2, "b", None, None), (3, None, None, 0.5)]
+    for schema in ("doc_id string", "DOC_ID long"):
+        with pytest.raises(ValueError):
+            store.append(spark.createDataFrame([], schema))
+
+
+def test_a_vacuum_during_an_append_spares_its_files(store, docs, monkeypatch):
+    store.append(docs)
+    plain = store._written
+
+    def late(*args):
+        rows = plain(*args)
+        store.vacuum()
+        return rows
+
+    monkeypatch.setattr(store, "_written", late)
+    store.append(docs)
+    assert store.read().count() == 2 * docs.count()
+
+
+def test_of_two_writers_the_later_adds_to_what_the_first_left(spark, store, docs, monkeypatch):
+    store.append(docs)
+    other = sharding.Store(spark, store.root, store.small, store.target, store.fan_in)
+    plain, done = store._commit, []
+
+    def late(version, entries, schema):
+        if not done:
+            done.append(other.append(docs))
+        return plain(version, entries, schema)
+
+    monkeypatch.setattr(store, "_commit", late)
+    assert store.append(docs) == 3 and done == [2]
+    assert store.read().count() == 3 * docs.count()
+    done.clear()
+    store.compact()  # another arrival comes while its first round is written
+    assert store.read().count() == 4 * docs.count()
+
+
+def test_tiny_shards_are_merged_in_runs_of_a_bounded_number(store, docs, monkeypatch):
+    monkeypatch.setattr(sharding, "RUN_SHARDS", 5)
+    monkeypatch.setattr(sharding, "LANE_SHARDS", 6)
+    store.append(docs.limit(40).repartition(24), rows_per_shard=1)
+    runs = store.plan().groupBy("run").agg(F.count("*").alias("n")).collect()
+    assert len(runs) > 3 and all(store.fan_in <= r["n"] <= 5 for r in runs)
+    before = sorted(map(repr, store.read().collect()))
+    store.compact(wave=2)
+    assert sorted(map(repr, store.read().collect())) == before and store.manifest().count() < 24
+
+
+def test_shards_of_an_arrival_are_small_and_tiers_rise(store, docs):
+    for _ in range(9):
+        store.append(docs)
+        store.compact()
+    assert store.manifest().agg(F.max("tier")).first()[0] > sharding.LEAST_TIER
+    assert store.read().count() == 9 * docs.count()
+
+
+def test_arrivals_cover_all_documents(spark, docs, no_docs):
+    parts = list(sharding.arrivals(docs, 4))
+    assert sorted(repr(r) for p in parts for r in p.collect()) == sorted(map(repr, docs.collect())) and all(p.count() for p in parts[:2])
+    assert [p.count() for p in sharding.arrivals(no_docs, 4)] == [0]
