@@ -164,10 +164,10 @@ def _(spark, d):
     return joins.redundant(spark.createDataFrame([("the",), ("nowhere-to-be-found",), ("que",), ("zzqq",)], "alias string"), T(spark, d, "documents"))
 
 
-@query("j07_suppress_seen", "SELECT DISTINCT a.user_id AS session, a.event_type AS item FROM events a WHERE NOT EXISTS (SELECT 1 FROM events b WHERE b.user_id = a.user_id AND b.event_type = a.event_type AND b.ts < TIMESTAMP '2024-01-15') AND a.ts >= TIMESTAMP '2024-01-15'")
+@query("j07_suppress_seen", "SELECT DISTINCT a.user_id AS session, a.event_type AS item FROM events a WHERE NOT EXISTS (SELECT 1 FROM events b WHERE b.user_id = a.user_id AND b.event_type = a.event_type AND b.ts < TIMESTAMP '2024-01-03') AND a.ts >= TIMESTAMP '2024-01-03'")
 def _(spark, d):
     e = T(spark, d, "events").select(F.col("user_id").alias("session"), F.col("event_type").alias("item"), "ts")
-    cut = F.lit("2024-01-15").cast("timestamp_ntz")
+    cut = F.lit("2024-01-03").cast("timestamp_ntz")
     return e.filter(e.ts >= cut).select("session", "item").distinct().join(e.filter(e.ts < cut), ["session", "item"], "left_anti")
 
 

@@ -51,7 +51,14 @@ def fused_sql(name: str, lists: list[str], most: int) -> str:
 KEYWORDS, QUESTION = "heron thre nation", "where was the thent of heron"
 EXPLORE = f"WITH {TOKENS}, {bm25_sql('lex', search.terms(KEYWORDS))}, {vector_sql('vec', KEYWORDS)}, {bm25_sql('ask', search.terms(QUESTION))}"
 FIND = f"WITH {TOKENS}, {bm25_sql('lex', search.terms(KEYWORDS))}, {vector_sql('vec', KEYWORDS)}, {fused_sql('best', ['lex', 'vec'], 10)}"
-SPOTS = ", l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS line_number FROM documents WHERE doc_id IN (SELECT doc_id FROM best)), p AS (SELECT doc_id, line_number, line, len(list_intersect(regexp_extract_all(lower(line), '[\\p{L}\\p{N}_]+'), [" + ", ".join(f"'{w}'" for w in search.terms(KEYWORDS)) + "])) AS n FROM l), spot AS (SELECT doc_id, line_number::BIGINT AS line_number, line FROM p WHERE n > 0 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, line_number) = 1)"
+
+def spots_sql(text: str) -> str:
+    """CTEs ending in ``spot(doc_id, line_number, line)`` over the documents of ``best``."""
+    words = ", ".join(f"'{w}'" for w in search.terms(text))
+    return f", l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS line_number FROM documents WHERE doc_id IN (SELECT doc_id FROM best)), p AS (SELECT doc_id, line_number, line, len(list_intersect(regexp_extract_all(lower(line), '[\\p{{L}}\\p{{N}}_]+'), [{words}])) AS n FROM l), spot AS (SELECT doc_id, line_number::BIGINT AS line_number, line FROM p WHERE n > 0 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, line_number) = 1)"
+
+
+SPOTS = spots_sql(KEYWORDS)
 
 
 def docs(spark, d):
@@ -113,13 +120,13 @@ def _(spark, d):
 
 @query(
     "r07_discover_vocabulary",
-    f"""WITH {TOKENS}, e AS (SELECT doc_id, unnest(list_distinct(w)) AS term, list_has_any(w, ['heron', 'zzzq']) AS hit FROM tok), c AS (SELECT term, count(*) AS df, count(*) FILTER (WHERE hit) AS w FROM e GROUP BY term)
-SELECT 'CONFIRMED' AS kind, 'lexical' AS channel, term, df, 1.0::DOUBLE AS score FROM c WHERE term IN ('heron', 'zzzq')
-UNION ALL (SELECT 'TERM', 'co-occurrence', term, df, round(w / df, 6) FROM c WHERE term NOT IN ('heron', 'zzzq') AND w >= 2 ORDER BY 5 DESC, df DESC, term LIMIT 10)
-UNION ALL SELECT 'DIAGNOSTIC', 'unknown', t, 0, 0.0 FROM (VALUES ('heron'), ('zzzq')) v(t) WHERE t NOT IN (SELECT term FROM c)""",
+    f"""WITH {TOKENS}, e AS (SELECT doc_id, unnest(list_distinct(w)) AS term, list_has_any(w, ['inedtion', 'zzzq']) AS hit FROM tok), c AS (SELECT term, count(*) AS df, count(*) FILTER (WHERE hit) AS w FROM e GROUP BY term)
+SELECT 'CONFIRMED' AS kind, 'lexical' AS channel, term, df, 1.0::DOUBLE AS score FROM c WHERE term IN ('inedtion', 'zzzq')
+UNION ALL (SELECT 'TERM', 'co-occurrence', term, df, round(w / df, 6) FROM c WHERE term NOT IN ('inedtion', 'zzzq') AND w >= 2 ORDER BY 5 DESC, df DESC, term LIMIT 10)
+UNION ALL SELECT 'DIAGNOSTIC', 'unknown', t, 0, 0.0 FROM (VALUES ('inedtion'), ('zzzq')) v(t) WHERE t NOT IN (SELECT term FROM c)""",
 )
 def _(spark, d):
-    return search.discover(docs(spark, d), "heron zzzq", "doc_id")
+    return search.discover(docs(spark, d), "inedtion zzzq", "doc_id")
 
 
 @query("r08_fuzzy_terms", f"WITH {TOKENS}, v AS (SELECT term, count(*) AS df FROM (SELECT doc_id, unnest(list_distinct(w)) AS term FROM tok) GROUP BY term) SELECT term, df, levenshtein(term, 'natoin') AS distance FROM v WHERE levenshtein(term, 'natoin') <= 2 AND length(term) BETWEEN 4 AND 8 ORDER BY distance, df DESC, term LIMIT 5")
@@ -132,9 +139,9 @@ def _(spark, d):
     return search.vector_scores(docs(spark, d), KEYWORDS, "doc_id").filter("score > 0.0001")
 
 
-@query("r09_explain", EXPLORE + f", {fused_sql('best', ['lex', 'vec', 'ask'], 10)}, u AS (SELECT rank, doc_id, greatest(ceil(length(text) / 4.0), 1)::BIGINT AS tokens FROM best JOIN documents USING (doc_id)), f AS (SELECT *, sum(tokens) OVER (ORDER BY rank) AS used FROM u) SELECT rank, doc_id, tokens FROM f WHERE used <= 2000")
+@query("r09_explain", EXPLORE + f", {fused_sql('best', ['lex', 'vec', 'ask'], 10)}, u AS (SELECT rank, doc_id, greatest(ceil(length(text) / 4.0), 1)::BIGINT AS tokens FROM best JOIN documents USING (doc_id)), f AS (SELECT *, sum(tokens) OVER (ORDER BY rank) AS used FROM u){spots_sql(KEYWORDS + ' ' + QUESTION)} SELECT rank, doc_id, line_number, substr(trim(line), 1, 200) AS quote, tokens FROM f LEFT JOIN spot USING (doc_id) WHERE used <= 2000")
 def _(spark, d):
-    return search.explain(docs(spark, d), QUESTION, KEYWORDS, 2000, 10, "doc_id").select("rank", "doc_id", "tokens")
+    return search.explain(docs(spark, d), QUESTION, KEYWORDS, 2000, 10, "doc_id")
 
 
 @query("r10_evidence_trust", "SELECT bool_and(event_type <> 'signup') AS semantic_ready, (count(*) FILTER (WHERE event_type <> 'signup') * 100 // count(*))::BIGINT AS semantic_percent FROM events")

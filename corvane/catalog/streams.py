@@ -70,13 +70,14 @@ def _(spark, d):
 
 @query("d03_emit_on_change", f"SELECT {len(FOLDED)}::BIGINT AS changes, {len(FEED)}::BIGINT AS records")
 def _(spark, d):
-    changes = len(list(monitor.folded((i, i * 6000, r) for i, r in enumerate(FEED))))
-    return spark.createDataFrame([(changes, len(FEED))], "changes long, records long")
+    changes = feeds.available(monitor.fold(_feed(spark, FEED).drop("at"))).select(F.count("*").alias("changes"))
+    return changes.select("changes", F.lit(len(FEED)).cast("long").alias("records"))
 
 
 @query("d04_dwell", "SELECT * FROM (VALUES (9000::BIGINT, NULL), (10000, 'importing github://team/api 22%')) v(after_ms, line)")
 def _(spark, d):
-    view, _notice = monitor.advance(monitor.View(), IMPORT, 0)
+    said = monitor.facts(feeds.parsed(spark.createDataFrame([(json.dumps(IMPORT),)], "value string"))).first()
+    view = monitor.after(monitor.View(), monitor.Facts(*said), 0)
     return spark.createDataFrame([(t, view.line(t)) for t in (9_000, 10_000)], "after_ms long, line string")
 
 

@@ -31,11 +31,23 @@ def prefix_counts(mounts: DataFrame, files: DataFrame, keys: dict[str, Column],
     return mounts.join(found, on, "left").select(*mounts.columns, *(F.coalesce(f"__n_{n}", F.lit(0)).cast("long").alias(n) for n in keys))
 
 
+#: Items of one key that one task pairs with as many others.
+BLOCK_ITEMS = 2_000
+
+
 def co_change(changes: DataFrame, key: str = "hash", item: str = "file") -> DataFrame:
-    """Pairs of items that change under one key, each once, with the number of keys. Rows are distinct (key, item)."""
-    a = changes.select(F.col(key).alias("k"), F.col(item).alias("a"))
-    b = changes.select(F.col(key).alias("k"), F.col(item).alias("b"))
-    return a.join(b, "k").filter("a < b").groupBy("a", "b").agg(F.count("*").alias("together"))
+    """Pairs of items that change under one key, each once, with the number of keys. Rows are distinct (key, item).
+
+    The items of a key are dealt to blocks of about BLOCK_ITEMS by a hash, and pairs meet by pairs of blocks, so a key
+    of any number of items is many tasks' work; the pairs themselves are what was asked for.
+    """
+    sizes = changes.groupBy(F.col(key).alias("k")).agg(F.ceil(F.count("*") / BLOCK_ITEMS).alias("blocks"))
+    held = changes.select(F.col(key).alias("k"), F.col(item).alias("i")).join(sizes, "k")
+    held = held.withColumn("own", F.pmod(F.xxhash64("i"), F.col("blocks")))
+    meets = lambda name, pair: held.select("k", F.col("i").alias(name), F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), pair)).alias("at"))
+    a = meets("a", lambda o: F.struct(F.col("own").alias("x"), o.alias("y")))
+    b = meets("b", lambda o: F.struct(o.alias("x"), F.col("own").alias("y")))
+    return a.join(b, ["k", "at"]).filter("a < b").groupBy("a", "b").agg(F.count("*").alias("together"))
 
 
 def _bucket(uri: Column, depth: int) -> Column:
@@ -78,8 +90,6 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
 
 
-#: Words of the longest term that contains() looks for.
-TERM_WORDS = 4
 #: Terms that are sent to every task to filter by; with more, all runs of words are dealt out.
 FEW_TERMS = 10_000
 #: Terms that a text is searched for one by one.
@@ -90,15 +100,17 @@ def contains(texts: DataFrame, terms: DataFrame, text: str = "text", term: str =
     """texts × terms that occur in them as whole words, any case. Each pair comes out once.
 
     A text names the terms that it holds and meets them on equal words: up to WALKED_TERMS terms it looks for each, up
-    to FEW_TERMS it keeps those of its runs of one to TERM_WORDS words that are terms, and with more it deals all its
-    distinct runs out. Nothing is compared pairwise. Longer terms are an error rather than missed.
+    to FEW_TERMS it keeps those of its runs of words that are terms, and with more it deals all its distinct runs out.
+    Runs are taken in the lengths that terms have, so a term may have any number of words. Nothing is compared
+    pairwise.
     """
     run = F.array_join(tokens(F.col(term)), " ")
-    keyed = terms.withColumn("__key", run).withColumn("__key", F.when(F.size(F.split("__key", " ")) <= TERM_WORDS, F.col("__key")).otherwise(F.raise_error(F.concat(F.lit("term of too many words: "), F.col(term)))))
-    keyed = keyed.filter("__key <> ''")
+    keyed = terms.withColumn("__key", run).filter("__key <> ''")
     texts = spread(texts)
     distinct = keyed.select("__key").distinct()
     n = distinct.limit(FEW_TERMS + 1).count()
+    sizes = distinct.select(F.size(F.split("__key", " ")).alias("n")).agg(F.collect_set("n").alias("__n"))  # one row
+    texts = texts.join(F.broadcast(sizes))
     if n <= FEW_TERMS:
         texts = texts.join(F.broadcast(distinct.agg(F.collect_list("__key").alias("__e"))))  # one row
     words = texts.withColumn("__w", tokens(F.col(text)))
@@ -106,11 +118,11 @@ def contains(texts: DataFrame, terms: DataFrame, text: str = "text", term: str =
         plain = F.concat(F.lit(" "), F.array_join("__w", " "), F.lit(" "))
         runs = words.withColumn("__p", plain).withColumn("__g", F.filter("__e", lambda t: F.contains(F.col("__p"), F.concat(F.lit(" "), t, F.lit(" "))))).drop("__p")
     else:
-        grams = F.array_distinct(
-            F.flatten(F.transform(F.sequence(F.lit(1), F.lit(TERM_WORDS)), lambda n: F.when(F.size("__w") >= n, F.transform(F.sequence(F.lit(1), F.size("__w") - n + 1), lambda i: F.array_join(F.slice("__w", i, n), " "))).otherwise(F.array().cast("array<string>"))))
-        )
+        starts = lambda n: F.sequence(F.lit(1), F.size("__w") - n + 1)
+        of = lambda n: F.when(F.size("__w") >= n, F.transform(starts(n), lambda i: F.array_join(F.slice("__w", i, n), " "))).otherwise(F.array().cast("array<string>"))
+        grams = F.array_distinct(F.flatten(F.transform("__n", of)))
         runs = words.withColumn("__g", F.array_intersect(grams, "__e") if n <= FEW_TERMS else grams)
-    return runs.withColumn("__key", F.explode("__g")).drop("__g", "__w", "__e").join(keyed, "__key").drop("__key")
+    return runs.withColumn("__key", F.explode("__g")).drop("__g", "__w", "__e", "__n").join(keyed, "__key").drop("__key")
 
 
 #: Aliases that one pass over the texts looks for.

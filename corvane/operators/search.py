@@ -19,7 +19,7 @@ from . import joins
 from .lineage import settle, spread
 
 K1, B = 1.2, 0.75
-#: Constant of reciprocal rank fusion, and the candidates that each list contributes.
+#: Constant of reciprocal rank fusion, and the candidates that each list contributes at least; as many as are asked for.
 FUSION, CANDIDATES = 60, 200
 DIMENSIONS = 256
 #: Decimals that scores are rounded to before they are ranked, so that ties are ties on every machine.
@@ -130,14 +130,14 @@ def vector_scores(docs: DataFrame, query: str, key: str, text: str = "text") ->
 
 
 def fused(lists: list[DataFrame], key: str, most: int) -> DataFrame:
-    """key, score in [0, 1], rank: reciprocal ranks of the best CANDIDATES of each list, added and scaled.
+    """key, score in [0, 1], rank: reciprocal ranks of the best CANDIDATES of each list, or ``most``, added and scaled.
 
     Scores compare within one answer only. Ties go by key.
     """
     parts = None
     for scored in lists:
         order = [F.col("score").desc_nulls_last(), F.col(key).asc_nulls_last()]
-        best = scored.orderBy(*order).limit(CANDIDATES)
+        best = scored.orderBy(*order).limit(max(CANDIDATES, most))
         part = best.select(key, (1.0 / (FUSION + F.row_number().over(W.orderBy(*order)))).alias("s"))  # few rows
         parts = part if parts is None else parts.unionByName(part)
     total = parts.groupBy(key).agg(F.round(F.sum("s"), 12).alias("s"))

@@ -19,10 +19,20 @@ def test_cosine_without_length_is_null(spark):
     assert got[0] is None and abs(got[1] - 1) < 1e-12
 
 
-def test_long_terms_are_an_error_not_a_miss(spark):
-    texts = spark.createDataFrame([(1, "a b c d e f")], "id long, text string")
-    with pytest.raises(Exception, match="too many words"):
-        joins.contains(texts, spark.createDataFrame([("a b c d e",)], "term string")).collect()
+@pytest.mark.parametrize("few,walked", [(10_000, 200), (10_000, 1), (1, 1)])
+def test_terms_of_any_length_are_found_on_every_path(spark, monkeypatch, few, walked):
+    monkeypatch.setattr(joins, "FEW_TERMS", few)
+    monkeypatch.setattr(joins, "WALKED_TERMS", walked)
+    rows = [(1, "a b c d e f"), (2, "x " * 40 + "a b"), (3, "b a"), (4, None), (5, "")]
+    terms = ["a b c d e", "a b", "x " * 40, "c", "e f g", "A  B", "", None]
+    got = joins.contains(spark.createDataFrame(rows, "id long, text string"), spark.createDataFrame([(t,) for t in terms], "term string"))
+    want = [(1, "a b c d e"), (1, "a b"), (1, "A  B"), (1, "c"), (2, "x " * 40), (2, "a b"), (2, "A  B")]
+    assert sorted((r["id"], r["term"]) for r in got.collect()) == sorted(want)
+
+
+def test_more_is_returned_than_lists_contribute_by_default(spark):
+    docs = spark.createDataFrame([(f"u{i:04d}", f"heron number {i}") for i in range(700)], "uri string, text string")
+    assert search.explore(docs, "heron", most=650).count() == 650
 
 
 def test_governs_without_globs_or_targets(spark):
@@ -66,24 +76,60 @@ def test_patches_are_unified(spark):
     assert got == {1: (2, 1), 3: (1, 0)}
 
 
-def test_the_fold_drops_what_is_late_and_keeps_one_object():
-    view = monitor.View()
-    record = {"type": "session.snapshot", "host_pid": 1, "host_started_at_unix_ms": 2}
-    first, notice = monitor.advance(view, record, 0)
-    again, _ = monitor.advance(first, record, 1)
-    assert notice is None and again is first and first.connection == "connected"
-    assert list(monitor.folded([(5, 0, record), (4, 0, {"type": "monitor.connection", "state": "lost"})], last=4)) == [(5, first, None)]
-    lost, _ = monitor.advance(first, {"type": "monitor.connection", "state": "lost"}, 2)
-    other, told = monitor.advance(lost, record | {"host_started_at_unix_ms": 3}, 3)
-    assert lost.pid == 1 and told == monitor.RESTARTED and other.started == 3
-
-
-def test_operations_are_told_alike_by_column_and_fold(spark):
+NOTHING = monitor.Facts(None, None, None, None, None, False, False, None, None)
+
+
+def test_the_fold_drops_what_is_late_and_tells_of_changes_alone():
+    said = NOTHING._replace(pid=1, started=2)
+    first = monitor.after(monitor.View(), said, 0)
+    assert first.connection == "connected" and monitor.after(first, said, 1) == first
+    late = [(5, 0, said), (4, 0, NOTHING._replace(link="lost")), (6, 0, said)]
+    assert list(monitor.folded(late, last=4)) == [(5, 0, first, None)]
+    lost = monitor.after(first, NOTHING._replace(link="lost"), 2)
+    assert lost.pid == 1 and lost.connection == "lost"
+    ((_, _, other, told),) = monitor.folded([(7, 3, said._replace(started=3))], lost)
+    assert told == monitor.RESTARTED and other.started == 3
+
+
+def test_a_new_run_takes_over_nothing_and_hidden_work_keeps_its_time():
+    busy = monitor.after(monitor.View(), NOTHING._replace(pid=1, started=1, version="1", files=5, news=True, work="w", percent=3), 10)
+    assert busy.line(10_009) is None and busy.line(10_010) == "w 3%"
+    quiet = monitor.after(busy, NOTHING._replace(news=True), 20)
+    assert quiet.work is None and quiet.busy_since == 10
+    again = monitor.after(quiet, NOTHING._replace(news=True, work="v"), 30)
+    assert (again.work, again.percent, again.busy_since) == ("v", None, 10)
+    assert monitor.after(again, NOTHING._replace(news=True, idle=True), 40).busy_since is None
+    fresh = monitor.after(again, NOTHING._replace(pid=2, started=1), 50)
+    assert fresh == monitor.View("connected", 2, 1)
+
+
+def test_facts_of_records(spark):
+    from corvane.streaming import feeds
+
+    lines = [
+        '{"type": "monitor.connection", "state": "lost", "host_pid": 1, "host_started_at_unix_ms": 2}',
+        '{"signal": "progress", "host_pid": 1, "operation": "import:github.com/a/b", "operation_done": 1, "operation_total": 4, "registry_complete": 9, "version": ""}',
+        '{"signal": "progress", "settled": true, "operation": "startup"}',
+        '{"signal": "hello", "host_pid": 1, "host_started_at_unix_ms": 2, "version": "3", "operation": "startup", "registry_complete": 1}',
+    ]
+    df = monitor.facts(feeds.parsed(spark.createDataFrame([(x,) for x in lines], "value string").coalesce(1)))
+    assert [monitor.Facts(*r) for r in df.collect()] == [
+        NOTHING._replace(link="lost"),
+        NOTHING._replace(news=True, files=9, work="importing github://a/b", percent=25),
+        NOTHING._replace(news=True, idle=True),
+        NOTHING._replace(pid=1, started=2, version="3"),
+    ]
+
+
+def test_operations_in_words(spark):
     from corvane.functions.scalars import described
 
-    cases = [("startup", None), ("import:github.com/a/b", None), ("import:x", "github://a/b/"), ("import:/worktree://w/", None), ("import:", ""), ("sweep", None), (None, None), ("import:git.example/g", "")]
-    df = spark.createDataFrame(cases, "o string, f string")
-    assert [r[0] for r in df.select(described(df.o, df.f)).collect()] == [monitor.words(*c) for c in cases]
+    cases = {
+        ("startup", None): "indexing this repository", ("import:github.com/a/b", None): "importing github://a/b", ("import:x", "github://a/b/"): "importing github://a/b",
+        ("import:/worktree://w/", None): None, ("import:", ""): None, ("sweep", None): None, (None, None): None, ("import:git.example/g", ""): "importing git.example/g",
+    }
+    df = spark.createDataFrame(list(cases), "o string, f string")
+    assert [r[0] for r in df.select(described(df.o, df.f)).collect()] == list(cases.values())
 
 
 def test_held_entries_expire_and_are_taken_once():
