@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import heapq
+from collections import deque
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,8 +13,10 @@ from .common import col, n_words, settle
 
 #: No document is taken more often than this.
 REPEATS = 3
-#: Patterns that the driver solves a flow for. Beyond it, documents count toward their first member alone.
-MOST_PATTERNS = 5_000
+#: Membership patterns whose flow the driver holds (about 1 KB each); more are refused rather than simplified.
+MOST_PATTERNS = 1_000_000
+#: Patterns whose plan, a row of a few hundred bytes each, is sent to every task; more are joined by a shuffle.
+SENT_PATTERNS = 5_000
 SEED = "mix-1"
 #: Leading hex digits of the seeded order by which the cut of a pattern is found before any rows are sorted.
 CUT_DIGITS = 3
@@ -46,60 +48,85 @@ def flow(groups: Sequence[tuple[tuple, int]], quotas: dict, repeats: int = REPEA
     """Words to take from each pattern: the largest flow into the quotas, at the least cost.
 
     A pattern of n words offers n at each repetition 1, 2, ..., at costs 0, 1, 3, 6, ... a word, so the flow evens
-    repetition out before it repeats anything more often. Successive shortest paths with potentials; the augmenting
-    path may move words of a pattern from one of its sources to another.
+    repetition out before it repeats anything more often. A path that adds to the flow starts with one offer and goes
+    on at no cost, moving words of patterns from one of their sources to another. Its cost is that of its offer, so
+    the cheapest paths are found repetition by repetition: within one, words go where a quota is open, and what is
+    left follows shortest paths between sources until none leads to an open quota. Paths join sources, of which there
+    are few, so a step costs the patterns it touches and not a search of all of them.
     """
-    source, sink, graph = 0, 1, [[], []]
-
-    def node() -> int:
-        graph.append([])
-        return len(graph) - 1
-
-    def edge(a: int, b: int, cap: int, cost: int) -> list:
-        there, back = [b, cap, cost, None], [a, 0, -cost, None]
-        there[3], back[3] = back, there
-        graph[a].append(there)
-        graph[b].append(back)
-        return there
-
-    at = {s: node() for s in quotas}
-    for s, quota in quotas.items():
-        edge(at[s], sink, int(round(quota)), 0)
-    offers: dict[tuple, list] = {}
+    known: dict[tuple, int] = {}
     for pattern, size in groups:
-        if not size or not any(s in at for s in pattern):
-            continue
-        p = node()
-        offers[pattern] = [edge(source, p, size, k * (k + 1) // 2) for k in range(repeats)]
-        for s in pattern:
-            if s in at:
-                edge(p, at[s], size * repeats, 0)
-    potential = [0] * len(graph)
-    while True:
-        dist, via = [None] * len(graph), [None] * len(graph)
-        dist[source], queue = 0, [(0, source)]
+        if size and any(s in quotas for s in pattern):
+            known[pattern] = known.get(pattern, 0) + size
+    members = {p: [s for s in dict.fromkeys(p) if s in quotas] for p in known}
+    open_ = {s: int(round(q)) for s, q in quotas.items()}
+    given: dict[tuple, dict] = {p: {} for p in known}  # pattern -> source -> words
+    # movable[a][b]: patterns that give words to a and are members of b too; entries may be stale and go when met
+    movable: dict = {s: {} for s in quotas}
+
+    def put(p: tuple, s, n: int) -> None:
+        given[p][s] = given[p].get(s, 0) + n
+        if given[p][s] == n:
+            for t in members[p]:
+                if t != s:
+                    movable[s].setdefault(t, {})[p] = None
+
+    def first(a, b) -> tuple | None:
+        held = movable[a].get(b, {})
+        while held:
+            p = next(iter(held))
+            if given[p].get(a, 0) > 0:
+                return p
+            del held[p]
+        return None
+
+    def routes() -> dict:
+        """From each source that leads to an open quota, the next source on a shortest way there; None at its end."""
+        into = {s: [] for s in quotas}
+        for a in quotas:
+            for b in list(movable[a]):
+                if first(a, b) is not None:
+                    into[b].append(a)
+        way = {s: None for s in quotas if open_[s] > 0}
+        queue = deque(way)
         while queue:
-            d, a = heapq.heappop(queue)
-            if d > dist[a]:
-                continue
-            for e in graph[a]:
-                if e[1] > 0:
-                    to = d + e[2] + potential[a] - potential[e[0]]
-                    if dist[e[0]] is None or to < dist[e[0]]:
-                        dist[e[0]], via[e[0]] = to, e
-                        heapq.heappush(queue, (to, e[0]))
-        if dist[sink] is None:
-            break
-        potential = [p + (d if d is not None else dist[sink]) for p, d in zip(potential, dist, strict=True)]
-        path, a = [], sink
-        while a != source:
-            path.append(via[a])
-            a = via[a][3][0]
-        amount = min(e[1] for e in path)
-        for e in path:
-            e[1] -= amount
-            e[3][1] += amount
-    return {pattern: sum(e[3][1] for e in edges) for pattern, edges in offers.items()}
+            b = queue.popleft()
+            for a in into[b]:
+                if a not in way:
+                    way[a] = b
+                    queue.append(a)
+        return way
+
+    for _ in range(repeats):
+        left = dict(known)
+        for p in known:  # straight into open quotas
+            for s in members[p]:
+                n = min(left[p], open_[s])
+                if n:
+                    put(p, s, n)
+                    left[p] -= n
+                    open_[s] -= n
+        way = routes()
+        for p in known:
+            while left[p]:
+                start = next((s for s in members[p] if s in way), None)
+                if start is None:
+                    break
+                path, a = [], start
+                while way[a] is not None:
+                    path.append((a, way[a], first(a, way[a])))
+                    a = way[a]
+                if open_[a] == 0 or any(x[2] is None for x in path):
+                    way = routes()
+                    continue
+                n = min([left[p], open_[a], *(given[q][x] for x, _, q in path)])
+                for x, y, q in path:
+                    given[q][x] -= n
+                    put(q, y, n)
+                put(p, start, n)
+                left[p] -= n
+                open_[a] -= n
+    return {p: sum(x.values()) for p, x in given.items()}
 
 
 def _measured(docs: DataFrame, members: Column, id_col: str, text_col: str, seed: str, carry: dict[str, Column]) -> DataFrame:
@@ -111,10 +138,6 @@ def _measured(docs: DataFrame, members: Column, id_col: str, text_col: str, seed
     return docs.select(col(id_col).alias("doc_id"), n_words(col(text_col)).alias("size"), unique.alias("members"), order.alias("__o"), *(c.alias(n) for n, c in carry.items()))
 
 
-def _first_member(rows: DataFrame) -> DataFrame:
-    return rows.withColumn("members", F.slice("members", 1, 1))
-
-
 class Mix:
     """The plan of a mix: which documents are taken how often, as a small table by membership pattern.
 
@@ -122,7 +145,7 @@ class Mix:
     document of several sources adds its size to each of them. Every pattern gives what the flow asks: whole rounds
     of all its documents, then documents in a seeded order, each that still fits, then the one document that comes
     nearest to what is still open. A document that does not fit is set aside, and with it all that are larger than
-    what is open. Without ``fill`` the first document that does not fit ends the order, as the SQL of op6 has it.
+    what is open.
     A cut is found from sums by leading digits of that order, so only the documents of one 4096th of a pattern are
     ever sorted, and a hot source costs no single task. A row of the plan holds the stretches of the order that are
     in, so it applies to the texts themselves without a shuffle.
@@ -132,17 +155,15 @@ class Mix:
     hangs on the seed and the id alone.
     """
 
-    def __init__(self, docs: DataFrame, members: Column, id_col: str = "doc_id", text_col: str = "text", weights: dict[str | None, float] | None = None, repeats: int = REPEATS, seed: str = SEED, most_patterns: int = MOST_PATTERNS, fill: bool = True):
+    def __init__(self, docs: DataFrame, members: Column, id_col: str = "doc_id", text_col: str = "text", weights: dict[str | None, float] | None = None, repeats: int = REPEATS, seed: str = SEED, most_patterns: int = MOST_PATTERNS):
         spark = docs.sparkSession
         self._how = (members, id_col, text_col, seed)
         self.rows = settle(_measured(docs, *self._how, {}))
-        groups = self.rows.groupBy("members").agg(F.sum("size").alias("n"))
-        self.reduced = groups.limit(most_patterns + 1).count() > most_patterns
-        if self.reduced:
-            self.rows = _first_member(self.rows)
-            groups = self.rows.groupBy("members").agg(F.sum("size").alias("n"))
+        groups = settle(self.rows.groupBy("members").agg(F.sum("size").alias("n")))
+        if groups.limit(most_patterns + 1).count() > most_patterns:
+            raise ValueError(f"more than {most_patterns} membership patterns: merge sources that always go together")
         known = [(tuple(r["members"]), int(r["n"])) for r in groups.toLocalIterator()]
-        self._few = F.broadcast if len(known) <= most_patterns else lambda x: x
+        self._few = F.broadcast if len(known) <= SENT_PATTERNS else lambda x: x
         self.sizes: dict[str | None, int] = {}
         for pattern, n in known:
             for s in pattern:
@@ -152,30 +173,7 @@ class Mix:
         asked = spark.createDataFrame(
             [(list(p), n and taken.get(p, 0) // n, n and taken.get(p, 0) % n) for p, n in known], "members array<string>, full long, rest long"
         )
-        self.plan = settle(self._filled(asked) if fill else self._bounded(asked))
-
-    def _bounded(self, asked: DataFrame) -> DataFrame:
-        """asked with (upto_o, upto_size), the last place that is in, and (last_o, last_size), the document taken besides."""
-        dealt = self.rows.withColumn("__b", F.substring("__o", 1, CUT_DIGITS))
-        sums = dealt.groupBy("members", "__b").agg(F.sum("size").alias("s"))
-        upto = W.partitionBy("members").orderBy("__b").rowsBetween(W.unboundedPreceding, -1)
-        cuts = sums.withColumn("before", F.coalesce(F.sum("s").over(upto), F.lit(0))).join(asked, "members")
-        cuts = settle(cuts.filter("before < rest and before + s >= rest").select("members", "before", "rest", F.col("__b").alias("cut")))
-        near = dealt.withColumnRenamed("__b", "cut").join(self._few(cuts), ["members", "cut"])
-        run = W.partitionBy("members").orderBy("__o", "size").rangeBetween(W.unboundedPreceding, W.currentRow)
-        fits = near.withColumn("c", F.col("before") + F.sum("size").over(run)).filter("c <= rest")
-        place = fits.groupBy("members").agg(F.max(F.struct("__o", "size", "c")).alias("p"))
-        bound = cuts.join(place, "members", "left").select(
-            "members",
-            F.coalesce("p.__o", "cut").alias("upto_o"),  # the bare digits come before all that start with them
-            F.coalesce("p.size", F.lit(0)).alias("upto_size"),
-            (F.col("rest") - F.coalesce("p.c", "before")).alias("gap"),
-        )
-        bound = settle(bound)
-        out = self.rows.join(self._few(bound), "members").filter("size > 0 and abs(size - gap) < gap").filter(~_within())
-        best = out.groupBy("members").agg(F.min(F.struct(F.abs(F.col("size") - F.col("gap")).alias("off"), "__o", "size")).alias("b"))
-        best = best.select("members", F.col("b.__o").alias("last_o"), F.col("b.size").alias("last_size"))
-        return asked.drop("rest").join(bound.drop("gap"), "members", "left").join(best, "members", "left")
+        self.plan = settle(self._filled(asked))
 
     def _filled(self, asked: DataFrame) -> DataFrame:
         """asked with stretches, which _stretched() reads, and (last_o, last_size), the document taken besides.
@@ -223,7 +221,7 @@ class Mix:
 
     def _taken(self, rows: DataFrame) -> DataFrame:
         rows = rows.join(self._few(self.plan), "members")
-        more = (_stretched() if "stretches" in self.plan.columns else _within()) | F.coalesce((F.col("__o") == F.col("last_o")) & (F.col("size") == F.col("last_size")), F.lit(False))
+        more = _stretched() | F.coalesce((F.col("__o") == F.col("last_o")) & (F.col("size") == F.col("last_size")), F.lit(False))
         copies = F.when(F.col("size") > 0, F.col("full") + more.cast("long")).otherwise(F.lit(0))
         return rows.withColumn("copies", copies).drop(*(c for c in self.plan.columns if c != "members"))
 
@@ -233,8 +231,7 @@ class Mix:
 
     def copies(self, docs: DataFrame, carry: dict[str, Column]) -> DataFrame:
         """The carried columns of docs, each row as often as the mix takes it."""
-        rows = _measured(docs, *self._how, carry)
-        rows = self._taken(_first_member(rows) if self.reduced else rows).filter("copies > 0")
+        rows = self._taken(_measured(docs, *self._how, carry)).filter("copies > 0")
         return rows.withColumn("__again", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*carry)
 
     def sources(self, spark: SparkSession) -> DataFrame:
@@ -242,11 +239,6 @@ class Mix:
         return spark.createDataFrame([(s, self.sizes[s], self.targets[s]) for s in self.sizes], "source string, source_size long, target double")
 
 
-def _within() -> Column:
-    o, size = F.col("__o"), F.col("size")
-    return F.coalesce((o < F.col("upto_o")) | ((o == F.col("upto_o")) & (size <= F.col("upto_size"))), F.lit(False))
-
-
 def _stretched() -> Column:
     here = F.struct("__o", "size")
     inside = lambda x: (F.col("size") <= x.most) & (here >= F.struct(x.from_o, x.from_size)) & (x.upto_o.isNull() | (here < F.struct(x.upto_o, x.upto_size)))

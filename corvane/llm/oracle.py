@@ -1,4 +1,5 @@
-"""The queries of this subpackage in SQL, where SQL can say them, written from the contracts and not from the operators."""
+"""The queries of this subpackage in SQL, where SQL can say them. Patterns and parameters are those of the operators;
+what is done with them is said anew."""
 
 from __future__ import annotations
 
@@ -73,7 +74,7 @@ SELECT doc_id, {count('assign')}, {count('access')}, {count('hex')}, sha256({lis
 
 
 def mixing() -> str:
-    return f"""WITH d AS (SELECT row_number() OVER () AS k, doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{WORD}'))::BIGINT AS size, md5('{SEED}|' || coalesce(doc_id::VARCHAR, '')) AS o FROM documents),
+    return f"""WITH RECURSIVE d AS (SELECT row_number() OVER () AS k, doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{WORD}'))::BIGINT AS size, md5('{SEED}|' || coalesce(doc_id::VARCHAR, '')) AS o FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS n FROM d GROUP BY source),
 v AS (SELECT *, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS w FROM s),
 c AS (SELECT *, {REPEATS} * n AS cap, row_number() OVER (ORDER BY {REPEATS} * n / w, source NULLS LAST) AS i FROM v),
@@ -81,10 +82,14 @@ f AS (SELECT *, (SELECT sum(n) FROM s) - coalesce(sum(cap) OVER (ORDER BY i ROWS
 x AS (SELECT min(i) AS i FROM f WHERE rest::DOUBLE * w / tw <= cap),
 t AS (SELECT f.source, f.n, CASE WHEN x.i IS NULL OR f.i < x.i THEN f.cap::DOUBLE ELSE (SELECT rest FROM f g WHERE g.i = x.i)::DOUBLE * f.w / (SELECT tw FROM f g WHERE g.i = x.i) END AS target FROM f, x),
 q AS (SELECT *, least(round(target)::BIGINT, {REPEATS} * n) AS q FROM t),
-a AS (SELECT d.*, n, target, CASE WHEN n > 0 THEN q // n ELSE 0 END AS whole, CASE WHEN n > 0 THEN q % n ELSE 0 END AS rest, sum(size) OVER (PARTITION BY d.source ORDER BY o, size) AS upto FROM d JOIN q ON d.source IS NOT DISTINCT FROM q.source),
-g AS (SELECT source, max(rest) - coalesce(sum(size) FILTER (WHERE upto <= rest), 0) AS gap FROM a GROUP BY source),
-e AS (SELECT a.source, min((abs(size - gap), o, size)) AS best FROM a JOIN g ON a.source IS NOT DISTINCT FROM g.source WHERE upto > rest AND size > 0 AND abs(size - gap) < gap AND rest > 0 GROUP BY a.source)
-SELECT doc_id, size, n AS source_size, target, (size * (whole + CASE WHEN rest > 0 AND (upto <= rest OR (o = best[2] AND size = best[3])) THEN 1 ELSE 0 END))::BIGINT AS taken FROM a LEFT JOIN e ON a.source IS NOT DISTINCT FROM e.source"""
+a AS (SELECT d.*, n, target, CASE WHEN n > 0 THEN q // n ELSE 0 END AS whole, CASE WHEN n > 0 THEN q % n ELSE 0 END AS rest FROM d JOIN q ON d.source IS NOT DISTINCT FROM q.source),
+p AS MATERIALIZED (SELECT source, o, size, sum(size)::BIGINT AS words, max(rest) AS rest, row_number() OVER (PARTITION BY source ORDER BY o, size) AS i FROM a WHERE size > 0 AND rest > 0 GROUP BY source, o, size),
+walk AS (SELECT source, i, o, size, words, words <= rest AS fits, rest - CASE WHEN words <= rest THEN words ELSE 0 END AS gap FROM p WHERE i = 1
+  UNION ALL SELECT p.source, p.i, p.o, p.size, p.words, p.words <= w.gap, w.gap - CASE WHEN p.words <= w.gap THEN p.words ELSE 0 END FROM walk w JOIN p ON p.source IS NOT DISTINCT FROM w.source AND p.i = w.i + 1),
+g AS (SELECT source, min(gap) AS gap FROM walk GROUP BY source),
+e AS (SELECT w.source, min((abs(words - g.gap), o, size)) AS best FROM walk w JOIN g ON w.source IS NOT DISTINCT FROM g.source WHERE NOT fits AND abs(words - g.gap) < g.gap GROUP BY w.source),
+r AS (SELECT source, o, size FROM walk WHERE fits UNION ALL SELECT source, best[2], best[3] FROM e)
+SELECT doc_id, a.size, n AS source_size, target, (a.size * (whole + CASE WHEN r.o IS NOT NULL THEN 1 ELSE 0 END))::BIGINT AS taken FROM a LEFT JOIN r ON a.source IS NOT DISTINCT FROM r.source AND a.o = r.o AND a.size = r.size"""
 
 
 def contamination() -> str:

@@ -33,9 +33,54 @@ def test_flow_is_the_largest_and_the_cheapest(groups, quotas):
 
 def test_repetition_is_even_before_it_rises():
     got = mixing.flow([(("a",), 10), (("a", "b"), 10)], {"a": 30, "b": 0})
-    assert got == {("a",): 15, ("a", "b"): 15} or all(10 <= v <= 20 for v in got.values())
+    assert sum(got.values()) == 30 and all(10 <= v <= 20 for v in got.values())
 
 
+def cost(taken, known):
+    """0 for the first n words of a pattern, 1 for the next n, 3 for the n after them."""
+    return sum(min(max(v - known[p], 0), known[p]) + 3 * max(v - 2 * known[p], 0) for p, v in taken.items())
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.tuples(st.sets(st.sampled_from("abc"), min_size=1), st.integers(1, 3)), min_size=1, max_size=4), st.lists(st.integers(0, 9), min_size=3, max_size=3))
+def test_flow_costs_the_least_of_all_that_are_as_large(groups, quotas):
+    from itertools import chain, combinations, product
+
+    known = {}
+    for members, n in groups:
+        known[tuple(sorted(members))] = known.get(tuple(sorted(members)), 0) + n
+    wanted = dict(zip("abc", quotas, strict=True))
+    got = mixing.flow(sorted(known.items()), wanted)
+    sets = list(chain.from_iterable(combinations("abc", k) for k in range(4)))
+
+    def fits(amounts):  # Hall: the patterns within a set of sources give no more than its quotas
+        return all(sum(v for p, v in amounts.items() if set(p) <= set(c)) <= sum(wanted[s] for s in c) for c in sets)
+
+    total = sum(got.values())
+    assert fits(got)
+    every = (dict(zip(known, v, strict=True)) for v in product(*(range(3 * n + 1) for n in known.values())))
+    assert cost(got, known) == min(cost(a, known) for a in every if sum(a.values()) == total and fits(a))
+
+
+def test_flow_over_fifty_thousand_patterns():
+    import random
+    import time
+
+    rng = random.Random(3)
+    names = [f"s{i:02d}" for i in range(40)]
+    known = {}
+    while len(known) < 50_000:
+        known.setdefault(tuple(sorted(rng.sample(names, rng.randint(1, 5)))), rng.randint(1, 500))
+    size = {s: sum(n for p, n in known.items() if s in p) for s in names}
+    # quotas that can be filled exactly, though only by moving words about: dealt from a hidden plan
+    quotas = dict.fromkeys(names, 0)
+    for p, n in known.items():
+        quotas[p[-1]] += 2 * n
+    start = time.time()
+    got = mixing.flow(sorted(known.items()), quotas)
+    assert time.time() - start < 120
+    assert sum(got.values()) == sum(quotas.values()) and all(v == 2 * known[p] for p, v in got.items()) and size
+
 def chosen(docs):
     return mixing.Mix(docs, F.array(F.col("source").cast("string")))
 
@@ -109,8 +154,21 @@ def test_overlapping_sources_and_many_patterns(spark):
     mix = mixing.Mix(docs, F.col("sources"))
     got = {r["doc_id"]: r["copies"] for r in mix.chosen().collect()}
     assert all(got[i] == 0 for i in range(3, 80, 4)) and len(got) == 80
-    few = mixing.Mix(docs, F.col("sources"), most_patterns=2)
-    assert few.reduced and few.chosen().count() == 80
+    with pytest.raises(ValueError):
+        mixing.Mix(docs, F.col("sources"), most_patterns=2)
+
+
+def test_many_patterns_keep_every_member(spark, monkeypatch):
+    import random
+
+    rng = random.Random(1)
+    rows = [(i, "w " * 20, sorted(rng.sample([f"s{k:02d}" for k in range(40)], 1 + i % 3))) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, sources array<string>")
+    plain = mixing.Mix(docs, F.col("sources"))
+    monkeypatch.setattr(mixing, "SENT_PATTERNS", 20)
+    other = mixing.Mix(docs, F.col("sources"))
+    assert len(plain.targets) == 40 and plain.targets == other.targets
+    assert pulled(plain.chosen(), "doc_id", "copies") == pulled(other.chosen(), "doc_id", "copies")
 
 
 def test_empty_tables(no_docs):
