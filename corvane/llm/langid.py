@@ -11,10 +11,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import col, spread
+from .common import col, settle, spread
 
-#: Documents of each language that training reads, at most; pieces of each document; languages, most frequent first.
-SAMPLE_DOCS, SAMPLE_PIECES, MOST_LANGS = 300, 4, 64
+#: Documents of each language that training reads, at most, and pieces of each document. Every labelled language is
+#: learned: where there are more than SAMPLE_ALL // SAMPLE_DOCS of them, each has fewer documents, LEAST_DOCS at least.
+SAMPLE_DOCS, SAMPLE_PIECES, SAMPLE_ALL, LEAST_DOCS = 300, 4, 20_000, 20
 #: Bytes of a piece: the network starts anew with each, and the pieces cover the whole text.
 PIECE = 96
 HIDDEN, ROUNDS, BATCH, RATE = 8, 10, 128, 0.02
@@ -192,25 +193,27 @@ def held_out(id_col: Column) -> Column:
     return F.coalesce(F.crc32(id_col.cast("string")) % 4 == 2, F.lit(False))
 
 
-def sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, per_lang: int = SAMPLE_DOCS, pieces: int = SAMPLE_PIECES, most: int = MOST_LANGS) -> list[tuple[str, bytes]]:
-    """(lang, piece) of a bounded sample of labelled documents that are not held out.
+def sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, per_lang: int = SAMPLE_DOCS, pieces: int = SAMPLE_PIECES, every: int = SAMPLE_ALL) -> list[tuple[str, bytes]]:
+    """(lang, piece) of a bounded sample of labelled documents that are not held out, of all their languages.
 
     The ids with the least hash of each language come from scans without texts, cut to ``per_lang`` a language before
     they are shuffled; then the texts of those alone are read, and ``pieces`` evenly spaced pieces of each are sent.
+    Rows of one id and language count as one, the one whose pieces come first, however many there are.
     """
-    known = docs.select(col(id_col).alias("i"), col(lang_col).cast("string").alias("lang")).filter(F.col("lang").isNotNull() & F.col("i").isNotNull() & ~held_out(F.col("i")))
-    counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most).collect()
-    if not counts:
+    lang = col(lang_col).cast("string").alias("lang")
+    known = docs.select(col(id_col).alias("i"), lang).filter(F.col("lang").isNotNull() & F.col("i").isNotNull() & ~held_out(F.col("i"))).distinct()
+    langs = known.select("lang").distinct().count()
+    if not langs:
         return []
+    per_lang = min(per_lang, max(LEAST_DOCS, every // langs))
     order = W.partitionBy("lang").orderBy("h", "i")
-    ranked = known.filter(F.col("lang").isin([r["lang"] for r in counts])).withColumn("h", F.xxhash64("i", "lang"))
-    chosen = ranked.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= per_lang).select("i").collect()  # per_lang * most ids
-    ids = docs.sparkSession.createDataFrame(sorted({(r["i"],) for r in chosen}), f"__i {dict(docs.dtypes)[id_col]}")
-    text = F.encode(col(text_col), "utf-8")
+    ranked = known.withColumn("h", F.xxhash64("i", "lang")).withColumn("n", F.row_number().over(order))
+    chosen = settle(ranked.filter(F.col("n") <= per_lang).select(F.col("i").alias("__i"), "lang"))
     size = F.length("t")
     cuts = F.transform(F.sequence(F.lit(0), F.lit(pieces - 1)), lambda k: F.substring("t", F.floor(k * size / F.lit(pieces)).cast("int") + 1, F.lit(PIECE)))
-    rows = docs.select(col(id_col).alias("__i"), col(lang_col).cast("string").alias("lang"), text.alias("t")).filter("t is not null and lang is not null")
-    got = rows.join(F.broadcast(ids), "__i").select("__i", "lang", F.array_distinct(cuts).alias("p")).orderBy("__i", "lang").limit(2 * len(chosen)).collect()
+    rows = docs.select(col(id_col).alias("__i"), lang, F.encode(col(text_col), "utf-8").alias("t")).filter("t is not null and lang is not null")
+    held = rows.join(F.broadcast(chosen), ["__i", "lang"])  # per_lang * langs rows
+    got = held.groupBy("__i", "lang").agg(F.min(F.array_distinct(cuts)).alias("p")).orderBy("__i", "lang").collect()
     return [(r["lang"], bytes(p)) for r in got for p in r["p"] if p]
 
 

@@ -81,3 +81,26 @@ def test_without_labels_or_rows(spark, no_docs):
     bare = spark.createDataFrame([(1, "some text", None)], "doc_id long, text string, lang string")
     assert pulled(langid.identify(bare), "lang_pred", "score") == [("und", 0.0)]
     assert langid.identify(no_docs).collect() == []
+
+
+def test_every_language_is_learned_and_copies_crowd_none_out(spark, monkeypatch):
+    monkeypatch.setattr(langid, "LEAST_DOCS", 2)
+    rows = [(1000 * k + i, f"text {i} of language {k} " * 3, f"l{k:03d}") for k in range(700) for i in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = langid.sample(docs, "doc_id", "text", "lang", every=100)
+    assert len({lang for lang, _ in got}) >= 690  # but for those of which all rows are held out
+    assert {lang for lang, _ in got} == {r[0] for r in docs.filter(~langid.held_out(F.col("doc_id"))).select("lang").distinct().collect()}
+    few = [(i, f"word {i}", "aa") for i in range(20)] + [(1, "word again", "aa")] * 500 + [(9000 + i, f"mot {i}", "zz") for i in range(12)]
+    got = langid.sample(spark.createDataFrame(few, "doc_id long, text string, lang string").repartition(6), "doc_id", "text", "lang")
+    assert {lang for lang, _ in got} == {"aa", "zz"} and len(got) < 200
+
+
+def test_languages_beyond_the_old_limit_are_predicted(spark):
+    rng = random.Random(4)
+    rows = []
+    for k in range(70):
+        letters = [chr(0x4E00 + 40 * k + j) for j in range(6)]
+        rows += [(100 * k + i, "".join(rng.choice(letters) for _ in range(40)), f"l{k:02d}") for i in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.train(langid.sample(docs, "doc_id", "text", "lang"), rounds=12)
+    assert len(model.langs) == 70
