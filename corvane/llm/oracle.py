@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from .decontam import WINDOW
 from .mixing import REPEATS, SEED
+from .preference import LEARNED, SEED as PAIR_SEED
 from .quality import ENOUGH, FEWEST_LINES, KEPT_BITS, REACH, SLACK
 from .secrets import KINDS, REACH as NEAR, ROLE, WEAK
 
@@ -124,8 +125,12 @@ def preference() -> str:
         return f"array_to_string(list_transform(list_filter(range(1, len({x}) + 1), lambda j: {x}[j].role = 'assistant'), lambda j: {one}), ',')"
 
     side = lambda n: f"coalesce(list({{'turn': turn, 'role': role, 'text': text}} ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) FILTER (WHERE conv_id % 2 = {n}), [])"
-    return f"""WITH p AS (SELECT conv_id // 2 AS pair_id, min(conv_id) FILTER (WHERE conv_id % 2 = 0) AS chosen_id, min(conv_id) FILTER (WHERE conv_id % 2 = 1) AS rejected_id, {side(0)} AS a, {side(1)} AS b FROM conversations GROUP BY 1),
-k AS (SELECT *, coalesce(list_min(list_filter(range(1, least(len(a), len(b)) + 1), lambda j: a[j].role IS DISTINCT FROM b[j].role OR a[j].text IS DISTINCT FROM b[j].text)) - 1, least(len(a), len(b))) AS n FROM p),
+    return f"""WITH p AS (SELECT conv_id // 2 AS pair, min(conv_id) FILTER (WHERE conv_id % 2 = 0) AS chosen_id, min(conv_id) FILTER (WHERE conv_id % 2 = 1) AS rejected_id, {side(0)} AS a, {side(1)} AS b FROM conversations GROUP BY 1),
+z AS (SELECT chosen_id AS id, rejected_id AS other, a AS t, b AS o FROM p WHERE chosen_id IS NOT NULL UNION ALL SELECT rejected_id, chosen_id, b, a FROM p WHERE rejected_id IS NOT NULL),
+y AS (SELECT *, list_filter(range(2, len(t) + 1), lambda i: t[i].role = '{LEARNED}') AS places, list_filter(o, lambda x: x.role = '{LEARNED}') AS replies FROM z),
+x AS (SELECT *, CASE WHEN len(places) > 0 THEN places[('0x' || substr(md5('{PAIR_SEED}|' || id), 1, 8))::BIGINT % len(places) + 1] ELSE 2 END AS cut FROM y),
+n AS (SELECT id AS pair_id, id AS chosen_id, other AS rejected_id, t AS a, t[1:cut - 1] || replies[-1:] AS b FROM x),
+k AS (SELECT *, coalesce(list_min(list_filter(range(1, least(len(a), len(b)) + 1), lambda j: a[j].role IS DISTINCT FROM b[j].role OR a[j].text IS DISTINCT FROM b[j].text)) - 1, least(len(a), len(b))) AS n FROM n),
 s AS (SELECT pair_id, chosen_id, rejected_id, a[1:n] AS p, a[n + 1:] AS c, b[n + 1:] AS r, len(a) = 0 AS no_c, len(b) = 0 AS no_r FROM k)
 SELECT pair_id, chosen_id, rejected_id, len(p)::BIGINT AS prompt_turns, len(c)::BIGINT AS chosen_turns, len(r)::BIGINT AS rejected_turns, sha256({told('p')}) AS prompt_sha256, CASE WHEN NOT no_c THEN sha256({told('c')}) END AS chosen_sha256, CASE WHEN NOT no_r THEN sha256({told('r')}) END AS rejected_sha256,
 CASE WHEN NOT no_c THEN {mask('c')} END AS chosen_mask, CASE WHEN NOT no_r THEN {mask('r')} END AS rejected_mask FROM s"""

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .common import col
 
 OPEN, MIDDLE, CLOSE = "<|", "|>\n", "<|end|>\n"
+SEED = "pairs-1"
 #: Turns of this role are learned from; what others say is only read.
 LEARNED = "assistant"
 
@@ -54,11 +55,41 @@ def pairs(turns: DataFrame, pair: Column, rejected: Column, id_col: str = "conv_
     has no common prefix: the side is all completion and the missing one is null. Repeated turns are turns. Rows with
     a null conversation are no pair and go. An example is one row, so a conversation must fit into a row.
     """
+    return _paired(_sides(turns, pair, rejected, id_col, turn_col, role_col, text_col))
+
+
+def alternatives(turns: DataFrame, pair: Column, second: Column, seed: str = SEED, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
+    """Pairs, as pairs() returns them, of each conversation (chosen) and the same one with another reply (rejected).
+
+    For tables without pairs. ``pair`` puts two conversations together, ``second`` tells them apart. The rejected side
+    is the conversation up to one of its learned turns after the first turn, chosen by a keyed hash of its id, and then the
+    last learned turn of its partner; a conversation without such a turn is cut after its first. So the prompt has
+    a turn at least. A partner that is missing or has no learned turn gives no reply, and the rejected completion is
+    empty. pair_id and chosen_id are the conversation's id and rejected_id is its partner's. One shuffle, by pair.
+    """
+    both = _sides(turns, pair, second, id_col, turn_col, role_col, text_col)
+    side = lambda id_, other, mine, theirs: F.struct(F.col(id_).alias("id"), F.col(other).alias("other"), F.col(mine).alias("t"), F.col(theirs).alias("o"))
+    each = both.select(F.explode(F.array(side("chosen_id", "rejected_id", "c", "r"), side("rejected_id", "chosen_id", "r", "c"))).alias("x")).select("x.*").filter("id is not null")
+    learned = lambda t: F.coalesce(t.role == LEARNED, F.lit(False))
+    places = F.filter(F.transform("t", lambda t, i: F.when(learned(t) & (i > 0), i + 1)), lambda i: i.isNotNull())
+    number = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}|"), F.col("id").cast("string"))), 1, 8), 16, 10).cast("long")
+    each = each.withColumn("places", places)
+    cut = F.coalesce(F.try_element_at("places", (number % F.greatest(F.size("places"), F.lit(1)) + 1).cast("int")), F.lit(2))
+    reply = F.slice(F.filter("o", learned), F.lit(-1), F.lit(1))
+    reply = F.when(F.size(F.filter("o", learned)) > 0, reply).otherwise(F.slice("o", F.lit(1), F.lit(0)))
+    return _paired(each.select(F.col("id").alias("pair_id"), F.col("id").alias("chosen_id"), F.col("other").alias("rejected_id"), F.col("t").alias("c"), F.concat(F.slice("t", F.lit(1), cut - 1), reply).alias("r")))
+
+
+def _sides(turns: DataFrame, pair: Column, rejected: Column, id_col: str, turn_col: str, role_col: str, text_col: str) -> DataFrame:
+    """pair_id, chosen_id, rejected_id, c, r: the turns of both sides, in order."""
     rows = turns.select(pair.alias("pair_id"), rejected.alias("no"), col(id_col).alias("id"), F.struct(col(turn_col).alias("turn"), col(role_col).alias("role"), col(text_col).alias("text")).alias("x"))
     rows = rows.filter("pair_id is not null and no is not null")
     side = lambda no: F.collect_list(F.when(F.col("no") == no, F.col("x")))
     ids = lambda no: F.min(F.when(F.col("no") == no, F.col("id")))
-    both = rows.groupBy("pair_id").agg(ids(False).alias("chosen_id"), ids(True).alias("rejected_id"), F.sort_array(side(False)).alias("c"), F.sort_array(side(True)).alias("r"))
+    return rows.groupBy("pair_id").agg(ids(False).alias("chosen_id"), ids(True).alias("rejected_id"), F.sort_array(side(False)).alias("c"), F.sort_array(side(True)).alias("r"))
+
+
+def _paired(both: DataFrame) -> DataFrame:
     shorter = F.least(F.size("c"), F.size("r"))
     same = F.zip_with(F.slice("c", F.lit(1), shorter), F.slice("r", F.lit(1), shorter), lambda a, b: a.role.eqNullSafe(b.role) & a.text.eqNullSafe(b.text))
     first = F.array_position(same, F.lit(False))

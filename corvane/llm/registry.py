@@ -98,9 +98,9 @@ def op9_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_preference_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conversations 2k and 2k + 1 as chosen and rejected; the texts are told by their digests."""
-    pair, rejected = F.floor(F.col("conv_id") / F.lit(2)), F.col("conv_id") % 2 != 0
-    rows = preference.pairs(table(spark, sf_dir, "conversations"), pair, rejected)
+    """Each conversation against itself with a reply of its partner; 2k and 2k + 1 are partners. Texts are told by digests."""
+    pair, second = F.floor(F.col("conv_id") / F.lit(2)), F.col("conv_id") % 2 != 0
+    rows = preference.alternatives(table(spark, sf_dir, "conversations"), pair, second)
     mask = lambda c: F.array_join(F.transform(c, lambda x: F.concat_ws(":", x.start, x.end)), ",")
     return rows.select(
         "pair_id",

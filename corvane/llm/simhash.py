@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import col, settle, spread
+from .common import col, settle, skew_join, spread
 from .components import components
 
 BITS = 64
@@ -25,8 +25,30 @@ def covering_masks(radius: int = RADIUS, bits: int = BITS) -> list[int]:
     product of m(i) and v. At most radius vectors never span the whole space, so some v is orthogonal to those of
     all differing bits, and its mask leaves them out: the values agree under it.
     """
+    return refined(0, radius, bits)
+
+
+def refined(mask: int, radius: int = RADIUS, bits: int = BITS) -> list[int]:
+    """Covering masks over the bits that a mask leaves out, with those of the mask itself.
+
+    Two values that agree under the mask and differ in at most radius bits differ in bits that it leaves out, so they
+    agree under one of these as well.
+    """
     size = 2 ** (radius + 1) - 1
-    return [sum(1 << i for i in range(bits) if ((i % size + 1) & v).bit_count() % 2) for v in range(1, size + 1)]
+    free = [i for i in range(bits) if not mask >> i & 1]
+    return [mask | sum(1 << i for k, i in enumerate(free) if ((k % size + 1) & v).bit_count() % 2) for v in range(1, size + 1)]
+
+
+#: Levels of covering. Under a mask of the third only six bits are left out, so a bucket holds 64 fingerprints at most.
+LEVELS = 3
+
+
+def mask_levels(levels: int = LEVELS) -> list[list[int]]:
+    """The masks of each level: those that refine mask n of one level are masks 7 n to 7 n + 6 of the next."""
+    out = [covering_masks()]
+    while len(out) < levels:
+        out.append([m for mask in out[-1] for m in refined(mask)])
+    return out
 
 
 def signed(value: int) -> int:
@@ -65,27 +87,31 @@ def fingerprint(text: Column, width: int = 3) -> Column:
 
 
 def links(prints: DataFrame) -> DataFrame:
-    """Distinct fingerprints (fp) -> links (a, b) whose closure joins exactly the pairs within RADIUS bits.
+    """Distinct fingerprints (fp) -> links (a, b) of all pairs within RADIUS bits.
 
     The covering tables bring together every such pair. A bucket of two is its only pair and is checked as such. The
-    members of fuller buckets go on without pairs: each names its 65 points within one bit, and two fingerprints
-    share such a point exactly when they differ in two bits or fewer. At most 65 fingerprints share one point, so a
-    bucket of any size costs 65 short rows a member and no group is unbounded.
+    members of a fuller bucket are dealt out anew by the masks that refine its own, which again bring together every
+    such pair of them; after LEVELS levels a bucket has 64 members at most, and they are compared. So no bucket is ever
+    compared that could grow with the data.
     """
-    tables = F.array(
-        *(F.struct(F.lit(i).alias("t"), F.col("fp").bitwiseAND(F.lit(signed(m))).alias("key")) for i, m in enumerate(covering_masks()))
-    )
-    dealt = prints.select("fp", F.explode(tables).alias("x")).select("fp", "x.t", "x.key")
-    buckets = settle(
-        dealt.groupBy("t", "key").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).filter("n > 1")
-    )
-    pairs = buckets.filter("n = 2").filter(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= RADIUS).select("a", "b")
-    full = buckets.filter("n > 2").select("t", "key")
-    members = dealt.join(full, ["t", "key"], "left_semi").select("fp").distinct()
-    flips = F.array(F.col("fp"), *(F.col("fp").bitwiseXOR(F.lit(signed(1 << i))) for i in range(BITS)))
-    near = members.select("fp", F.explode(flips).alias("point")).groupBy("point").agg(F.collect_list("fp").alias("all"))
-    stars = near.filter(F.size("all") > 1).select(F.explode("all").alias("a"), F.array_min("all").alias("b")).filter("a <> b")
-    return pairs.unionByName(stars).distinct()
+    tables = mask_levels()
+    size = len(tables[0])
+    here, found = prints.select("fp", F.lit(0).alias("node")), None
+    for level, masks in enumerate(tables):
+        every = F.array(*(F.lit(signed(m)) for m in masks))
+        tables_of = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda c: F.col("node") * size + c)
+        dealt = here.select("fp", F.explode(tables_of).alias("t")).select("fp", "t", F.col("fp").bitwiseAND(F.element_at(every, F.col("t") + 1)).alias("key"))
+        if level == len(tables) - 1:
+            groups = dealt.groupBy("t", "key").agg(F.collect_set("fp").alias("all")).filter(F.size("all") > 1)
+            near = F.filter("all", lambda b: (b < F.col("a")) & (F.bit_count(F.col("a").bitwiseXOR(b)) <= RADIUS))
+            return found.unionByName(groups.select(F.explode("all").alias("a"), "all").select("a", F.explode(near).alias("b"))).distinct()
+        buckets = settle(dealt.groupBy("t", "key").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).filter("n > 1"))
+        pairs = buckets.filter("n = 2").filter(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= RADIUS).select("a", "b")
+        found = pairs if found is None else found.unionByName(pairs)
+        here = settle(dealt.join(buckets.filter("n > 2").select("t", "key"), ["t", "key"], "left_semi").select("fp", F.col("t").alias("node")))
+        if here.isEmpty():
+            break
+    return found.distinct()
 
 
 def clusters(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: dict[str, Column] | None = None) -> DataFrame:
@@ -101,7 +127,7 @@ def clusters(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ca
     rows = settle(spread(docs).select(col(id_col).alias("doc_id"), fingerprint(col(text_col)).alias("fp"), *(c.alias(n) for n, c in carry.items())))
     prints = settle(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
     linked = components(links(prints.select("fp")))
-    named = prints.join(linked.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    named = settle(prints.join(linked.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp")))
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    ends = named.select("fp", "component").join(least, "component").select("fp", F.col("component").alias("root"), "component_id")
-    return rows.join(ends, "fp").select("doc_id", "fp", "root", "component_id", *carry)
+    ends = skew_join(named.select("fp", "component"), least, "component").select("fp", F.col("component").alias("root"), "component_id")
+    return skew_join(rows, ends, "fp").select("doc_id", "fp", "root", "component_id", *carry)  # many copies are one hot fingerprint

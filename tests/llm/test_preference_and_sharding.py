@@ -1,3 +1,5 @@
+import hashlib
+
 import pytest
 from brute import pulled
 from corvane.llm import preference, sharding
@@ -63,6 +65,38 @@ def test_the_prompt_is_rendered_once_and_masks_cover_answers(spark):
     assert r["rejected"][m["start"] : m["end"]] == "bad < |end|> x<|end|>\n"
 
 
+def test_alternatives_equal_brute_force(spark):
+    df = spark.createDataFrame([(*t, 1, "k") for t in TURNS], "conv_id long, turn long, role string, text string, pair_id int, no string").repartition(4)
+    rows = preference.alternatives(df, F.floor(F.col("conv_id") / 2), F.col("conv_id") % 2 != 0).collect()
+    none = lambda v: (v is not None, v if v is not None else "")
+    sides = {}
+    for c, n, r, t in TURNS:
+        if c is not None:
+            sides.setdefault(c, []).append((n, r, t))
+    sides = {c: [(r, t) for n, r, t in sorted(v, key=lambda x: (x[0], none(x[1]), none(x[2])))] for c, v in sides.items()}
+    told = lambda turns: "".join(turn(*x) for x in turns)
+    assert sorted(r["pair_id"] for r in rows) == sorted(sides)
+    for row in rows:
+        mine, other = sides[row["pair_id"]], sides.get(row["pair_id"] ^ 1, [])
+        places = [i for i, (r, _) in enumerate(mine) if i and r == "assistant"]
+        at = int(hashlib.md5(f"{preference.SEED}|{row['pair_id']}".encode()).hexdigest()[:8], 16)
+        cut = places[at % len(places)] if places else 1
+        b = mine[:cut] + [x for x in other if x[0] == "assistant"][-1:]
+        k = 0
+        while k < min(len(mine), len(b)) and mine[k] == b[k]:
+            k += 1
+        assert k >= 1 and row["prompt_turns"] == k
+        assert (row["prompt"], row["chosen"], row["rejected"]) == (told(mine[:k]), told(mine[k:]), told(b[k:]))
+
+
+def test_a_very_long_conversation(spark):
+    rows = [(0, i, "assistant" if i % 2 else "user", "w " * 20_000 if i == 7 else f"turn {i}") for i in range(5000)] + [(1, 0, "user", "u"), (1, 1, "assistant", "v")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = {r["pair_id"]: r for r in preference.alternatives(df, F.floor(F.col("conv_id") / 2), F.col("conv_id") % 2 != 0).collect()}
+    assert got[0]["prompt_turns"] + got[0]["chosen_turns"] == 5000 and got[0]["rejected"] == turn("assistant", "v")
+    assert got[1]["prompt_turns"] == 1 and got[1]["rejected"] == turn("assistant", "turn 4999")
+
+
 def test_no_turns(spark):
     df = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
     assert preference.pairs(df, F.col("conv_id"), F.lit(True)).collect() == []

@@ -23,6 +23,51 @@ def test_an_outlier_of_its_source_goes_and_the_others_stay(spark):
     assert got.pop(99) is False and all(got.values())
 
 
+def outliers():
+    word = lambda k, n: [f"w{k}{chr(97 + i % 26)}{i}" for i in range(n)]
+    lines = [" ".join(f"l{k}{i}" for i in range(4)) for k in range(8)]
+    twice = word("r", 9)
+    return {
+        "symbol_rate": " ".join(f"w{i}#$" for i in range(40)),
+        "dup_line_rate": "\n".join([*lines, lines[0], lines[2], lines[4]]),
+        "repeat_rate": " ".join(word("a", 30) + twice + word("b", 18) + twice),
+        "word_length": " ".join(f"{'long' * 5}{i}" for i in range(40)),
+    }
+
+
+def test_each_fence_alone_can_reject(spark):
+    clean = [(i, " ".join(f"word{i}x{j}" for j in range(60)), "en", "s") for i in range(80)]
+    odd = [(1000 + k, text, "en", "s") for k, text in enumerate(outliers().values())]
+    rows = {r["doc_id"]: r for r in quality.judged(spark.createDataFrame(clean + odd, "doc_id long, text string, lang string, source string")).collect()}
+    assert all(rows[i]["kept"] for i, *_ in clean)
+    usual = rows[0]
+    for k, measure in enumerate(outliers()):
+        r = rows[1000 + k]
+        assert not r["base_failed"] and not r["kept"], measure
+        fence = {m: usual[m] + s + 30 for m, s in quality.SLACK.items()}
+        assert [m for m in quality.SLACK if r[m] > fence[m]] == [measure]
+
+
+def test_kept_equals_brute_force(docs, spark, texts):
+    rows = [r.asDict() for r in quality.judged(docs).collect()]
+    floor = lambda v: v - v % 2 ** max(v.bit_length() - quality.KEPT_BITS, 0)
+    good = [r for r in rows if not r["base_failed"]]
+
+    def quartiles(some, m):
+        values = sorted(floor(r[m]) for r in some)
+        return [values[-(-len(values) * q // 4) - 1] for q in (1, 3)]
+
+    for r in rows:
+        groups = [[g for g in good if (g["lang"], g["source"]) == (r["lang"], r["source"])], [g for g in good if g["lang"] == r["lang"]], good]
+        some = next((g for g in groups[:2] if len(g) >= quality.ENOUGH), good)
+        kept = not r["base_failed"]
+        for m, slack in quality.SLACK.items():
+            q1, q3 = quartiles(some, m)
+            reach = quality.REACH * (q3 - q1) + slack
+            kept = kept and (q1 - reach if m == "word_length" else 0) <= r[m] <= q3 + reach
+        assert r["kept"] == kept
+
+
 def test_bins_keep_the_leading_bits(spark):
     df = spark.range(0, 5000, 7)
     for r in df.select("id", quality.bin_of(df.id).alias("b")).collect():

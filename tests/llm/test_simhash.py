@@ -3,7 +3,7 @@ from itertools import combinations
 
 import brute
 from brute import pulled
-from corvane.llm import simhash
+from corvane.llm import common, simhash
 from corvane.llm.components import components
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -52,6 +52,36 @@ def test_links_of_full_buckets_equal_all_pairs(spark):
     assert got == want
 
 
+def test_levels_cover_and_end_in_small_buckets():
+    levels = simhash.mask_levels()
+    assert [len(x) for x in levels] == [7, 49, 343] and max(64 - m.bit_count() for m in levels[-1]) <= 6
+    for bits in combinations(range(64), 2):
+        pair = sum(1 << b for b in bits)
+        for above, below in zip(levels, levels[1:], strict=False):
+            for n, mask in enumerate(above):
+                assert mask & pair or any(not m & pair and m & mask == mask for m in below[7 * n : 7 * n + 7])
+
+
+def test_links_are_all_pairs_within_the_radius(spark):
+    rng = random.Random(9)
+    centre = rng.getrandbits(64)
+    ball = {centre ^ (1 << a) ^ (1 << b) for a, b in rng.sample(list(combinations(range(64), 2)), 150)} | {centre}
+    low = {centre ^ n for n in range(128)}
+    prints = sorted(ball | low | {rng.getrandbits(64) for _ in range(100)})
+    df = spark.createDataFrame([(simhash.signed(p),) for p in prints], "fp long")
+    got = {frozenset((r["a"], r["b"])) for r in simhash.links(df).collect()}
+    assert got == {frozenset((simhash.signed(a), simhash.signed(b))) for a, b in combinations(prints, 2) if (a ^ b).bit_count() <= 2}
+
+
+def test_many_copies_are_one_hot_fingerprint(spark, monkeypatch):
+    monkeypatch.setattr(common, "LEAST_HOT", 3)
+    monkeypatch.setattr(common, "MOST_HOT", 5)
+    rows = [(i, "the same words in a row" if i % 2 else None if i % 3 else f"words of number {i} alone in it") for i in range(60)]
+    got = pulled(simhash.clusters(spark.createDataFrame(rows, "doc_id long, text string")), "doc_id", "component_id")
+    prints = [brute.fingerprint(t) for _, t in rows]
+    assert got == sorted(zip(range(60), brute.components([i for i, _ in rows], prints), strict=True), key=repr)
+
+
 def test_components_of_chains_stars_and_noise(spark):
     edges = [(i, i + 1) for i in range(100, 200)] + [(5, i) for i in range(300, 360)] + [(7, 7), (8, None), (9, 10), (10, 9)]
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
