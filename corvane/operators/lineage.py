@@ -29,6 +29,12 @@ def fresh_dir(spark: SparkSession, kind: str) -> str:
     return f"{shared_dir(spark)}/corvane-{kind}-{uuid4().hex}"
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of ours, wherever it lies."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def settle(df: DataFrame) -> DataFrame:
     """df, computed once and kept where every executor can read it."""
     shared_dir(df.sparkSession)
@@ -46,5 +52,12 @@ def spread(rows: DataFrame) -> DataFrame:
     column choices still reach the scan.
     """
     cores = rows.sparkSession.sparkContext.defaultParallelism
-    size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return rows.repartition(cores) if size < SMALL and len(rows.inputFiles()) < cores else rows
+    return rows.repartition(cores) if _estimate(rows) < SMALL and len(rows.inputFiles()) < cores else rows
+
+
+def _estimate(rows: DataFrame) -> float:
+    """The planner's size in bytes; after several joins that number can be too long for Python to read."""
+    try:
+        return float(int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())))
+    except (ValueError, OverflowError):
+        return float("inf")
