@@ -130,12 +130,14 @@ class Store:
         return found.select(F.concat(F.lit(f"v{version:06d}-{kind}"), place).alias("shard"), path.alias("path"), self._tier(size).alias("tier"), "docs", size.alias("bytes"))
 
     def _rows_per_shard(self, docs: DataFrame) -> int:
-        """Rows that make about ``small`` bytes: by the shards that there are, or by the size of what docs are read from."""
+        """Rows that make about ``small`` bytes: by the shards that there are, else by the mean width of the rows."""
         held = self.manifest().agg(F.sum("bytes").alias("bytes"), F.sum("docs").alias("docs")).first()
-        size, n = held["bytes"] or 0, held["docs"] or 0
-        if not n:
-            size, n = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())), docs.count()
-        return max(1, self.small * n // size) if size and n else 0
+        if held["docs"]:
+            return max(1, self.small * held["docs"] // max(1, held["bytes"]))
+        text = [f.name for f in docs.schema if isinstance(f.dataType, T.StringType | T.BinaryType)]
+        width = sum((F.coalesce(F.octet_length(col(n)), F.lit(0)).cast("double") for n in text), F.lit(8.0 * len(docs.columns)))
+        mean = docs.select(F.avg(width)).first()[0]
+        return max(1, int(self.small / mean)) if mean else 0
 
     def append(self, docs: DataFrame, rows_per_shard: int = 0) -> int:
         """Write an arrival as shards of about ``small`` bytes, one or more a task and without a shuffle, and commit them.

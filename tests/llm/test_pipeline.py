@@ -32,6 +32,19 @@ def test_repeated_rows_of_one_document_leave_one(spark):
     assert sorted(r["doc_id"] for r in corpus_pipeline.first_of_group(spark, df, "").collect()) == [1, 2]
 
 
+@needs_data
+def test_texts_in_no_language_are_rejected_by_their_score(spark):
+    import random
+
+    rng = random.Random(1)
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    noise = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz      ") for _ in range(n)) for n in (3000, 4000, 5000)]
+    odd = spark.createDataFrame([(10**9 + i, t, None, "src0", len(t)) for i, t in enumerate(noise)], docs.schema)
+    kept = {r["doc_id"] for r in corpus_pipeline.known_language(spark, docs.unionByName(odd), SF).select("doc_id").collect()}
+    assert len({i for i in kept if i >= 10**9}) < 3
+    assert len({i for i in kept if i < 10**9}) >= 0.97 * docs.select("doc_id").distinct().count()
+
+
 @needs_data
 def test_every_stage_does_its_part(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
