@@ -81,13 +81,13 @@ def flow(groups: Sequence[tuple[tuple, int]], quotas: dict, repeats: int = REPEA
         return None
 
     def routes() -> dict:
-        """From each source that leads to an open quota, the next source on a shortest way there; None at its end."""
+        """From each source that leads to an open quota, the next source on a shortest way there; itself at its end."""
         into = {s: [] for s in quotas}
         for a in quotas:
             for b in list(movable[a]):
                 if first(a, b) is not None:
                     into[b].append(a)
-        way = {s: None for s in quotas if open_[s] > 0}
+        way = {s: s for s in quotas if open_[s] > 0}
         queue = deque(way)
         while queue:
             b = queue.popleft()
@@ -109,11 +109,11 @@ def flow(groups: Sequence[tuple[tuple, int]], quotas: dict, repeats: int = REPEA
         way = routes()
         for p in known:
             while left[p]:
-                start = next((s for s in members[p] if s in way), None)
-                if start is None:
+                starts = [s for s in members[p] if s in way]  # a source may be null, so none is told by null
+                if not starts:
                     break
-                path, a = [], start
-                while way[a] is not None:
+                path, a = [], starts[0]
+                while way[a] != a:
                     path.append((a, way[a], first(a, way[a])))
                     a = way[a]
                 if open_[a] == 0 or any(x[2] is None for x in path):
@@ -123,7 +123,7 @@ def flow(groups: Sequence[tuple[tuple, int]], quotas: dict, repeats: int = REPEA
                 for x, y, q in path:
                     given[q][x] -= n
                     put(q, y, n)
-                put(p, start, n)
+                put(p, starts[0], n)
                 left[p] -= n
                 open_[a] -= n
     return {p: sum(x.values()) for p, x in given.items()}

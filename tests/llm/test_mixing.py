@@ -62,6 +62,11 @@ def test_flow_costs_the_least_of_all_that_are_as_large(groups, quotas):
     assert cost(got, known) == min(cost(a, known) for a in every if sum(a.values()) == total and fits(a))
 
 
+def test_a_null_source_is_a_source_of_the_flow():
+    got = mixing.flow([(("a",), 140), (("a", "b"), 140), (("b", None), 140)], {"a": 70, "b": 140, None: 210})
+    assert sum(got.values()) == 420 and got == {("a",): 70, ("a", "b"): 140, ("b", None): 210}
+
+
 def test_flow_over_fifty_thousand_patterns():
     import random
     import time
