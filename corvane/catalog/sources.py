@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 import io
+import subprocess
+import tempfile
 import zipfile
+from pathlib import Path
 
 from pyspark.sql import functions as F
 
 from ..functions import scalars
 from ..operators import joins, search
 from ..operators.lineage import fresh_dir
+from ..plans.engine import Engine
 from ..sources import bindings as B
 from ..sources import code, connectors, mounts, office, readers
 from . import query
@@ -49,6 +53,39 @@ def _(spark, d):
     return w.listing().select("mount", "kind", "file_count")
 
 
+@query("s03_git_clone", "SELECT 'git://here/src/a.py' AS uri, 'code.python' AS kind, 10::BIGINT AS byte_size UNION ALL SELECT 'git://here/README.md', 'markdown.doc', 14")
+def _(spark, d):
+    """A repository made on the driver, cloned at a branch that lacks the last commit."""
+    w = mounts.Workspace(spark, fresh_dir(spark, "workspace"))
+    with tempfile.TemporaryDirectory() as origin:
+        git = lambda *a: subprocess.run(["git", "-c", "user.name=t", "-c", "user.email=t@t", *a], cwd=origin, check=True, capture_output=True)
+        git("init", "-q")
+        for name in ("src/a.py", "README.md", "data/t.csv"):
+            (Path(origin) / name).parent.mkdir(exist_ok=True)
+            (Path(origin) / name).write_text(TREE[name])
+            git("add", ".")
+            if name == "README.md":
+                git("commit", "-qm", "one")
+                git("branch", "first")
+        git("commit", "-qm", "two")
+        w.add_git("git://here/", f"file://{origin}", ref="first")
+    return w.files("git://here/**").select("uri", scalars.media_type_kind(F.col("mime")).alias("kind"), "byte_size")
+
+
+@query("k08_workspace_marker", "SELECT * FROM (VALUES (1::BIGINT, 'none', 'a/b'), (2, 'marker', 'a/b'), (3, 'marker above', 'a/b'), (4, 'git root above', '.')) v(step, state, workspace)")
+def _(spark, d):
+    """Where the workspace of a/b/c or a/b is: made here, found again, found from below, and the git root before any marker."""
+    rows = []
+    with tempfile.TemporaryDirectory() as top:
+        deep = Path(top).resolve() / "a" / "b"
+        (deep / "c").mkdir(parents=True)
+        for step, state, start in ((1, "none", deep), (2, "marker", deep), (3, "marker above", deep / "c"), (4, "git root above", deep / "c")):
+            if step == 4:
+                (Path(top) / ".git").mkdir()
+            rows.append((step, state, str(mounts.marker(str(start)).relative_to(Path(top).resolve()))))
+    return spark.createDataFrame(rows, "step long, state string, workspace string")
+
+
 @query("s04_import_object_prefix", "WITH " + values("s", "uri", [("s3://bucket/app/" + n,) for n in ("src/a.py", "src/deep/b.go")]) + " SELECT * FROM s")
 def _(spark, d):
     w = mounts.Workspace(spark, fresh_dir(spark, "workspace"))
@@ -179,6 +216,16 @@ def _(spark, d):
     return office.xlsx_data(_book(spark, d), "Regions", ["key", "name", "amount"]).select("key", "name", "amount")
 
 
+@query("s15_xlsx_sql", "SELECT n_name AS name, r_name AS region FROM nation JOIN region ON r_regionkey = n_regionkey")
+def _(spark, d):
+    """A sheet under its header's names, joined in SQL to a stored table."""
+    rows = [[r["r_regionkey"], r["r_name"]] for r in T(spark, d, "region").orderBy("r_regionkey").collect()]  # a table of five rows
+    e = Engine(spark)
+    e.register("nation", T(spark, d, "nation"))
+    at = put(spark, {"book.xlsx": workbook({"Regions": [["key", "name"], *rows]})})
+    return e.sql(f"SELECT n_name AS name, x.name AS region FROM xlsx_data('{at}', 'Regions') x JOIN nation ON n_regionkey = CAST(x.key AS BIGINT)")
+
+
 @query("s15_xlsx_sheets", "SELECT * FROM (VALUES ('Regions', 5::BIGINT, 3::BIGINT), ('Empty', 0::BIGINT, 2::BIGINT)) v(sheet, rows, columns)")
 def _(spark, d):
     return office.xlsx_sheets(_book(spark, d)).select("sheet", "rows", "columns")
@@ -243,6 +290,18 @@ def _(spark, d):
     return office.docx(spark, put(spark, {"a.docx": document()})).select("ordinal", "kind", "level", "text")
 
 
+@query("s16_pdf_sql", "SELECT 'bookmark' AS part, 2::BIGINT AS page, 'Chapter two' AS name UNION ALL SELECT 'field', 1, 'name' UNION ALL SELECT 'annotation', 1, 'Text'")
+def _(spark, d):
+    at, e = put(spark, {"a.pdf": PDF}), Engine(spark)
+    return e.sql(f"SELECT 'bookmark' AS part, page, name FROM pdf_bookmarks('{at}') UNION ALL SELECT 'field', page, name FROM pdf_form_fields('{at}') UNION ALL SELECT 'annotation', page, name FROM pdf_annotations('{at}')")
+
+
+@query("s17_docx_sql", "SELECT 1::BIGINT AS ordinal, 'Intro' AS text UNION ALL SELECT 4, 'Part' UNION ALL SELECT 5, 'why?'")
+def _(spark, d):
+    at, e = put(spark, {"a.docx": document()}), Engine(spark)
+    return e.sql(f"SELECT ordinal, text FROM docx_heading('{at}') UNION ALL SELECT ordinal, text FROM docx_comment('{at}')")
+
+
 @query("s18_json_data", "SELECT event_id, event_type, value FROM events")
 def _(spark, d):
     at = fresh_dir(spark, "json")
@@ -394,11 +453,6 @@ def _(spark, d):
 @query("s39_engine_storage")
 def _(spark, d):
     """What the engine itself holds: an executor per row, with its memory for storage, used and free, in bytes."""
-    status = spark.sparkContext._jsc.sc().getExecutorMemoryStatus()
-    rows, it = [], status.iterator()
-    while it.hasNext():
-        entry = it.next()
-        rows.append((entry._1(), int(entry._2()._1()), int(entry._2()._2())))
-    return spark.createDataFrame(rows, "executor string, most_bytes long, free_bytes long")
+    return Engine(spark).sql("SELECT executor, most_bytes, free_bytes FROM duckdb_memory()")
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 
 from ..plans import dialect, results
+from ..plans.bridge import Refused, Server, Tool
 from ..plans.engine import Engine
 from ..sources import bindings as B
 from . import query
@@ -252,3 +253,68 @@ def _(spark, d):
     e = engine(spark, d)
     e.register("coverage", B.coverage(spark, d))
     return e.sql("SELECT (SELECT count(*) FROM uncovered_symbols('doc:///en/**')) AS uncovered, (SELECT count(*) FROM file_coverage('doc:///en/**')) AS files")
+
+
+def bridged(spark, d) -> Engine:
+    """An engine with tools of three servers: one connected, one whose credential ran out, one shadowed and one off."""
+    e = engine(spark, d)
+    for server in (
+        Server("orders", "stdio", "project"),
+        Server("orders", "http", "user"),
+        Server("tickets", "http", "project", state="needsAuth", auth_status="expired", auth_action="sign in again"),
+        Server("wiki", "http", "user", enabled=False),
+    ):
+        e.add_server(server)
+    e.add_tool(Tool("of_customer", "orders of a customer", ("who",), lambda who: T(spark, d, "orders").filter(F.col("o_custkey") == who).select("o_orderkey", "o_totalprice"), server="orders"))
+    e.add_tool(Tool("drop", "removes an order", ("key",), lambda key: None, read_only=False, server="orders"))
+    e.add_tool(Tool("find", "tickets", ("text",), lambda text: [], server="tickets"))
+    return e
+
+
+@query("s36_tool_macro", "SELECT n_name, count(*) AS n FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey WHERE o_custkey = 7 GROUP BY n_name")
+def _(spark, d):
+    return bridged(spark, d).sql("SELECT n_name, count(*) AS n FROM mcp_orders_of_customer(7) m JOIN orders o ON o.o_orderkey = m.o_orderkey JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey GROUP BY n_name")
+
+
+SERVERS = [("orders", "stdio", "connected", "none", None, 2), ("tickets", "http", "needsAuth", "expired", "sign in again", 1)]
+FOUND = [("orders", "project", "active"), ("orders", "user", "shadowed"), ("tickets", "project", "active"), ("wiki", "user", "disabled")]
+FAILED = [("blocked", "orders", "drop", False), ("unavailable", "tickets", "find", True)]
+
+
+@query("s36_servers", "WITH " + values("s", "name, transport, state, auth_status, auth_action, tool_count", SERVERS) + " SELECT name, transport, state, auth_status, auth_action, tool_count::BIGINT AS tool_count FROM s")
+def _(spark, d):
+    return bridged(spark, d).sql("SELECT name, transport, state, auth_status, auth_action, tool_count FROM mcp_servers()")
+
+
+@query("s36_server_sources", "WITH " + values("s", "name, source, status", FOUND) + " SELECT * FROM s")
+def _(spark, d):
+    return bridged(spark, d).sql("SELECT name, source, status FROM mcp_server_sources()")
+
+
+@query("s36_bridge_errors", "WITH " + values("s", "error_category, server, tool, retryable", FAILED) + " SELECT * FROM s")
+def _(spark, d):
+    e = bridged(spark, d)
+    for name, given in (("drop", '{"key": 1}'), ("find", '{"text": "x"}')):
+        try:
+            e.call(name, given)
+        except Refused:
+            pass
+    return e.sql("SELECT error_category, server, tool, retryable FROM mcp_bridge_errors()")
+
+
+@query("s33_git_patches_sql", "SELECT doc_id, 1::BIGINT AS insertions, 0::BIGINT AS deletions FROM documents WHERE lang = 'en' AND source = 'src0'")
+def _(spark, d):
+    """Staged changes in a scope: a line added to every document of one source, the others not yet staged."""
+    e = engine(spark, d)
+    docs = T(spark, d, "documents")
+    uri = F.concat(F.lit("doc:///"), "lang", F.lit("/"), F.col("doc_id").cast("string"))
+    e.register("worktree", docs.select(uri.alias("uri"), F.col("text").alias("before"), F.concat_ws("\n", F.lit("added"), "text").alias("after"), (F.col("source") == "src0").alias("staged")))
+    return e.sql("SELECT substring_index(uri, '/', -1)::BIGINT AS doc_id, insertions, deletions FROM git_patches('doc:///en/**', false)")
+
+
+RELATIONS = ("documents", "orders", "lineitem", "customer", "nation", "part", "events")
+
+
+@query("s39_relation_sizes", " UNION ALL ".join(f"SELECT '{t}' AS relation, count(*) AS n FROM {t}" for t in RELATIONS))
+def _(spark, d):
+    return engine(spark, d).sql(f"SELECT relation, row_count AS n FROM pragma_database_size() WHERE relation IN {RELATIONS}")

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import ast
 import contextlib
+import functools
 import io
 import json
 import time
 from collections.abc import Callable, Sequence
-from dataclasses import dataclass, field
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,22 +18,12 @@ from ..functions import scalars
 from ..functions.address import in_scope, parse_address
 from ..operators import joins, ranking, retrieve, search
 from . import dialect, macros, results
+from .bridge import Bridge, Server, Tool
 
 #: Session settings that may be read and set by name.
 SETTINGS = ("spark.sql.shuffle.partitions", "spark.sql.files.maxPartitionBytes", "spark.sql.autoBroadcastJoinThreshold", "spark.sql.session.timeZone")
 
 
-@dataclass(frozen=True)
-class Tool:
-    """A callable by name: what it takes and whether it only reads."""
-
-    name: str
-    about: str
-    parameters: tuple[str, ...]
-    call: Callable[..., Any] = field(repr=False)
-    read_only: bool = True
-
-
 class Engine:
     """Relations by name, and the operators over them. Nothing it offers writes to a relation."""
 
@@ -45,7 +35,8 @@ class Engine:
         self.macros: dict[str, macros.Macro] = macros.standard(self)
         self._number = 0
         self._cache: dict[tuple, tuple[float, results.Result]] = {}
-        self._tools: dict[str, Tool] = {}
+        self.bridge = Bridge(spark)
+        self._tools = self.bridge.tools
         scalars.register(spark)
         for tool in (
             Tool("query", "one reading SQL statement", ("sql", "max_rows", "cache_seconds"), self.query),
@@ -148,15 +139,41 @@ class Engine:
         best = search.explore(scope, keywords, question)
         return ranking.breadth(best.drop("rank"), "score", "uri", breadth)
 
+    # -- what the engine holds ----------------------------------------------------------------------------------------
+
+    def memory(self) -> DataFrame:
+        """executor, most_bytes, free_bytes: the memory for storage of each executor."""
+        rows, it = [], self.spark.sparkContext._jsc.sc().getExecutorMemoryStatus().iterator()
+        while it.hasNext():
+            entry = it.next()
+            rows.append((entry._1(), int(entry._2()._1()), int(entry._2()._2())))
+        return self.spark.createDataFrame(rows, "executor string, most_bytes long, free_bytes long")
+
+    def stored(self) -> DataFrame:
+        """id, name, partitions, memory_bytes, disk_bytes: what is kept of results, in memory and in files."""
+        info = self.spark.sparkContext._jsc.sc().getRDDStorageInfo()
+        rows = [(i.id(), i.name(), i.numCachedPartitions(), i.memSize(), i.diskSize()) for i in info]
+        return self.spark.createDataFrame(rows, "id long, name string, partitions long, memory_bytes long, disk_bytes long")
+
+    def relation_sizes(self) -> DataFrame:
+        """relation, row_count of each registered relation, views of table functions left out."""
+        counts = [df.agg(F.lit(n).alias("relation"), F.count("*").alias("row_count")) for n, df in self.views.items() if not n.startswith(f"{self.prefix}_")]
+        return functools.reduce(DataFrame.unionByName, counts, self.spark.createDataFrame([], "relation string, row_count long"))
+
     # -- tools and scripts --------------------------------------------------------------------------------------------
 
     def add_tool(self, tool: Tool) -> None:
+        """Offer a tool by name; one of another server is a table function mcp_SERVER_TOOL as well."""
         self._tools[tool.name] = tool
+        if name := self.bridge.macro(tool):
+            self.macros[name] = lambda *a, **k: self.bridge.rows(tool, dict(zip(tool.parameters, a, strict=False)) | k)
+
+    def add_server(self, server: Server) -> None:
+        self.bridge.add_server(server)
 
     def tools(self) -> DataFrame:
-        """name, about, parameters, read_only."""
-        rows = [(t.name, t.about, ",".join(t.parameters), t.read_only) for t in self._tools.values()]
-        return self.spark.createDataFrame(rows, "name string, about string, parameters string, read_only boolean")
+        """name, about, parameters, read_only, server, macro, callable, reason."""
+        return self.bridge.listed()
 
     def tool_parameters(self) -> DataFrame:
         """name, ordinal, parameter."""
@@ -170,7 +187,7 @@ class Engine:
         given, tool = json.loads(arguments or "{}"), self._tools[name]
         if extra := sorted(set(given) - set(tool.parameters)):
             raise ValueError(f"INVALID_ARGUMENT: {name} takes {', '.join(tool.parameters)}, not {', '.join(extra)}")
-        return tool.call(**given)
+        return self.bridge.call(tool, given)
 
     def execute(self, script: str, data: Any = None, timeout_s: float = 30.0) -> dict[str, Any]:
         """A script over query(); see run_script()."""

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars
 from ..functions.address import in_scope
 from ..operators import joins, retrieve, search
-from ..sources import code, readers
+from ..sources import code, office, readers
 from . import dialect
 
 if TYPE_CHECKING:
@@ -109,6 +109,26 @@ def standard(engine: Engine) -> dict[str, Macro]:
         "operation_deferrals": lambda id: have("deferrals").filter(F.col("id") == id),
         "mcp_tools": lambda: engine.tools(),
         "mcp_tool_params": lambda: engine.tool_parameters(),
+        "mcp_servers": lambda: engine.bridge.servers(),
+        "mcp_server_sources": lambda: engine.bridge.sources(),
+        "mcp_bridge_errors": lambda: engine.bridge.errors(),
+        "git_patches": lambda scope="**", include_unstaged=True: retrieve.patches(scoped("worktree", scope).filter(F.lit(include_unstaged) | F.col("staged")), "uri", "before", "after"),
+        "pragma_database_size": lambda: engine.relation_sizes(),
+        "duckdb_memory": lambda: engine.memory(),
+        "duckdb_temporary_files": lambda: engine.stored().filter("disk_bytes > 0"),
+        "csv": lambda path: readers.csv_data(spark, path),
+        "xlsx": lambda path: office.xlsx(spark, path),
+        "xlsx_sheets": lambda path: office.xlsx_sheets(office.xlsx(spark, path)),
+        "xlsx_schema": lambda path: office.xlsx_schema(office.xlsx(spark, path)),
+        "xlsx_data": lambda path, sheet: office.xlsx_table(office.xlsx(spark, path), sheet),
+        "xlsx_preview": lambda path, sheet, n=10: office.xlsx_table(office.xlsx(spark, path), sheet).orderBy("uri", "row").limit(n),
+        "xlsx_files": lambda pattern="**": office.xlsx_files(have("files"), pattern),
+        "xlsx_find_amounts": lambda path, least=0.0: office.xlsx_find_amounts(office.xlsx(spark, path), least),
+        "docx": lambda path: office.docx(spark, path),
+        **{k: (lambda path, k=k: office.docx(spark, path).filter(F.col("kind") == k).drop("kind")) for k in ("docx_heading", "docx_table", "docx_image", "docx_comment")},
+        "pdf": lambda path: office.pdf(spark, path),
+        "pdf_pages": lambda path, first=1, last=2**31 - 1: office.pdf_pages(office.pdf(spark, path), first, last),
+        **{f"{k}s": (lambda path, k=k: office.pdf(spark, path).filter(F.col("kind") == k).drop("kind")) for k in ("pdf_bookmark", "pdf_form_field", "pdf_annotation")},
     }
 
 

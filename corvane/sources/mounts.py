@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import shutil
 import subprocess
+import tempfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -44,11 +46,24 @@ class Workspace:
             mime = F.when(extension == ext, F.lit(name)).otherwise(mime)
         self.add(mount, texts.withColumn("mime", mime), **options)
 
-    def add_git(self, mount: str, url: str, into: str, ref: str | None = None, **options: str) -> None:
-        """Clone a repository into a shared folder and attach it; needs git and, for remote addresses, a network."""
-        command = ["git", "clone", "--depth", "1", *(["--branch", ref] if ref else []), "--", url, into]
-        subprocess.run(command, check=True, capture_output=True)
-        self.add_folder(mount, into, "*.*", **options)
+    def add_git(self, mount: str, url: str, into: str | None = None, ref: str | None = None, **options: str) -> None:
+        """Clone a repository and attach it; needs git on the driver and, for remote addresses, a network.
+
+        git writes to a folder of the driver alone, from which the tree is copied to the shared folder into (by
+        default one of the workspace, gone when the files are indexed). Executors read that copy only.
+        """
+        shared = into or f"{self.root}/clones/{mount.encode().hex()}"
+        fs = self._path(shared).getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        with tempfile.TemporaryDirectory() as local:
+            command = ["git", "clone", "--depth", "1", *(["--branch", ref] if ref else []), "--", url, f"{local}/tree"]
+            subprocess.run(command, check=True, capture_output=True)
+            shutil.rmtree(f"{local}/tree/.git")
+            if into is None:
+                fs.delete(self._path(shared), True)
+            fs.copyFromLocalFile(False, False, self._path(f"file://{local}/tree"), self._path(shared))
+        self.add_folder(mount, shared, "*.*", **options)
+        if into is None:
+            fs.delete(self._path(shared), True)
 
     def _at(self, mount: str) -> str:
         return f"{self.root}/files/mount=m{mount.encode().hex()}"

@@ -17,6 +17,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.address import in_scope
+
 _S = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 _R = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
 _P = "{http://schemas.openxmlformats.org/package/2006/relationships}"
@@ -96,6 +98,27 @@ def xlsx_data(cells: DataFrame, sheet: str, names: list[str]) -> DataFrame:
     return body.groupBy("uri", "row").pivot("column", list(range(1, len(names) + 1))).agg(F.first("value")).select("uri", "row", *(F.col(str(i + 1)).alias(n) for i, n in enumerate(names)))
 
 
+def xlsx_table(cells: DataFrame, sheet: str) -> DataFrame:
+    """The rows of one sheet under the names of its header row; an empty or repeated name gets its column's number.
+
+    Reads the header row to the driver: a format of at most 16,384 columns. Of several files the first with the sheet names them.
+    """
+    head = cells.filter((F.col("sheet") == sheet) & (F.col("row") == 1)).orderBy("uri", "column").limit(16_384).collect()
+    if not head:
+        raise ValueError(f"no sheet named {sheet} with a header")
+    named = {r["column"]: r["value"] for r in head if r["uri"] == head[0]["uri"]}
+    names: list[str] = []
+    for i in range(1, max(named) + 1):
+        name = named.get(i) or f"column_{i}"
+        names.append(f"{name}_{i}" if name in names or name in ("uri", "row") else name)
+    return xlsx_data(cells, sheet, names)
+
+
+def xlsx_files(files: DataFrame, pattern: str = "**") -> DataFrame:
+    """The workbooks in scope."""
+    return files.filter(in_scope(F.col("uri"), pattern) & F.lower("uri").endswith(".xlsx"))
+
+
 def xlsx_find_amounts(cells: DataFrame, least: float = 0.0) -> DataFrame:
     """uri, sheet, row, column, amount of the cells that hold a number, currency marks and thousands aside."""
     amount = F.regexp_replace("value", r"[\s,$€£]", "").try_cast("double")

@@ -138,3 +138,81 @@ def test_json_text_keeps_null_fields(spark):
 
     df = spark.range(1).select(json_text(F.struct(F.lit(None).cast("string").alias("a"), F.lit(1).alias("b"))).alias("j"))
     assert df.first()["j"] == '{"a":null,"b":1}'
+
+
+def test_git_trees_are_copied_to_the_shared_folder_and_removed(spark, tmp_path):
+    origin = tmp_path / "origin"
+    (origin / "deep").mkdir(parents=True)
+    (origin / "deep" / "a.py").write_text("x = 1\n")
+    git = lambda *a: subprocess.run(["git", "-c", "user.name=t", "-c", "user.email=t@t", *a], cwd=origin, check=True, capture_output=True)
+    git("init", "-q")
+    git("add", ".")
+    git("commit", "-qm", "one")
+    w = mounts.Workspace(spark, str(tmp_path / "store"))
+    for _ in range(2):
+        w.add_git("git://here/", f"file://{origin}")
+        assert [r["uri"] for r in w.files().collect()] == ["git://here/deep/a.py"]
+        assert not list((tmp_path / "store" / "clones").iterdir())
+
+
+def bridge(spark, *servers, **tools):
+    from corvane.plans.bridge import Bridge, Tool
+
+    b = Bridge(spark)
+    for s in servers:
+        b.add_server(s)
+    for name, (server, call, reads) in tools.items():
+        b.tools[name] = Tool(name, name, ("x",), call, reads, server)
+    return b
+
+
+def test_bridged_calls_are_gated_and_errors_kept_without_secrets(spark):
+    from corvane.plans.bridge import Refused, Server
+
+    def fails(x):
+        raise RuntimeError(f"denied, token: abc123 and Bearer {x}")
+
+    b = bridge(spark, Server("s", "http"), ask=("s", fails, True), write=("s", lambda x: "done", False), lost=("gone", lambda x: x, True))
+    with pytest.raises(RuntimeError, match="abc123"):
+        b.call(b.tools["ask"], {"x": "zzz"})
+    for name, kind in (("write", "blocked"), ("lost", "unavailable")):
+        with pytest.raises(Refused) as e:
+            b.call(b.tools[name], {"x": "1"})
+        assert e.value.kind == kind
+    b.writable.add("write")
+    assert b.call(b.tools["write"], {"x": "1"}) == "done"
+    rows = b.errors().collect()
+    assert [(r["error_category"], r["server"], r["tool"], r["retryable"]) for r in rows] == [("failed", "s", "ask", False), ("blocked", "s", "write", False), ("unavailable", "gone", "lost", True)]
+    assert rows[0]["redacted_message"] == "denied, token: *** and Bearer ***" and len({r["correlation_id"] for r in rows}) == 3
+    (s,) = b.servers().collect()
+    assert (s["tool_count"], s["last_error"]) == (2, rows[1]["redacted_message"])
+    assert {r["name"]: (r["callable"], r["macro"]) for r in b.listed().collect()} == {"ask": (True, "mcp_s_ask"), "write": (True, "mcp_s_write"), "lost": (False, "mcp_gone_lost")}
+
+
+def test_bridged_answers_become_rows(spark):
+    from corvane.plans.bridge import Server
+
+    b = bridge(spark, Server("s", "http"), a=("s", lambda x: [{"k": "1"}, {"k": "2", "m`n": [x]}], True), b=("s", lambda x: {"n": x}, True), c=("s", lambda x: [], True))
+    assert [tuple(r) for r in b.rows(b.tools["a"], {"x": 5}).collect()] == [("1", None), ("2", "[5]")]
+    assert [r["result"] for r in b.rows(b.tools["b"], {"x": 5}).collect()] == ['{"n": 5}']
+    assert [r["result"] for r in b.rows(b.tools["c"], {"x": 5}).collect()] == ["[]"]
+
+
+def test_an_empty_bridge_has_empty_relations(spark):
+    from corvane.plans.engine import Engine
+
+    e = Engine(spark)
+    for name in ("mcp_servers", "mcp_server_sources", "mcp_bridge_errors", "pragma_database_size"):
+        assert e.sql(f"SELECT * FROM {name}()").collect() == []
+
+
+def test_sheets_with_poor_headers_and_missing_sheets(spark, tmp_path):
+    from corvane.catalog.sources import workbook
+    from corvane.sources import office
+
+    (tmp_path / "a.xlsx").write_bytes(workbook({"S": [["k", None, "k", "row"], [1, 2, 3, 4]]}))
+    cells = office.xlsx(spark, str(tmp_path))
+    table = office.xlsx_table(cells, "S")
+    assert table.columns == ["uri", "row", "k", "column_2", "k_3", "row_4"] and [tuple(r)[1:] for r in table.collect()] == [(2, "1", "2", "3", "4")]
+    with pytest.raises(ValueError, match="no sheet named T"):
+        office.xlsx_table(cells, "T")
