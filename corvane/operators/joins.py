@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -60,28 +63,41 @@ def _bucket(uri: Column, depth: int) -> Column:
 _DEPTH = 4
 
 
+#: Terms with a wildcard in their first segment that are sent to every task; more of them are shuffled in parts.
+WIDE_TERMS, WIDE_PARTS = 10_000, 32
+
+
 def governs(targets: DataFrame, capsules: DataFrame, uri: str = "uri", globs: str = "relevance") -> DataFrame:
     """targets × capsules whose globs match the target; a capsule without globs governs nothing here.
 
-    A term whose first segment is literal meets only targets with that segment, by an equi-join; the others are
-    compared with all targets, but those are few (notes for everything) and their keys are by scheme. Exclusions of a
-    capsule apply to all its terms. A pair comes out once.
+    A term whose first segment is literal meets only targets with that segment, by an equi-join. The others, wide
+    ones, meet all targets of their scheme: up to WIDE_TERMS of them, counted first, go to the targets, which are not
+    shuffled; beyond, the targets of a scheme are dealt to WIDE_PARTS parts and the terms are sent to each. Exclusions of
+    a capsule apply to all its terms. A pair comes out once.
     """
+    clash = [c for c in capsules.columns if c in targets.columns]
+    if clash:
+        raise ValueError(f"columns of both sides: {clash}")
     terms = capsules.withColumn("__id", F.xxhash64(F.to_json(F.struct(*capsules.columns)))).withColumn("__all", F.array_join(globs, ";"))
     each = terms.select("*", F.explode(F.split("__all", ";")).alias("__term")).withColumn("__term", F.trim("__term"))
     each = each.filter("__term <> '' and not startswith(__term, '!')")
-    head = F.regexp_extract("__term", r"^([^*?\[{%]*)", 1)
-    deep = _bucket(head, _DEPTH)
-    shallow = F.regexp_extract("__term", r"^([a-z][a-z0-9+.-]*:)", 1)
-    each = each.withColumn("__key", F.coalesce(deep, F.when(shallow != "", shallow), F.lit("*")))
-    own = F.array_distinct(F.array_compact(F.array(_bucket(F.col(uri), _DEPTH), F.nullif(F.regexp_extract(uri, r"^([a-z][a-z0-9+.-]*:)", 1), F.lit("")), F.lit("*"))))
-    keyed = targets.filter(F.col(uri).isNotNull()).withColumn("__key", F.explode(own))
-    met = keyed.join(each, "__key").filter(matches_glob(F.col(uri), F.col("__term")))
+    scheme = lambda c: F.nullif(F.regexp_extract(c, r"^([a-z][a-z0-9+.-]*:)", 1), F.lit(""))
+    each = each.withColumn("__key", _bucket(F.regexp_extract("__term", r"^([^*?\[{%]*)", 1), _DEPTH))
+    deep, wide = each.filter("__key is not null"), each.filter("__key is null")
+    wide = wide.withColumn("__key", F.coalesce(scheme(F.col("__term")), F.lit("*")))
+    held = targets.filter(F.col(uri).isNotNull())
+    fits = matches_glob(F.col(uri), F.col("__term"))
+    met = held.withColumn("__key", _bucket(F.col(uri), _DEPTH)).join(deep, "__key").filter(fits)
+    broad = held.withColumn("__key", F.explode(F.array_compact(F.array(scheme(F.col(uri)), F.lit("*")))))
+    if wide.limit(WIDE_TERMS + 1).count() <= WIDE_TERMS:
+        broad = broad.join(F.broadcast(wide), "__key")
+    else:
+        part = F.pmod(F.xxhash64(uri), F.lit(WIDE_PARTS)).alias("__part")
+        parts = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(WIDE_PARTS - 1).cast("long"))).alias("__part")
+        broad = broad.select("*", part).join(wide.select("*", parts), ["__key", "__part"]).drop("__part")
+    met = met.unionByName(broad.filter(fits))
     barred = F.array_join(F.filter(F.transform(F.split("__all", ";"), lambda t: F.trim(t)), lambda t: t.startswith("!")), ";")
     met = met.withColumn("__barred", barred).filter((F.col("__barred") == "") | matches_glob(F.col(uri), F.col("__barred")))
-    clash = [c for c in capsules.columns if c in targets.columns]
-    if clash:
-        raise ValueError(f"columns of both sides: {clash}")
     return met.dropDuplicates([uri, "__id"]).select(*targets.columns, *capsules.columns)
 
 
@@ -125,26 +141,52 @@ def contains(texts: DataFrame, terms: DataFrame, text: str = "text", term: str =
     return runs.withColumn("__key", F.explode("__g")).drop("__g", "__w", "__e", "__n").join(keyed, "__key").drop("__key")
 
 
-#: Aliases that one pass over the texts looks for.
-ALIASES = 10_000
+#: Characters of the aliases that one pass over the texts looks for with an automaton; a worker holds about 50 bytes for each.
+ALIAS_CHARS = 4_000_000
 
 
 def redundant(aliases: DataFrame, docs: DataFrame, alias: str = "alias", text: str = "text") -> DataFrame:
     """aliases with redundant: found verbatim in some text.
 
-    The aliases go to the texts as arrays of at most about ALIASES, a pass each; a text names those that it holds, and
-    only names are shuffled.
+    Up to WALKED_TERMS aliases are looked for one by one; more of them make one automaton, which reads a text once
+    however many there are, or one for each ALIAS_CHARS of them. A text names those that it holds, and only names are
+    shuffled.
     """
     held = aliases.select(alias).filter(F.col(alias).isNotNull()).distinct()
-    blocks = -(-held.count() // ALIASES) or 1
-    found = None
-    for block in range(blocks):
-        every = held.filter(F.pmod(F.xxhash64(alias), F.lit(blocks)) == block).agg(F.collect_list(alias).alias("__a"))
-        here = docs.select(text).join(F.broadcast(every)).select(F.explode(F.filter("__a", lambda a: F.contains(F.col(text), a))).alias(alias)).distinct()
-        found = here if found is None else found.unionByName(here)
+    size = held.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length(alias)), F.lit(0)).alias("chars")).first()
+    if size["n"] <= WALKED_TERMS:
+        every = held.agg(F.collect_list(alias).alias("__a"))
+        found = docs.select(text).join(F.broadcast(every)).select(F.explode(F.filter("__a", lambda a: F.contains(F.col(text), a))).alias(alias)).distinct()
+    else:
+        found, blocks = None, size["chars"] // ALIAS_CHARS + 1
+        for block in range(blocks):
+            names = [r[0] for r in held.filter(F.pmod(F.xxhash64(alias), F.lit(blocks)) == block).collect()]  # about ALIAS_CHARS characters
+            shared = docs.sparkSession.sparkContext.broadcast(names)
+            here = spread(docs.select(text)).select(F.explode(_held_in(F.col(text), shared)).alias(alias)).distinct()
+            found = here if found is None else found.unionByName(here)
     return aliases.join(found.withColumn("__f", F.lit(True)), alias, "left").withColumn("redundant", F.coalesce("__f", F.lit(False))).drop("__f")
 
 
+def _held_in(text: Column, shared) -> Column:
+    """Those of the broadcast names that a text holds anywhere; null holds none, and any text holds the empty name."""
+
+    @F.pandas_udf("array<string>")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        import ahocorasick
+
+        names, automaton = shared.value, ahocorasick.Automaton()
+        empty = {""} & set(names)
+        for number, name in enumerate(names):
+            if name:
+                automaton.add_word(name, number)
+        automaton.make_automaton()
+        search = automaton.iter if len(automaton) else lambda value: ()
+        for texts in batches:
+            yield pd.Series([[] if value is None else sorted({names[i] for _, i in search(value)} | empty) for value in texts], dtype=object)
+
+    return run(text)
+
+
 def references(edges: DataFrame, known: DataFrame, src: str = "src", dst: str = "dst", uri: str = "uri") -> DataFrame:
     """edges with band: resolved when the target exists, name when only something of its last segment does, else unresolved."""
     tail = lambda c: F.substring_index(F.regexp_replace(c, r"[?#].*$", ""), "/", -1)

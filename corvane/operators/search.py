@@ -82,12 +82,17 @@ def bm25(docs: DataFrame, query: str, key: str, text: str = "text") -> DataFrame
     stats = counted(docs).agg(F.count("*").alias("__docs"), F.avg("__n").alias("__mean"), *(F.count_if(F.col(f"__t{i}") > 0).alias(f"__d{i}") for i in range(len(words))))
     some = reduce(Column.__or__, (F.contains(F.lower(text), F.lit(w)) for w in words))  # cheap, and true of all that score
     joined = counted(docs.filter(some)).join(F.broadcast(stats))  # one row
+    score = _okapi([(F.col(f"__t{i}"), F.col(f"__d{i}")) for i in range(len(words))])
+    return joined.select(key, score.alias("score")).filter("score > 0").select(key, F.round("score", DIGITS).alias("score"))
+
+
+def _okapi(counts: list[tuple[Column, Column]]) -> Column:
+    """BM25 from (count in the text, texts that hold it) of each word, and __n, __docs and __mean."""
     score = F.lit(0.0)
-    for i in range(len(words)):
-        tf, df = F.col(f"__t{i}"), F.col(f"__d{i}")
+    for tf, df in counts:
         idf = F.log(1 + (F.col("__docs") - df + 0.5) / (df + 0.5))
         score = score + idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("__n") / F.col("__mean")))
-    return joined.select(key, score.alias("score")).filter("score > 0").select(key, F.round("score", DIGITS).alias("score"))
+    return score
 
 
 def place_of(word: str) -> tuple[int, int]:
@@ -96,37 +101,51 @@ def place_of(word: str) -> tuple[int, int]:
     return int(code[:2], 16), 1 if int(code[2], 16) % 2 == 0 else -1
 
 
-def vector_scores(docs: DataFrame, query: str, key: str, text: str = "text") -> DataFrame:
-    """key, score: cosine of hashed, signed log counts of words. No statistics of the corpus, so texts stand alone.
-
-    Counting the words of a text and adding 256 sums is one walk in Python by batches; said with built-in functions it
-    would deal out every word of every text.
-    """
-    wanted: Counter = Counter()
+def _wanted(query: str) -> Counter:
+    """The vector of a query: its dimensions that are not zero."""
+    out: Counter = Counter()
     for word, n in Counter(re.findall(r"\w+", query.lower())).items():
         dim, sign = place_of(word)
-        wanted[dim] += sign * (1 + math.log(n))
-    wanted = Counter({k: v for k, v in wanted.items() if v})
-    if not wanted:
-        return docs.select(key, F.lit(0.0).alias("score")).limit(0)
+        out[dim] += sign * (1 + math.log(n))
+    return Counter({k: v for k, v in out.items() if v})
+
+
+#: What one walk over a text finds: its words, how often each word asked for occurs, and its cosine with the query.
+FOUND = "n int, tf array<int>, cosine double"
+
+
+def walked(text: Column, words: list[str], query: str) -> Column:
+    """The struct FOUND of a text. Counts and vector come from the same walk, in Python by batches; said with built-in
+    functions the vector would deal out every word of every text."""
+    wanted = _wanted(query)
     weights = [float(wanted.get(d, 0.0)) for d in range(DIMENSIONS)]
     size = math.sqrt(sum(v * v for v in wanted.values()))
 
-    @F.pandas_udf("double")
-    def cosines(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.pandas_udf(FOUND)
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         place = lru_cache(maxsize=200_000)(place_of)
         for texts in batches:
             out = []
             for value in texts:
+                counts = Counter(re.findall(r"\w+", value or ""))
                 vector = [0.0] * DIMENSIONS
-                for word, n in Counter(re.findall(r"\w+", value or "")).items():
+                for word, n in counts.items() if size else ():
                     dim, sign = place(word)
                     vector[dim] += sign * (1 + math.log(n))
-                length = math.sqrt(sum(v * v for v in vector))
-                out.append(sum(a * b for a, b in zip(vector, weights, strict=True)) / (length * size) if length else 0.0)
-            yield pd.Series(out, dtype="float64")
+                length = math.sqrt(sum(v * v for v in vector)) * size
+                cosine = sum(a * b for a, b in zip(vector, weights, strict=True)) / length if length else 0.0
+                out.append((None if value is None else counts.total(), [counts[w] for w in words], cosine))
+            yield pd.DataFrame(out, columns=["n", "tf", "cosine"]).astype({"n": "Int32"})
+
+    return run(F.lower(text))
 
-    return spread(docs.select(key, text)).select(key, F.round(cosines(F.lower(text)), 6).alias("score")).filter("score > 0")
+
+def vector_scores(docs: DataFrame, query: str, key: str, text: str = "text") -> DataFrame:
+    """key, score: cosine of hashed, signed log counts of words. No statistics of the corpus, so texts stand alone."""
+    if not _wanted(query):
+        return docs.select(key, F.lit(0.0).alias("score")).limit(0)
+    found = spread(docs.select(key, text)).select(key, walked(F.col(text), [], query).alias("x"))
+    return found.select(key, F.round("x.cosine", 6).alias("score")).filter("score > 0")
 
 
 def fused(lists: list[DataFrame], key: str, most: int) -> DataFrame:
@@ -151,10 +170,24 @@ def fused(lists: list[DataFrame], key: str, most: int) -> DataFrame:
 
 
 def explore(docs: DataFrame, keywords: str, question: str = "", key: str = "uri", text: str = "text", most: int = 10) -> DataFrame:
-    """rank, key, score: words and hashed vectors of the keywords, and the words of the question, fused."""
-    lists = [bm25(docs, keywords, key, text), vector_scores(docs, keywords, key, text)]
-    if question:
-        lists.append(bm25(docs, question, key, text))
+    """rank, key, score: words and hashed vectors of the keywords, and the words of the question, fused.
+
+    Texts are read once: the walk leaves a narrow table of counts and cosines, and statistics, scores and lists are
+    made from that. The scores are those of bm25() and vector_scores().
+    """
+    asked = [terms(keywords), terms(question)]
+    words = list(dict.fromkeys(asked[0] + asked[1]))
+    if not words:
+        return docs.select(F.lit(0).cast("long").alias("rank"), key, F.lit(0.0).alias("score")).limit(0)
+    found = spread(docs.select(key, text)).select(key, walked(F.col(text), words, keywords).alias("x"))
+    found = settle(found.select(key, F.col("x.n").alias("__n"), F.col("x.tf").alias("__tf"), F.round("x.cosine", 6).alias("__cosine")))
+    stats = found.agg(F.count("*").alias("__docs"), F.avg("__n").alias("__mean"), *(F.count_if(F.col("__tf")[i] > 0).alias(f"__d{i}") for i in range(len(words))))
+    held = found.join(F.broadcast(settle(stats)))  # one row
+    lists = []
+    for part in filter(None, asked):
+        score = _okapi([(F.col("__tf")[words.index(w)], F.col(f"__d{words.index(w)}")) for w in part])
+        lists.append(held.select(key, score.alias("score")).filter("score > 0").select(key, F.round("score", DIGITS).alias("score")))
+    lists.append(found.select(key, F.col("__cosine").alias("score")).filter("score > 0"))
     return fused(lists, key, most)
 
 

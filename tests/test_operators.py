@@ -43,6 +43,40 @@ def test_governs_without_globs_or_targets(spark):
         joins.governs(targets.withColumn("n", F.lit(1)), capsules)
 
 
+@pytest.mark.parametrize("few", [10_000, 0])
+def test_wide_terms_govern_alike_sent_or_shuffled(spark, monkeypatch, few):
+    monkeypatch.setattr(joins, "WIDE_TERMS", few)
+    globs = {"all": ["**"], "x": ["x://**;!x://h/b/**"], "deep": ["x://h/a/**", "x://h/a/f1"], "star": ["x://*/a/*", "y:**"], "none": ["z://q/**"]}
+    capsules = spark.createDataFrame(list(globs.items()), "capsule string, relevance array<string>")
+    uris = [f"x://{h}/{d}/f{i}" for h in ("h", "k") for d in "ab" for i in range(3)] + ["y://a", "plain", None]
+    got = {(r["uri"], r["capsule"]) for r in joins.governs(spark.createDataFrame([(u,) for u in uris], "uri string"), capsules).collect()}
+    want = {(u, "all") for u in uris if u}
+    want |= {(u, "x") for u in uris if u and u.startswith("x://") and not u.startswith("x://h/b/")}
+    want |= {(u, "deep") for u in uris if u and u.startswith("x://h/a/")} | {(u, "star") for u in uris if u and ("/a/" in u or u == "y://a")}
+    assert got == want
+
+
+@pytest.mark.parametrize("few,chars", [(200, 1), (1, 1_000), (1, 5)])
+def test_redundant_aliases_on_every_path(spark, monkeypatch, few, chars):
+    monkeypatch.setattr(joins, "WALKED_TERMS", few)
+    monkeypatch.setattr(joins, "ALIAS_CHARS", chars)
+    texts = ["one queue here", "żółw 🐢 a\nb", "", None, "x" * 200_000 + "tail"]
+    wanted = ["que", "queue", "ue h", "🐢 a\nb", "xtail", "", "Queue", "nowhere", "xxxtailx", "ó", None, "que"]
+    got = joins.redundant(spark.createDataFrame([(a,) for a in wanted], "alias string"), spark.createDataFrame([(t,) for t in texts], "text string"))
+    want = [(a, a is not None and any(a in t for t in texts if t is not None)) for a in wanted]
+    assert sorted(map(repr, got.collect())) == sorted(f"Row(alias={a!r}, redundant={r})" for a, r in want)
+    nothing = joins.redundant(spark.createDataFrame([("a",), ("",)], "alias string"), spark.createDataFrame([], "text string"))
+    assert {r["redundant"] for r in nothing.collect()} == {False}
+
+
+@pytest.mark.parametrize("keywords,question", [("heron bay", "where is the heron"), ("heron", ""), ("", "the bay"), ("", ""), ("zzz", "")])
+def test_explore_scores_as_its_parts_do(spark, keywords, question):
+    rows = [("a", "the heron heron stood"), ("b", "a bay, the bay"), ("c", None), ("d", ""), ("e", "HERON bay is_here"), ("f", "nothing"), ("g", "heron " * 5_000), (None, "heron")]
+    docs = spark.createDataFrame(rows, "uri string, text string")
+    lists = [search.bm25(docs, keywords, "uri"), search.vector_scores(docs, keywords, "uri"), search.bm25(docs, question, "uri")]
+    assert search.explore(docs, keywords, question).collect() == search.fused(lists, "uri", 10).collect()
+
+
 @settings(max_examples=15, deadline=None)
 @given(st.lists(st.integers(0, 9), max_size=12), st.integers(0, 25))
 def test_budget_fit_is_the_longest_prefix(spark, costs, budget):
