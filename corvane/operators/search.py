@@ -226,9 +226,39 @@ def similar(vectors: DataFrame, seed: Column, most: int, key: str = "vec_id", ve
     return best.filter(F.col("score") >= share * F.max("score").over(W.partitionBy())).select("rank", key, "score") if share else best.select("rank", key, "score")
 
 
+#: Words that a task counts before it passes their sums on.
+COUNTED = 500_000
+
+
+def word_counts(docs: DataFrame, text: str, probe: list[str]) -> DataFrame:
+    """term, df, with: in how many texts each word occurs, and in how many of those that hold a word of the probe.
+
+    A task adds up its texts before anything is shuffled, in at most about COUNTED words and those of one text.
+    """
+    wanted = frozenset(probe)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        found, beside = Counter(), Counter()
+        rows = lambda: pd.DataFrame({"term": list(found), "df": list(found.values()), "with": [beside[w] for w in found]})
+        for batch in batches:
+            for value in batch["t"]:
+                words = set(re.findall(r"\w+", value))
+                found.update(words)
+                if not wanted.isdisjoint(words):
+                    beside.update(words)
+                if len(found) > COUNTED:
+                    yield rows()
+                    found.clear(), beside.clear()
+        if found:
+            yield rows()
+
+    held = spread(docs.select(text)).filter(F.col(text).isNotNull()).select(F.lower(text).alias("t"))
+    return held.mapInPandas(run, "term string, df long, with long").groupBy("term").agg(F.sum("df").alias("df"), F.sum("with").alias("with"))
+
+
 def vocabulary(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     """term, df: the words of the corpus and in how many texts each occurs."""
-    return spread(docs.select(key, text)).select(key, F.explode(F.array_distinct(joins.tokens(F.col(text)))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    return word_counts(docs, text, []).select("term", "df")
 
 
 def fuzzy(known: DataFrame, word: str, most: int = 5, within: int = 2) -> DataFrame:
@@ -245,9 +275,7 @@ def discover(docs: DataFrame, keywords: str, key: str, text: str = "text", most:
     A term scores by the share of its texts that hold a probe word; the probe's own words are not repeated as terms.
     """
     probe = terms(keywords)
-    words = spread(docs.select(key, text)).select(key, F.array_distinct(joins.tokens(F.col(text))).alias("w"))
-    marked = words.select(key, F.explode("w").alias("term"), F.arrays_overlap("w", F.array(*map(F.lit, probe))).alias("hit"))
-    counts = marked.groupBy("term").agg(F.count("*").alias("df"), F.count_if("hit").alias("with"))
+    counts = word_counts(docs, text, probe)
     known = counts.filter(F.col("term").isin(probe)).select(F.lit("CONFIRMED").alias("kind"), F.lit("lexical").alias("channel"), "term", "df", F.lit(1.0).alias("score"))
     order = [F.col("score").desc(), F.col("df").desc(), F.col("term")]
     beside = counts.filter(~F.col("term").isin(probe)).filter("with >= 2").select(F.lit("TERM").alias("kind"), F.lit("co-occurrence").alias("channel"), "term", "df", F.round(F.col("with") / F.col("df"), 6).alias("score"))

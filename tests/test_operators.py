@@ -77,6 +77,14 @@ def test_explore_scores_as_its_parts_do(spark, keywords, question):
     assert search.explore(docs, keywords, question).collect() == search.fused(lists, "uri", 10).collect()
 
 
+@pytest.mark.parametrize("most", [500_000, 3])
+def test_words_are_counted_by_text(spark, monkeypatch, most):
+    monkeypatch.setattr(search, "COUNTED", most)
+    texts = ["Heron heron bay", "bay_1 ÉTÉ été", None, "", "the bay", "heron été the"] * 30
+    got = {r["term"]: (r["df"], r["with"]) for r in search.word_counts(spark.createDataFrame([(t,) for t in texts], "text string"), "text", ["heron"]).collect()}
+    assert got == {"heron": (60, 60), "bay": (60, 30), "bay_1": (30, 0), "été": (60, 30), "the": (60, 30)}
+
+
 @settings(max_examples=15, deadline=None)
 @given(st.lists(st.integers(0, 9), max_size=12), st.integers(0, 25))
 def test_budget_fit_is_the_longest_prefix(spark, costs, budget):
