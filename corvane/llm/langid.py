@@ -214,6 +214,31 @@ def least_score(model: BiGru, docs: DataFrame, id_col: str, text_col: str, lang_
     return float(even + max(0.0, np.quantile(scores, 0.01) - even) / 2)
 
 
+#: How many times the ids wanted are looked at where a language has more; the rest lie above a bound on the hash.
+SPARE = 3
+
+
+def _least(known: DataFrame, per_lang: int, shares: dict[str, float]) -> DataFrame:
+    """__i, lang: the ``per_lang`` ids with the least hashes of each language, each once.
+
+    Only ids in the least share of the hashes of their language are shuffled and ranked, so what one task ranks doesn't
+    grow with the documents. Shares come from estimates; should too few ids lie within one, all ids are ranked.
+    """
+    bound = {lang: (1 << 63) - 1 if share >= 1 else int(share * 2.0**64) - (1 << 63) for lang, share in shares.items()}
+    bounds = known.sparkSession.createDataFrame(list(bound.items()), "lang string, b long")
+    hashed = known.withColumn("h", F.xxhash64("i", "lang"))
+
+    def ranked(rows: DataFrame) -> DataFrame:
+        order = W.partitionBy("lang").orderBy("h", "i")
+        numbered = rows.select("i", "lang", "h").distinct().withColumn("n", F.row_number().over(order))
+        return settle(numbered.filter(F.col("n") <= per_lang).select(F.col("i").alias("__i"), "lang"))
+
+    chosen = ranked(hashed.join(F.broadcast(bounds), "lang").filter("h <= b"))  # a row a language
+    cut = [lang for lang, share in shares.items() if share < 1]
+    held = {r["lang"]: r["count"] for r in chosen.groupBy("lang").count().collect()} if cut else {}
+    return ranked(hashed) if any(held.get(lang, 0) < per_lang for lang in cut) else chosen
+
+
 def _sampled(docs: DataFrame, id_col: str, text_col: str, lang_col: str, per_lang: int, pieces: int, every: int, out: bool) -> list[tuple[str, list[bytes]]]:
     """(lang, pieces) of sampled documents; out: of those held out.
 
@@ -222,14 +247,12 @@ def _sampled(docs: DataFrame, id_col: str, text_col: str, lang_col: str, per_lan
     Rows of one id and language count as one, the one whose pieces come first, however many there are.
     """
     lang = col(lang_col).cast("string").alias("lang")
-    known = docs.select(col(id_col).alias("i"), lang).filter(F.col("lang").isNotNull() & F.col("i").isNotNull() & (held_out(F.col("i")) == F.lit(out))).distinct()
-    langs = known.select("lang").distinct().count()
-    if not langs:
+    known = docs.select(col(id_col).alias("i"), lang).filter(F.col("lang").isNotNull() & F.col("i").isNotNull() & (held_out(F.col("i")) == F.lit(out)))
+    sizes = {r["lang"]: r["d"] for r in known.groupBy("lang").agg(F.approx_count_distinct("i").alias("d")).collect()}  # a row a language
+    if not sizes:
         return []
-    per_lang = min(per_lang, max(LEAST_DOCS, every // langs))
-    order = W.partitionBy("lang").orderBy("h", "i")
-    ranked = known.withColumn("h", F.xxhash64("i", "lang")).withColumn("n", F.row_number().over(order))
-    chosen = settle(ranked.filter(F.col("n") <= per_lang).select(F.col("i").alias("__i"), "lang"))
+    per_lang = min(per_lang, max(LEAST_DOCS, every // len(sizes)))
+    chosen = _least(known, per_lang, {lang: 1.0 if d <= SPARE * per_lang else SPARE * per_lang / d for lang, d in sizes.items()})
     size = F.length("t")
     cuts = F.transform(F.sequence(F.lit(0), F.lit(pieces - 1)), lambda k: F.substring("t", F.floor(k * size / F.lit(pieces)).cast("int") + 1, F.lit(PIECE)))
     rows = docs.select(col(id_col).alias("__i"), lang, F.encode(col(text_col), "utf-8").alias("t")).filter("t is not null and lang is not null")

@@ -104,3 +104,15 @@ def test_languages_beyond_the_old_limit_are_predicted(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     model = langid.train(langid.sample(docs, "doc_id", "text", "lang"), rounds=12)
     assert len(model.langs) == 70
+
+
+@pytest.mark.parametrize("share", [1.0, 0.2, 1e-4])
+def test_the_least_hashes_are_chosen_whatever_the_share(spark, share):
+    rows = [(i, "aa") for i in range(4_000)] + [(i, "bb") for i in range(30)] + [(7, "aa")] * 3_000 + [(i, "cc") for i in range(900)]
+    known = spark.createDataFrame(rows, "i long, lang string").repartition(7)
+    order = {}
+    for r in known.distinct().withColumn("h", F.xxhash64("i", "lang")).collect():
+        order.setdefault(r["lang"], []).append((r["h"], r["i"]))
+    want = sorted((i, lang) for lang, ids in order.items() for _, i in sorted(ids)[:40])
+    got = langid._least(known, 40, {"aa": share, "bb": 1.0, "cc": max(share, 0.2)})
+    assert sorted((r["__i"], r["lang"]) for r in got.collect()) == want
