@@ -453,7 +453,7 @@ def _(spark, d):
 
 @query("t11_scope_ceiling", f"WITH {FILES} SELECT uri FROM files WHERE starts_with(uri, 'doc:///es/src1/')")
 def _(spark, d):
-    return ranking.at_most(B.documents(spark, d, "doc:///es/src1/**"), 96).select("uri")
+    return ranking.within(B.documents(spark, d, "doc:///es/src1/**").select("uri"), 96).select("uri")
 
 
 # -- sets -------------------------------------------------------------------------------------------------------------

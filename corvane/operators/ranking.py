@@ -66,6 +66,12 @@ def near_best(rows: DataFrame, score: str, share: float = 0.5) -> DataFrame:
     return rows.join(F.broadcast(best)).filter(F.col(score) >= F.col("__best") * share).drop("__best")  # one row
 
 
+def within(rows: DataFrame, most: int) -> DataFrame:
+    """All rows, however many, with fits: whether the scope holds no more than ``most`` of them. The count stops beyond that."""
+    found = rows.select(F.lit(1)).limit(most + 1).agg((F.count("*") <= most).alias("fits"))
+    return rows.join(F.broadcast(found))  # one row
+
+
 def at_most(rows: DataFrame, most: int, what: str = "files") -> DataFrame:
     """rows, or an error that asks for a narrower scope when there are more."""
     found = rows.limit(most + 1).count()
