@@ -96,8 +96,7 @@ SYMBOLS = "s AS (SELECT page_id, url, unnest(regexp_extract_all(html, '<(title|h
 
 @query("g09_file_coverage", f"WITH {SYMBOLS} SELECT url, count(*) AS symbols, count(*) FILTER (WHERE quality = 1) AS covered, count(*) FILTER (WHERE quality = 0) AS uncovered, count(*) FILTER (WHERE quality IS NULL) AS unmeasured FROM s LEFT JOIN labels ON page_id = doc_id GROUP BY url")
 def _(spark, d):
-    pages = T(spark, d, "pages").select(F.col("page_id").alias("doc_id"), "url")
-    symbols = B.page_symbols(spark, d).join(pages, "url")
+    symbols = B.page_symbols(spark, d).withColumnRenamed("page_id", "doc_id")
     marks = T(spark, d, "labels").select("doc_id", (F.col("quality") == 1).alias("covered"))
     rows = retrieve.coverage(symbols, marks, "doc_id")
     return rows.groupBy("url").agg(F.count("*").alias("symbols"), *(F.count_if(F.col("mark") == m).alias(m) for m in ("covered", "uncovered", "unmeasured")))
