@@ -22,9 +22,10 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """Documents in one of the languages learned from the labelled ones.
 
     Texts that are null, empty or without a letter go, and those that score below langid.least_score(). Repeated rows
-    share their text's fate. Without a labelled document nothing is known and nothing stays.
+    share their text's fate. The network learns from all labelled documents that are not held out, and the least score
+    is set by all that are. Without a labelled document nothing is known and nothing stays.
     """
-    model = langid.train(langid.sample(docs, "doc_id", "text", "lang"))
+    model = langid.learn(docs, "doc_id", "text", "lang")
     least = langid.least_score(model, docs, "doc_id", "text", "lang") if model else 0.0
     said = docs.withColumn("__corvane_said", langid.said(spark, model, F.col("text")))
     kept = (F.col("__corvane_said.lang_pred") != langid.UNKNOWN) & (F.col("__corvane_said.score") >= least)

@@ -16,13 +16,20 @@ from .common import col, settle, spread
 #: Documents of each language that training reads, at most, and pieces of each document. Every labelled language is
 #: learned: where there are more than SAMPLE_ALL // SAMPLE_DOCS of them, each has fewer documents, LEAST_DOCS at least.
 SAMPLE_DOCS, SAMPLE_PIECES, SAMPLE_ALL, LEAST_DOCS = 300, 4, 20_000, 20
-#: Held-out documents of each language by which least_score() is set, at most.
-CHECK_DOCS = 100
 #: Bytes of a piece: the network starts anew with each, and the pieces cover the whole text.
 PIECE = 96
 HIDDEN, ROUNDS, BATCH, RATE = 8, 10, 128, 0.02
 #: Updates of the weights, at least: a small sample is gone through more often, in smaller batches.
 LEAST_UPDATES = 500
+#: A batch of the pass over all documents: pieces in the order of the rows, mixed within a pool of POOL, and beside them
+#: AGAIN pieces of the sample, so that rows sorted by language don't make it forget the others.
+STREAM, AGAIN, POOL, STREAM_RATE = 384, 128, 8192, 0.003
+#: Batches of a task, at least: rows that fit into one pool are gone through more often.
+LEAST_STEPS = 100
+#: Weights times pieces are summed as whole numbers of this fraction: sums are exact, in any order.
+UNIT = 1 << 16
+#: least_score() counts held-out scores by this fraction.
+SCORE_BINS = 10_000
 PAD = 256
 UNKNOWN = "und"
 
@@ -31,6 +38,24 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * (np.tanh(0.5 * x) + 1.0)
 
 
+class _Adam:
+    """Running moments of the gradients of weights, which are stepped in place; gradients of a norm above 1 are cut to it."""
+
+    def __init__(self, p: dict[str, np.ndarray]) -> None:
+        self.p, self.steps = p, 0
+        self.m = {k: np.zeros_like(x) for k, x in p.items()}
+        self.v = {k: np.zeros_like(x) for k, x in p.items()}
+
+    def step(self, d: dict[str, np.ndarray], pace: float) -> None:
+        norm = float(np.sqrt(sum(float((g * g).sum()) for g in d.values())))
+        self.steps += 1
+        for k, g in d.items():
+            g *= min(1.0, 1.0 / (norm + 1e-9))
+            self.m[k] += 0.1 * (g - self.m[k])
+            self.v[k] += 0.001 * (g * g - self.v[k])
+            self.p[k] -= pace * (self.m[k] / (1 - 0.9**self.steps)) / (np.sqrt(self.v[k] / (1 - 0.999**self.steps)) + 1e-7)
+
+
 @dataclass
 class BiGru:
     """Weights of both directions side by side: axis 0 is the direction, features come before the batch.
@@ -94,13 +119,18 @@ class BiGru:
         y /= y.sum(axis=1, keepdims=True)
         return y
 
-    def gradients(self, codes: np.ndarray, truth: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
-        """Mean cross-entropy over all positions that are text, and its gradients by backpropagation through time."""
+    def gradients(self, codes: np.ndarray, truth: np.ndarray, weight: np.ndarray | None = None) -> tuple[float, dict[str, np.ndarray]]:
+        """Mean cross-entropy over all positions that are text, and its gradients by backpropagation through time.
+
+        weight says how much each piece counts; without it, all count alike.
+        """
         u, n, steps = self.p["u"], self.p["u"].shape[2], codes.shape[0]
         keep: list = []
         states = self.run(codes, keep)
         prob = self.label(states)
         mask = (codes != PAD).astype(np.float32)
+        if weight is not None:
+            mask *= weight.astype(np.float32)
         total = max(1.0, float(mask.sum()))
         batch = np.arange(codes.shape[1])
         loss = -float((np.log(prob[:, truth, batch] + 1e-9) * mask).sum()) / total
@@ -112,6 +142,8 @@ class BiGru:
         d["b"] = dy.sum(axis=(0, 2))[:, None]
         ds = np.matmul(self.p["w"].T, dy)
         dh = np.zeros((2, n, codes.shape[1]), np.float32)
+        size = d["e"].shape[1:]
+        base = (np.arange(size[0]) * size[1])[:, None]
         for t in reversed(range(steps)):
             h, r, z, q, a = keep[t]
             dh = dh + np.stack([ds[t, :n], ds[steps - 1 - t, n:]])
@@ -124,16 +156,14 @@ class BiGru:
             d["c"] += dq.sum(axis=2, keepdims=True)
             dx = np.concatenate([dr, dz, da], axis=1)
             for side, code in ((0, codes[t]), (1, codes[steps - 1 - t])):
-                np.add.at(d["e"][side].T, code, dx[side].T)
+                d["e"][side] += np.bincount((base + code).ravel(), dx[side].ravel(), size[0] * size[1]).reshape(size)
             dh = dh * z + np.matmul(u.transpose(0, 2, 1), dg)
         return loss, d
 
     def fit(self, codes: np.ndarray, truth: np.ndarray, rounds: int = ROUNDS, batch: int = BATCH, rate: float = RATE, seed: int = 11) -> BiGru:
         """Adam over shuffled batches; codes (N, T), truth (N). The same input gives the same weights."""
         rng = np.random.default_rng(seed)
-        m = {k: np.zeros_like(v) for k, v in self.p.items()}
-        v = {k: np.zeros_like(x) for k, x in self.p.items()}
-        step = 0
+        adam = _Adam(self.p)
         batch = max(16, min(batch, len(codes) // 8))
         rounds = max(rounds, -(-LEAST_UPDATES * batch // max(1, len(codes))))
         for turn in range(rounds):
@@ -141,16 +171,51 @@ class BiGru:
             for at in range(0, len(order), batch):
                 pick = order[at : at + batch]
                 _, d = self.gradients(np.ascontiguousarray(codes[pick].T), truth[pick])
-                norm = float(np.sqrt(sum(float((g * g).sum()) for g in d.values())))
-                step += 1
-                for k, g in d.items():
-                    g *= min(1.0, 1.0 / (norm + 1e-9))
-                    m[k] += 0.1 * (g - m[k])
-                    v[k] += 0.001 * (g * g - v[k])
-                    pace = rate * (1 - turn / rounds) ** 0.5
-                    self.p[k] -= pace * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-7)
+                adam.step(d, rate * (1 - turn / rounds) ** 0.5)
         return self
 
+    def follow(self, texts: Iterator[tuple[int, bytes]], codes: np.ndarray, truth: np.ndarray, rate: float = STREAM_RATE, seed: int = 13) -> int:
+        """Adam over every piece of (language, text), once if there are many; returns the number of pieces.
+
+        Every batch takes AGAIN pieces of codes (N, T) and truth (N), each language as often, and the languages in a
+        batch count alike. Twice POOL pieces and one text are held at most.
+        """
+        width, rng, adam, seen = codes.shape[1], np.random.default_rng(seed), _Adam(self.p), 0
+        share = 1.0 / np.bincount(truth, minlength=len(self.langs))[truth]
+        upto = np.cumsum(share) / share.sum()
+        held: list[np.ndarray] = []
+        owners: list[np.ndarray] = []
+        waiting = 0
+
+        def flush(all_: bool, turns: int = 1) -> None:
+            nonlocal waiting, seen
+            pool, who = np.concatenate(held), np.concatenate(owners)
+            done = waiting if all_ else waiting // STREAM * STREAM
+            for _ in range(turns):
+                order = rng.permutation(waiting)
+                pool, who = pool[order], who[order]
+                for at in range(0, done, STREAM):
+                    again = np.minimum(np.searchsorted(upto, rng.random(AGAIN)), len(truth) - 1)
+                    langs = np.concatenate([who[at : min(done, at + STREAM)], truth[again]])
+                    batch = np.concatenate([pool[at : min(done, at + STREAM)], codes[again]])
+                    counts = np.bincount(langs, minlength=len(self.langs))
+                    _, d = self.gradients(np.ascontiguousarray(batch.T), langs, len(langs) / np.count_nonzero(counts) / counts[langs])
+                    adam.step(d, rate / (1 + adam.steps / 100) ** 0.5)
+            held[:], owners[:] = [pool[done:]], [who[done:]]
+            seen, waiting = seen + done, waiting - done
+
+        for lang, text in texts:
+            for at in range(0, len(text), width * POOL):
+                part = pieced(text[at : at + width * POOL], width)
+                held.append(part)
+                owners.append(np.full(len(part), lang))
+                waiting += len(part)
+                if waiting >= POOL:
+                    flush(False)
+        if waiting:
+            flush(True, 1 if seen else -(-LEAST_STEPS // -(-waiting // STREAM)))
+        return seen
+
     def pooled(self, texts: list[bytes], width: int = PIECE, block: int = 4096) -> np.ndarray:
         """(documents, L): the mean of the probabilities of all positions of each text; uniform for an empty one.
 
@@ -178,12 +243,10 @@ class BiGru:
 
         for i, text in enumerate(texts):
             for at in range(0, len(text), width * block):
-                raw = np.frombuffer(text[at : at + width * block], np.uint8)
-                codes = np.full(-(-len(raw) // width) * width, PAD, np.int16)
-                codes[: len(raw)] = raw
-                held.append(codes.reshape(-1, width))
-                owners.append(np.full(len(codes) // width, i))
-                waiting += len(codes) // width
+                codes = pieced(text[at : at + width * block], width)
+                held.append(codes)
+                owners.append(np.full(len(codes), i))
+                waiting += len(codes)
                 if waiting >= block:
                     flush(False)
         if waiting:
@@ -191,27 +254,41 @@ class BiGru:
         return (total + 1e-9) / (total + 1e-9).sum(axis=1, keepdims=True)
 
 
+def pieced(text: bytes, width: int = PIECE) -> np.ndarray:
+    """(pieces, width): the whole text, filled up with PAD."""
+    codes = np.full(-(-len(text) // width) * width, PAD, np.int16)
+    codes[: len(text)] = np.frombuffer(text, np.uint8)
+    return codes.reshape(-1, width)
+
+
 def held_out(id_col: Column) -> Column:
     return F.coalesce(F.crc32(id_col.cast("string")) % 4 == 2, F.lit(False))
 
 
-def sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, per_lang: int = SAMPLE_DOCS, pieces: int = SAMPLE_PIECES, every: int = SAMPLE_ALL) -> list[tuple[str, bytes]]:
-    """(lang, piece) of a bounded sample of labelled documents that are not held out, of all their languages."""
-    return [(lang, p) for lang, held in _sampled(docs, id_col, text_col, lang_col, per_lang, pieces, every, False) for p in held]
+def _labelled(docs: DataFrame, id_col: str, text_col: str, lang_col: str, out: bool) -> DataFrame:
+    """i, lang, t: every row with an id, a language and a text that isn't empty; out: of the held-out ones."""
+    rows = docs.select(col(id_col).alias("i"), col(lang_col).cast("string").alias("lang"), col(text_col).alias("t"))
+    return rows.filter(F.col("i").isNotNull() & F.col("lang").isNotNull() & (F.octet_length("t") > 0) & (held_out(F.col("i")) == F.lit(out)))
 
 
-def least_score(model: BiGru, docs: DataFrame, id_col: str, text_col: str, lang_col: str, per_lang: int = CHECK_DOCS) -> float:
+def least_score(model: BiGru, docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> float:
     """The score below which a text counts as being in none of the languages.
 
-    Midway between an even guess and what 99 of 100 texts of a bounded sample of held-out labelled documents reach, by
-    evenly spaced pieces of them; an even guess, which rejects nothing, where no labelled document is held out.
+    Midway between an even guess and what 99 of 100 of all held-out labelled documents with a letter reach, rounded down
+    to a SCORE_BINS-th, by their whole texts; an even guess, which rejects nothing, where there is none. Rows of one id
+    and language count as one, by their least score.
     """
-    held = _sampled(docs, id_col, text_col, lang_col, per_lang, SAMPLE_PIECES, SAMPLE_ALL, True)
     even = 1.0 / len(model.langs)
-    if not held:
-        return even
-    scores = model.pooled([b"".join(p) for _, p in held]).max(axis=1)
-    return float(even + max(0.0, np.quantile(scores, 0.01) - even) / 2)
+    rows = spread(_labelled(docs, id_col, text_col, lang_col, True).filter(_lettered(F.col("t"))))
+    scored = rows.select("i", "lang", said(docs.sparkSession, model, F.col("t")).alias("s"))  # a filter by s would run the network twice
+    each = scored.groupBy("i", "lang").agg(F.min("s.score").alias("score"))
+    bins = each.groupBy(F.floor(F.col("score") * SCORE_BINS).alias("bin")).agg(F.count("*").alias("n")).orderBy("bin").collect()  # SCORE_BINS + 1 rows at most
+    below, total = 0, sum(r["n"] for r in bins)
+    for r in bins:
+        below += r["n"]
+        if 100 * below > total:
+            return even + max(0.0, r["bin"] / SCORE_BINS - even) / 2
+    return even
 
 
 #: How many times the ids wanted are looked at where a language has more; the rest lie above a bound on the hash.
@@ -239,15 +316,15 @@ def _least(known: DataFrame, per_lang: int, shares: dict[str, float]) -> DataFra
     return ranked(hashed) if any(held.get(lang, 0) < per_lang for lang in cut) else chosen
 
 
-def _sampled(docs: DataFrame, id_col: str, text_col: str, lang_col: str, per_lang: int, pieces: int, every: int, out: bool) -> list[tuple[str, list[bytes]]]:
-    """(lang, pieces) of sampled documents; out: of those held out.
+def sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, per_lang: int = SAMPLE_DOCS, pieces: int = SAMPLE_PIECES, every: int = SAMPLE_ALL) -> list[tuple[str, bytes]]:
+    """(lang, piece) of a bounded sample of labelled documents that are not held out, of all their languages.
 
     The ids with the least hash of each language come from scans without texts, cut to ``per_lang`` a language before
     they are shuffled; then the texts of those alone are read, and ``pieces`` evenly spaced pieces of each are sent.
     Rows of one id and language count as one, the one whose pieces come first, however many there are.
     """
     lang = col(lang_col).cast("string").alias("lang")
-    known = docs.select(col(id_col).alias("i"), lang).filter(F.col("lang").isNotNull() & F.col("i").isNotNull() & (held_out(F.col("i")) == F.lit(out)))
+    known = docs.select(col(id_col).alias("i"), lang).filter(F.col("lang").isNotNull() & F.col("i").isNotNull() & ~held_out(F.col("i")))
     sizes = {r["lang"]: r["d"] for r in known.groupBy("lang").agg(F.approx_count_distinct("i").alias("d")).collect()}  # a row a language
     if not sizes:
         return []
@@ -258,7 +335,7 @@ def _sampled(docs: DataFrame, id_col: str, text_col: str, lang_col: str, per_lan
     rows = docs.select(col(id_col).alias("__i"), lang, F.encode(col(text_col), "utf-8").alias("t")).filter("t is not null and lang is not null")
     held = rows.join(F.broadcast(chosen), ["__i", "lang"])  # per_lang * langs rows
     got = held.groupBy("__i", "lang").agg(F.min(F.array_distinct(cuts)).alias("p")).orderBy("__i", "lang").collect()
-    return [(r["lang"], [bytes(p) for p in r["p"] if p]) for r in got]
+    return [(r["lang"], bytes(p)) for r in got for p in r["p"] if p]
 
 
 def train(labelled: list[tuple[str, bytes]], width: int = PIECE, **options) -> BiGru | None:
@@ -266,16 +343,61 @@ def train(labelled: list[tuple[str, bytes]], width: int = PIECE, **options) -> B
     if not labelled:
         return None
     langs = sorted({lang for lang, _ in labelled})
+    return BiGru.fresh(langs).fit(*_coded(labelled, langs, width), **options)
+
+
+def _coded(labelled: list[tuple[str, bytes]], langs: list[str], width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pieces as codes (N, T), and truth (N): the places of their languages."""
     codes = np.full((len(labelled), width), PAD, np.int16)
     for i, (_, piece) in enumerate(labelled):
         codes[i, : len(piece[:width])] = np.frombuffer(piece[:width], np.uint8)
-    truth = np.array([langs.index(lang) for lang, _ in labelled])
-    return BiGru.fresh(langs).fit(codes, truth, **options)
+    at = {lang: k for k, lang in enumerate(langs)}
+    return codes, np.array([at[lang] for lang, _ in labelled])
+
+
+def learn(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> BiGru | None:
+    """The network learned from every byte of every labelled document that is not held out; none of them gives none.
+
+    A bounded sample only sets the weights to begin with. From there every task follows all of its rows (BiGru.follow),
+    and the weights are the mean over tasks by pieces, summed exactly; they depend on how the files are divided into
+    tasks and not on the order in which tasks end. Every language with a text is learned, and each row counts.
+    """
+    rows = _labelled(docs, id_col, text_col, lang_col, False)
+    first = sample(docs, id_col, text_col, lang_col)
+    missing = {r["lang"] for r in rows.select("lang").distinct().collect()} - {lang for lang, _ in first}
+    if missing:  # a language of which the sample has empty texts only
+        first += sample(rows.filter(F.col("lang").isin(*missing)), "i", "t", "lang")
+    model = train(first)
+    if model is None:
+        return None
+    shared = docs.sparkSession.sparkContext.broadcast((model.langs, model.p, *_coded(first, model.langs, PIECE)))
+
+    def followed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        langs, p, codes, truth = shared.value
+        at = {lang: k for k, lang in enumerate(langs)}
+        net = BiGru(langs, {k: x.copy() for k, x in p.items()})
+        seen = net.follow(((at[lang], text) for rows in batches for lang, text in zip(rows["lang"], rows["b"], strict=True)), codes, truth)
+        if seen:
+            flat = np.concatenate([x.ravel() for x in net.p.values()]).astype(np.float64)
+            yield pd.DataFrame({"i": np.arange(-1, len(flat)), "v": np.concatenate([[seen], np.rint(flat * seen * UNIT)]).astype(np.int64)})
+
+    parts = spread(rows.select("lang", F.encode("t", "utf-8").alias("b"))).mapInPandas(followed, "i int, v long")
+    sums = {r["i"]: r["v"] for r in parts.groupBy("i").agg(F.sum("v").alias("v")).collect()}  # a row a weight
+    if not sums:
+        return model
+    flat, at = np.array([sums[i] for i in range(len(sums) - 1)]) / (sums[-1] * float(UNIT)), 0
+    for k, x in model.p.items():
+        model.p[k] = flat[at : at + x.size].reshape(x.shape).astype(np.float32)
+        at += x.size
+    return model
+
+
+def _lettered(text: Column) -> Column:
+    return F.coalesce(text.rlike(r"\p{L}"), F.lit(False))
 
 
 def said(spark: SparkSession, model: BiGru | None, text: Column) -> Column:
     """struct<lang_pred: string, score: double> of a text; see identify()."""
-    letters = F.coalesce(text.rlike(r"\p{L}"), F.lit(False))
     unknown = F.struct(F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
     if model is None:
         return unknown
@@ -289,7 +411,7 @@ def said(spark: SparkSession, model: BiGru | None, text: Column) -> Column:
             best = prob.argmax(axis=1)
             yield pd.DataFrame({"lang_pred": [net.langs[k] for k in best], "score": np.minimum(prob.max(axis=1), 1.0)})
 
-    return F.when(letters, guess(text)).otherwise(unknown)
+    return F.when(_lettered(text), guess(text)).otherwise(unknown)
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:

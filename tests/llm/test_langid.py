@@ -116,3 +116,48 @@ def test_the_least_hashes_are_chosen_whatever_the_share(spark, share):
     want = sorted((i, lang) for lang, ids in order.items() for _, i in sorted(ids)[:40])
     got = langid._least(known, 40, {"aa": share, "bb": 1.0, "cc": max(share, 0.2)})
     assert sorted((r["__i"], r["lang"]) for r in got.collect()) == want
+
+
+def distinct_between_the_sampled_pieces(n):
+    """Texts of 8 pieces: the 4 that a sample takes are alike in both languages, the others are not."""
+    rng = random.Random(6)
+    piece = lambda letters: "".join(rng.choice(letters) for _ in range(langid.PIECE))
+    return [(i, "".join(piece("uvwx ") + piece({"xx": "abcd ", "yy": "efgh "}[lang]) for _ in range(4)), lang) for i in range(n) for lang in [("xx", "yy")[i // 2 % 2]]]
+
+
+def test_every_piece_of_every_labelled_text_is_learned(spark):
+    rows = distinct_between_the_sampled_pieces(160)
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert {p for _, p in langid.sample(docs, "doc_id", "text", "lang")}.isdisjoint({t.encode()[96:192] for _, t, _ in rows})
+    model = langid.learn(docs, "doc_id", "text", "lang")
+    guess = model.pooled([b"abcd abcd dcba cadb" * 5, b"efgh efgh hgfe gehf" * 5])
+    assert guess[0][0] > 0.8 and guess[1][1] > 0.8
+    changed = docs.withColumn("text", F.when(langid.held_out(F.col("doc_id")), "other").otherwise(F.col("text")))
+    again = langid.learn(changed, "doc_id", "text", "lang")
+    assert all((model.p[k] == again.p[k]).all() for k in model.p)
+
+
+def test_a_pass_takes_every_piece_and_keeps_languages_that_are_not_in_it():
+    rng = random.Random(3)
+    pieces = [(lang, speak(rng, lang, 40).encode()[:96]) for lang in ("xx", "yy", "zz") * 60]
+    model = langid.train(pieces)
+    codes, truth = langid._coded(pieces, model.langs, langid.PIECE)
+    texts = [(0, speak(rng, "xx", n).encode()) for n in (1, 30, 400, 30_000, 200_000)] + [(0, b"")]
+    assert model.follow(iter(texts), codes, truth) == sum(-(-len(t) // langid.PIECE) for _, t in texts)
+    assert (model.pooled([p for _, p in pieces]).argmax(axis=1) == truth).mean() > 0.98
+
+
+def test_languages_and_scores_come_from_all_documents(spark, monkeypatch):
+    blank = [(i, "", "zz") for i in range(3_000)] + [(50_000 + i, "да ро на ши " * 20, "zz") for i in range(12)]
+    rows = blank + [(60_000 + i, "sch ung ich ein " * 20, "yy") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert langid.learn(docs, "doc_id", "text", "lang").langs == ["yy", "zz"]
+    seen = spark.createDataFrame([(i, "a", "yy") for i in range(4_000)], "doc_id long, text string, lang string")
+    n = seen.filter(langid.held_out(F.col("doc_id"))).count()
+    low = [r["doc_id"] for r in seen.filter(langid.held_out(F.col("doc_id"))).orderBy(F.xxhash64("doc_id", "lang").desc()).limit(n // 50).collect()]
+    odd = F.when(F.col("doc_id").isin(low), "z").otherwise(F.col("text"))  # 2 of 100, none of them among the least hashes
+    monkeypatch.setattr(langid, "said", lambda spark, model, text: F.struct(F.lit("yy").alias("lang_pred"), F.when(text == "z", 0.6).otherwise(0.9).alias("score")))
+    model = langid.BiGru.fresh(["yy", "zz"])
+    assert langid.least_score(model, seen.withColumn("text", odd), "doc_id", "text", "lang") == pytest.approx(0.55)
+    assert langid.least_score(model, seen, "doc_id", "text", "lang") == pytest.approx(0.7)
+    assert langid.least_score(model, seen.limit(0), "doc_id", "text", "lang") == 0.5
