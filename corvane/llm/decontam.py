@@ -5,11 +5,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 from itertools import chain, repeat
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import col, settle, spread
+from .common import col, few, settle, spread
 
 WINDOW = 13
 #: Windows of one automaton. A window of words that no other has takes about 1.1 KB in it (measured), so this is 550 MB
@@ -21,10 +21,13 @@ _PLAIN = bytes(
     c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256)
 )
 HITS = "n_words long, n_hit long, items array<string>, spans array<struct<start:long,end:long>>, words array<struct<start:long,end:long>>"
+_RUNS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+_HITS = {"n_words": pa.int64(), "n_hit": pa.int64(), "items": pa.list_(pa.string()), "spans": _RUNS, "words": _RUNS}
 
 
-def plain_words(text: str | None) -> list[bytes]:
-    return (text or "").encode("utf-8").translate(_PLAIN).split()
+def plain_words(text: str | bytes | None) -> list[bytes]:
+    raw = text.encode("utf-8") if isinstance(text, str) else text or b""
+    return raw.translate(_PLAIN).split()
 
 
 def windows(parts: list[bytes], width: int = WINDOW) -> list[tuple[bytes, ...]]:
@@ -66,11 +69,11 @@ class Searcher:
         return runs, names
 
 
-def original_spans(text: str, runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+def original_spans(text: str | bytes, runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """Runs of words as code point offsets of the text itself, found by one walk over its normalised bytes."""
     import re
 
-    raw = text.encode("utf-8")
+    raw = text.encode("utf-8") if isinstance(text, str) else text
     plain, spans, at, point = raw.translate(_PLAIN), [], 0, 0
     wanted = iter(runs)
     run = next(wanted, None)
@@ -109,18 +112,18 @@ def _blocks(items: DataFrame, width: int, most: int) -> Iterator[tuple[tuple[str
 def _scan(text: Column, shared, width: int) -> Column:
     """The struct HITS of a text; no shuffle."""
 
-    @F.pandas_udf(HITS)
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf(HITS)
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         search = Searcher(shared.value, width)  # once a task
         for texts in batches:
             rows = []
-            for text in texts:
+            for text in chain.from_iterable(few(texts)):
                 parts = plain_words(text)
                 runs, names = search.scan(parts)
                 spans = original_spans(text, runs) if runs else []
                 dicts = [[{"start": a, "end": b} for a, b in x] for x in (spans, runs)]
                 rows.append((len(parts), sum(b - a for a, b in runs), sorted(names), *dicts))
-            yield pd.DataFrame(rows, columns=["n_words", "n_hit", "items", "spans", "words"])
+            yield pa.StructArray.from_arrays([pa.array([row[k] for row in rows], kind) for k, kind in enumerate(_HITS.values())], list(_HITS))
 
     return run(text)
 

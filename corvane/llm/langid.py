@@ -6,18 +6,22 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import col, settle, spread
+from .common import col, few, settle, spread
 
 #: Documents of each language that training reads, at most, and pieces of each document. Every labelled language is
 #: learned: where there are more than SAMPLE_ALL // SAMPLE_DOCS of them, each has fewer documents, LEAST_DOCS at least.
 SAMPLE_DOCS, SAMPLE_PIECES, SAMPLE_ALL, LEAST_DOCS = 300, 4, 20_000, 20
 #: Bytes of a piece: the network starts anew with each, and the pieces cover the whole text.
 PIECE = 96
+#: Bytes of a row that the pass over all documents is sent: an Arrow batch of 10,000 rows is 7.7 MB however long the texts are.
+CHUNK = 8 * PIECE
+#: Pieces that are labelled side by side: 6 MB of states and 0.4 MB a language.
+BLOCK = 1024
 HIDDEN, ROUNDS, BATCH, RATE = 8, 10, 128, 0.02
 #: Updates of the weights, at least: a small sample is gone through more often, in smaller batches.
 LEAST_UPDATES = 500
@@ -216,7 +220,7 @@ class BiGru:
             flush(True, 1 if seen else -(-LEAST_STEPS // -(-waiting // STREAM)))
         return seen
 
-    def pooled(self, texts: list[bytes], width: int = PIECE, block: int = 4096) -> np.ndarray:
+    def pooled(self, texts: list[bytes], width: int = PIECE, block: int = BLOCK) -> np.ndarray:
         """(documents, L): the mean of the probabilities of all positions of each text; uniform for an empty one.
 
         Pieces of all texts go through side by side, ``block`` at a time, so a long text costs time and no memory.
@@ -355,6 +359,13 @@ def _coded(labelled: list[tuple[str, bytes]], langs: list[str], width: int) -> t
     return codes, np.array([at[lang] for lang, _ in labelled])
 
 
+def chunks(rows: DataFrame) -> DataFrame:
+    """lang, b: every byte of the texts b in order, in rows of CHUNK bytes at most; empty texts have none."""
+    cut = lambda b: F.transform(F.sequence(F.lit(0), F.floor((F.octet_length(b) - 1) / CHUNK).cast("int")), lambda k: F.substring(b, k * CHUNK + 1, F.lit(CHUNK)))
+    whole = F.array(F.col("b"))  # encodes each text once
+    return rows.filter(F.octet_length("b") > 0).select("lang", F.explode(F.flatten(F.transform(whole, cut))).alias("b"))
+
+
 def learn(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> BiGru | None:
     """The network learned from every byte of every labelled document that is not held out; none of them gives none.
 
@@ -372,16 +383,17 @@ def learn(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> BiGru |
         return None
     shared = docs.sparkSession.sparkContext.broadcast((model.langs, model.p, *_coded(first, model.langs, PIECE)))
 
-    def followed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def followed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         langs, p, codes, truth = shared.value
         at = {lang: k for k, lang in enumerate(langs)}
         net = BiGru(langs, {k: x.copy() for k, x in p.items()})
-        seen = net.follow(((at[lang], text) for rows in batches for lang, text in zip(rows["lang"], rows["b"], strict=True)), codes, truth)
+        seen = net.follow(((at[lang], part) for rows in batches for lang, part in zip(rows["lang"].to_pylist(), rows["b"].to_pylist(), strict=True)), codes, truth)
         if seen:
             flat = np.concatenate([x.ravel() for x in net.p.values()]).astype(np.float64)
-            yield pd.DataFrame({"i": np.arange(-1, len(flat)), "v": np.concatenate([[seen], np.rint(flat * seen * UNIT)]).astype(np.int64)})
+            sums = np.concatenate([[seen], np.rint(flat * seen * UNIT)]).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(-1, len(flat), dtype=np.int32)), pa.array(sums)], ["i", "v"])
 
-    parts = spread(rows.select("lang", F.encode("t", "utf-8").alias("b"))).mapInPandas(followed, "i int, v long")
+    parts = chunks(spread(rows.select("lang", F.encode("t", "utf-8").alias("b")))).mapInArrow(followed, "i int, v long")
     sums = {r["i"]: r["v"] for r in parts.groupBy("i").agg(F.sum("v").alias("v")).collect()}  # a row a weight
     if not sums:
         return model
@@ -403,13 +415,13 @@ def said(spark: SparkSession, model: BiGru | None, text: Column) -> Column:
         return unknown
     shared = spark.sparkContext.broadcast((model.langs, model.p))
 
-    @F.pandas_udf("lang_pred string, score double")
-    def guess(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf("lang_pred string, score double")
+    def guess(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         net = BiGru(*shared.value)
         for texts in batches:
-            prob = net.pooled([(x or "").encode("utf-8") for x in texts])
-            best = prob.argmax(axis=1)
-            yield pd.DataFrame({"lang_pred": [net.langs[k] for k in best], "score": np.minimum(prob.max(axis=1), 1.0)})
+            prob = np.concatenate([np.zeros((0, len(net.langs))), *(net.pooled([x or b"" for x in some]) for some in few(texts))])
+            langs = pa.array([net.langs[k] for k in prob.argmax(axis=1)], pa.string())
+            yield pa.StructArray.from_arrays([langs, pa.array(np.minimum(prob.max(axis=1), 1.0))], ["lang_pred", "score"])
 
     return F.when(_lettered(text), guess(text)).otherwise(unknown)
 

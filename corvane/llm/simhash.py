@@ -5,12 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 from itertools import repeat
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import col, settle, skew_join, spread
+from .common import col, few, settle, skew_join, spread
 from .components import components
 
 BITS = 64
@@ -55,12 +55,13 @@ def signed(value: int) -> int:
     return value - (1 << 64) if value >= 1 << 63 else value
 
 
-def fingerprint_bytes(text: str | None, width: int = 3) -> int:
+def fingerprint_bytes(text: str | bytes | None, width: int = 3) -> int:
     """Fingerprint of one whole text: each bit is the majority over the XXH64 of its word shingles, repeats included."""
     import numpy as np
     import xxhash
 
-    parts = (text or "").encode("utf-8").lower().split()  # on bytes both touch ASCII only
+    raw = text.encode("utf-8") if isinstance(text, str) else text or b""
+    parts = raw.lower().split()  # on bytes both touch ASCII only
     if not parts:
         return 0
     if len(parts) <= width:
@@ -78,10 +79,10 @@ def fingerprint_bytes(text: str | None, width: int = 3) -> int:
 def fingerprint(text: Column, width: int = 3) -> Column:
     """The fingerprint as a signed long."""
 
-    @F.pandas_udf(T.LongType())
-    def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf(T.LongType())
+    def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            yield pd.Series([signed(fingerprint_bytes(x, width)) for x in texts], dtype="int64")
+            yield pa.array([signed(fingerprint_bytes(x, width)) for some in few(texts) for x in some], pa.int64())
 
     return of(text)
 
