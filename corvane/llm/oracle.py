@@ -5,8 +5,10 @@ from __future__ import annotations
 
 from .decontam import WINDOW
 from .mixing import REPEATS, SEED
+from .neighbours import LEAST_COSINE
 from .preference import LEARNED, SEED as PAIR_SEED
 from .quality import ENOUGH, FEWEST_LINES, KEPT_BITS, REACH, SLACK
+from .resampling import BUCKETS, LEAST_WORDS, SEED as DRAW_SEED, SHARE, UNIT
 from .secrets import KINDS, REACH as NEAR, ROLE, WEAK
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -124,8 +126,8 @@ def preference() -> str:
         one = f"({before(x)} + {head(f'{x}[j]')}) || ':' || ({before(x)} + length({turn(f'{x}[j]')}))"
         return f"array_to_string(list_transform(list_filter(range(1, len({x}) + 1), lambda j: {x}[j].role = 'assistant'), lambda j: {one}), ',')"
 
-    side = lambda n: f"coalesce(list({{'turn': turn, 'role': role, 'text': text}} ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) FILTER (WHERE conv_id % 2 = {n}), [])"
-    return f"""WITH p AS (SELECT conv_id // 2 AS pair, min(conv_id) FILTER (WHERE conv_id % 2 = 0) AS chosen_id, min(conv_id) FILTER (WHERE conv_id % 2 = 1) AS rejected_id, {side(0)} AS a, {side(1)} AS b FROM conversations GROUP BY 1),
+    side = lambda n: f"coalesce(list({{'turn': turn, 'role': role, 'text': text}} ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) FILTER (WHERE conv_id & 1 = {n}), [])"
+    return f"""WITH p AS (SELECT (conv_id - (conv_id & 1)) // 2 AS pair, min(conv_id) FILTER (WHERE conv_id & 1 = 0) AS chosen_id, min(conv_id) FILTER (WHERE conv_id & 1 = 1) AS rejected_id, {side(0)} AS a, {side(1)} AS b FROM conversations GROUP BY 1),
 z AS (SELECT chosen_id AS id, rejected_id AS other, a AS t, b AS o FROM p WHERE chosen_id IS NOT NULL UNION ALL SELECT rejected_id, chosen_id, b, a FROM p WHERE rejected_id IS NOT NULL),
 y AS (SELECT *, list_filter(range(2, len(t) + 1), lambda i: t[i].role = '{LEARNED}') AS places, list_filter(o, lambda x: x.role = '{LEARNED}') AS replies FROM z),
 x AS (SELECT *, CASE WHEN len(places) > 0 THEN places[('0x' || substr(md5('{PAIR_SEED}|' || id), 1, 8))::BIGINT % len(places) + 1] ELSE 2 END AS cut FROM y),
@@ -136,8 +138,37 @@ SELECT pair_id, chosen_id, rejected_id, len(p)::BIGINT AS prompt_turns, len(c)::
 CASE WHEN NOT no_c THEN {mask('c')} END AS chosen_mask, CASE WHEN NOT no_r THEN {mask('r')} END AS rejected_mask FROM s"""
 
 
+def near_vectors() -> str:
+    return f"""WITH RECURSIVE v AS (SELECT row_number() OVER () AS k, vec_id, label, embedding::DOUBLE[] AS e FROM embeddings),
+g AS (SELECT * FROM v WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+l AS MATERIALIZED (SELECT a.k AS a, b.k AS b FROM g a JOIN g b ON a.label = b.label AND a.k <> b.k WHERE CASE WHEN len(a.e) = len(b.e) THEN list_cosine_similarity(a.e, b.e) END >= {LEAST_COSINE}),
+r AS (SELECT a AS k, b FROM l UNION SELECT r.k, l.b FROM r JOIN l ON l.a = r.b),
+c AS (SELECT r.k, min(g.vec_id) AS c FROM r JOIN g ON g.k = r.b GROUP BY r.k), n AS (SELECT a AS k, count(*) AS n FROM l GROUP BY a)
+SELECT vec_id, coalesce(n, 0) AS n_links, least(vec_id, c) AS component_id, vec_id IS NOT DISTINCT FROM least(vec_id, c) AS kept FROM v LEFT JOIN n USING (k) LEFT JOIN c USING (k)"""
+
+
+def resampled() -> str:
+    """The checksum by its definition: a table of 256 remainders, and one step a byte."""
+    words = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+    runs = lambda w: f"list_concat({w}, list_transform(range(1, len({w})), lambda i: {w}[i] || ' ' || {w}[i + 1]))"
+    step = "xor(e.t[xor(a, b) % 256 + 1], a // 256)"
+    byte = "list_transform(range(0, length(hex(encode(f))) // 2), lambda i: ('0x' || substr(hex(encode(f)), 2 * i + 1, 2))::BIGINT)"
+    return f"""WITH RECURSIVE q AS (SELECT range AS i, range AS c, 0 AS n FROM range(256) UNION ALL SELECT i, CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, n + 1 FROM q WHERE n < 8),
+e AS (SELECT list(c ORDER BY i) AS t FROM q WHERE n = 8),
+d AS (SELECT row_number() OVER () AS k, doc_id, {words} AS w FROM documents), o AS (SELECT {words} AS w FROM benchmark),
+df AS (SELECT k, f, count(*) AS n FROM (SELECT k, unnest({runs('w')}) AS f FROM d) GROUP BY 1, 2), tf AS (SELECT f, count(*) AS n FROM (SELECT unnest({runs('w')}) AS f FROM o) GROUP BY 1),
+h AS (SELECT f, xor(list_reduce({byte}, lambda a, b: {step}, 4294967295), 4294967295) % {BUCKETS} AS bucket FROM (SELECT f FROM df UNION SELECT f FROM tf), e),
+s AS (SELECT bucket, sum(n)::DOUBLE AS s FROM df JOIN h USING (f) GROUP BY 1), t AS (SELECT bucket, sum(n)::DOUBLE AS t FROM tf JOIN h USING (f) GROUP BY 1),
+g AS (SELECT range AS bucket, floor({UNIT} * ln((coalesce(t, 0) + 1) * ((SELECT coalesce(sum(s), 0) FROM s) + {BUCKETS}) / ((coalesce(s, 0) + 1) * ((SELECT coalesce(sum(t), 0) FROM t) + {BUCKETS}))))::BIGINT AS gain FROM range({BUCKETS}) LEFT JOIN s ON s.bucket = range LEFT JOIN t ON t.bucket = range),
+m AS (SELECT k, sum(n)::BIGINT AS n, sum(n * gain)::BIGINT AS g FROM df JOIN h USING (f) JOIN g USING (bucket) GROUP BY 1),
+u AS (SELECT doc_id, len(w) AS words, coalesce(n, 0)::BIGINT AS n_features, coalesce((g - ((g % n) + n) % n) // n, 0)::BIGINT AS weight, ('0x' || substr(sha256('{DRAW_SEED}:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT AS x FROM d LEFT JOIN m USING (k)),
+y AS (SELECT *, weight + floor(-{UNIT} * ln(-ln((x + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score FROM u),
+z AS (SELECT *, row_number() OVER (PARTITION BY words >= {LEAST_WORDS} ORDER BY score DESC, doc_id NULLS LAST, n_features) AS place, count(*) OVER (PARTITION BY words >= {LEAST_WORDS}) AS able FROM y)
+SELECT doc_id, n_features, weight, score, CASE WHEN words >= {LEAST_WORDS} AND place <= able * {SHARE} // 100 THEN place END AS rank FROM z"""
+
+
 def every() -> dict[str, str]:
-    """By query. The others have no SQL: a network, XXH64 fingerprints, keyed permutations and files cannot be said in it."""
+    """By query. The others have no SQL: a network, XXH64 fingerprints, eigenvectors, keyed permutations and files cannot be said in it."""
     return {
         "op1_quality_rules": quality(),
         "op2_secret_scan": secrets(),
@@ -145,4 +176,6 @@ def every() -> dict[str, str]:
         "op7_decontamination": contamination(),
         "op9_warc_transactions": warc(),
         "op10_preference_pairs": preference(),
+        "op11_embedding_dedup": near_vectors(),
+        "op13_importance_resampling": resampled(),
     }

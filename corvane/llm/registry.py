@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, mixing, oracle, pii, preference, quality, secrets, sharding, simhash, warc
+from . import decontam, langid, mixing, neighbours, oracle, pii, preference, quality, resampling, secrets, sharding, simhash, warc, whitening
 from .common import fresh_dir, table
 
 
@@ -99,7 +99,7 @@ def op9_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_preference_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each conversation against itself with a reply of its partner; 2k and 2k + 1 are partners. Texts are told by digests."""
-    pair, second = F.floor(F.col("conv_id") / F.lit(2)), F.col("conv_id") % 2 != 0
+    pair, second = F.shiftright("conv_id", 1), F.col("conv_id").bitwiseAND(F.lit(1)) == 1  # whole numbers, also below zero
     rows = preference.alternatives(table(spark, sf_dir, "conversations"), pair, second)
     mask = lambda c: F.array_join(F.transform(c, lambda x: F.concat_ws(":", x.start, x.end)), ",")
     return rows.select(
@@ -115,6 +115,19 @@ def op10_preference_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.near_copies(table(spark, sf_dir, "embeddings"))
+
+
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = resampling.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_quality_rules,
@@ -127,6 +140,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_simhash_dedup,
         op9_warc_transactions,
         op10_preference_pairs,
+        op11_embedding_dedup,
+        op12_embedding_whitening,
+        op13_importance_resampling,
     )
 }
 ORACLE: dict[str, str] = oracle.every()
