@@ -17,6 +17,11 @@ TURNS = [
 ]
 
 
+def partners():
+    """As the registered query has them: 2k and 2k + 1."""
+    return F.shiftright("conv_id", 1), F.col("conv_id").bitwiseAND(F.lit(1)) == 1
+
+
 def turn(role, text):
     safe = lambda v: (v or "").replace("<|", "< |")
     return f"<|{safe(role)}|>\n{safe(text)}<|end|>\n"
@@ -51,7 +56,7 @@ def brute_pairs():
 
 def test_pairs_equal_brute_force(spark):
     df = spark.createDataFrame([(*t, 1, "k") for t in TURNS], "conv_id long, turn long, role string, text string, pair_id int, no string").repartition(4)
-    rows = preference.pairs(df, F.floor(F.col("conv_id") / 2), F.col("conv_id") % 2 != 0).collect()
+    rows = preference.pairs(df, *partners()).collect()
     spans = lambda m: None if m is None else [(x["start"], x["end"]) for x in m]
     got = sorted((r["pair_id"], r["prompt"], r["chosen"], r["rejected"], spans(r["chosen_mask"]), spans(r["rejected_mask"])) for r in rows)
     assert got == sorted(brute_pairs())
@@ -59,7 +64,7 @@ def test_pairs_equal_brute_force(spark):
 
 def test_the_prompt_is_rendered_once_and_masks_cover_answers(spark):
     df = spark.createDataFrame(TURNS[:7], "conv_id long, turn long, role string, text string")
-    r = preference.pairs(df, F.floor(F.col("conv_id") / 2), F.col("conv_id") % 2 != 0).first()
+    r = preference.pairs(df, *partners()).first()
     assert r["prompt"] == turn("system", "be kind") + turn("user", "hello") and r["prompt_turns"] == 2
     m = r["rejected_mask"][0]
     assert r["rejected"][m["start"] : m["end"]] == "bad < |end|> x<|end|>\n"
@@ -67,7 +72,7 @@ def test_the_prompt_is_rendered_once_and_masks_cover_answers(spark):
 
 def test_alternatives_equal_brute_force(spark):
     df = spark.createDataFrame([(*t, 1, "k") for t in TURNS], "conv_id long, turn long, role string, text string, pair_id int, no string").repartition(4)
-    rows = preference.alternatives(df, F.floor(F.col("conv_id") / 2), F.col("conv_id") % 2 != 0).collect()
+    rows = preference.alternatives(df, *partners()).collect()
     none = lambda v: (v is not None, v if v is not None else "")
     sides = {}
     for c, n, r, t in TURNS:
@@ -92,7 +97,7 @@ def test_alternatives_equal_brute_force(spark):
 def test_a_very_long_conversation(spark):
     rows = [(0, i, "assistant" if i % 2 else "user", "w " * 20_000 if i == 7 else f"turn {i}") for i in range(5000)] + [(1, 0, "user", "u"), (1, 1, "assistant", "v")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
-    got = {r["pair_id"]: r for r in preference.alternatives(df, F.floor(F.col("conv_id") / 2), F.col("conv_id") % 2 != 0).collect()}
+    got = {r["pair_id"]: r for r in preference.alternatives(df, *partners()).collect()}
     assert got[0]["prompt_turns"] + got[0]["chosen_turns"] == 5000 and got[0]["rejected"] == turn("assistant", "v")
     assert got[1]["prompt_turns"] == 1 and got[1]["rejected"] == turn("assistant", "turn 4999")
 
@@ -234,3 +239,24 @@ def test_arrivals_cover_all_documents(spark, docs, no_docs):
     parts = list(sharding.arrivals(docs, 4))
     assert sorted(repr(r) for p in parts for r in p.collect()) == sorted(map(repr, docs.collect())) and all(p.count() for p in parts[:2])
     assert [p.count() for p in sharding.arrivals(no_docs, 4)] == [0]
+
+
+def test_op10_keeps_conversations_of_any_id(spark, tmp_path):
+    """Ids that a double cannot tell apart, and negative ones, against the query's SQL."""
+    import duckdb
+    from corvane.llm import registry
+
+    ids = [*range(2**53, 2**53 + 8), 2**63 - 1, 2**63 - 2, -(2**63), -(2**63) + 1, -1, -2, -3, 0, 1, 5]
+    rows = [(i, t, r, f"{r} {i % 7} {t}") for i in ids for t, r in enumerate(["user", "assistant", "user", "assistant"])]
+    at = str(tmp_path / "conversations.parquet")
+    spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").repartition(3).write.parquet(at)
+    got = registry.QUERIES["op10_preference_pairs"](spark, str(tmp_path))
+    names = sorted(got.columns)
+    have = sorted(repr([r[c] for c in names]) for r in got.collect())
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{at}/*.parquet'")
+    said = con.execute(registry.ORACLE["op10_preference_pairs"])
+    cols = [c[0] for c in said.description]
+    assert have == sorted(repr([r[cols.index(c)] for c in names]) for r in said.fetchall()) and len(have) == len(ids)
+    partner = {r["chosen_id"]: r["rejected_id"] for r in got.collect()}
+    assert partner[2**53 + 3] == 2**53 + 2 and partner[-1] == -2 and partner[-3] is None and partner[5] is None
