@@ -210,13 +210,6 @@ def _(spark, d):
     return T(spark, d, "documents").groupBy("lang").agg(F.count_if(ours).alias("ours"), F.count_if(~ours).alias("theirs"))
 
 
-@query("j15_seed_similarity", "WITH s AS (SELECT embedding AS seed FROM embeddings WHERE vec_id = 0) SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], seed::DOUBLE[]), 6) AS score FROM embeddings, s")
-def _(spark, d):
-    e = T(spark, d, "embeddings")
-    seed = e.filter("vec_id = 0").select(F.col("embedding").alias("seed")).limit(1)
-    return e.join(F.broadcast(seed)).select("vec_id", F.round(joins.cosine(F.col("embedding"), F.col("seed")), 6).alias("score"))  # one vector
-
-
 @query("x_asof_join", "SELECT o.o_orderkey, e.event_id FROM orders o ASOF LEFT JOIN (SELECT min(event_id) AS event_id, ts FROM events GROUP BY ts) e ON o.o_orderdate >= e.ts")
 def _(spark, d):
     return as_of(T(spark, d, "orders").select("o_orderkey", "o_orderdate"), T(spark, d, "events").groupBy("ts").agg(F.min("event_id").alias("event_id")), "o_orderdate", "ts", "event_id").select("o_orderkey", "event_id")

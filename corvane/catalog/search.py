@@ -8,7 +8,8 @@ from math import log, sqrt
 
 from pyspark.sql import functions as F
 
-from ..operators import joins, search
+from ..operators import joins, search, vectors
+from ..operators.lineage import fresh_dir
 from ..sources import bindings as B
 from . import query
 from .addresses import LINES
@@ -80,9 +81,43 @@ def _(spark, d):
     return search.find(docs(spark, d), KEYWORDS, 10, "doc_id")
 
 
-@query("r03_similar", "WITH s AS (SELECT embedding AS seed FROM embeddings WHERE vec_id = 3), c AS (SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], seed::DOUBLE[]), 6) AS score FROM embeddings, s WHERE vec_id <> 3) SELECT row_number() OVER (ORDER BY score DESC, vec_id) AS rank, vec_id, score FROM c QUALIFY rank <= 15")
+def _similar_sql(rest: str) -> str:
+    """Every row as a candidate of every query, which is each row whose id is divisible by 100."""
+    return f"WITH q AS (SELECT vec_id AS query, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id % 100 = 0), c AS (SELECT query, vec_id, round(list_cosine_similarity(embedding::DOUBLE[], e), 6) AS score FROM embeddings, q WHERE vec_id <> query) {rest}"
+
+
+TOP = _similar_sql("SELECT query, row_number() OVER (PARTITION BY query ORDER BY score DESC, vec_id) AS rank, vec_id, score FROM c QUALIFY rank <= 15")
+
+
+def _queried(spark, d):
+    e = T(spark, d, "embeddings").select("vec_id", "embedding")
+    return e.filter("vec_id % 100 = 0"), e
+
+
+@query("r03_similar", TOP)
+def _(spark, d):
+    return vectors.top_k(*_queried(spark, d), 15)
+
+
+@query("r03_similar_by_index", TOP)
+def _(spark, d):
+    asked, e = _queried(spark, d)
+    return vectors.VectorIndex(e, fresh_dir(spark, "vectors")).build().search(asked, 15, exact=True)
+
+
+@query("r03_index_recall", "SELECT count(*) AS queries, true AS enough FROM embeddings WHERE vec_id % 100 = 0")
+def _(spark, d):
+    """Of the nearest cells alone, as many as hold 19 of 20 neighbours of rows drawn at random."""
+    asked, e = _queried(spark, d)
+    index = vectors.VectorIndex(e, fresh_dir(spark, "vectors")).build()
+    found = index.search(asked, 15, probes=index.probes_for(15))
+    return vectors.recall(found, vectors.top_k(asked, e, 15)).select("queries", (F.col("recall") >= 0.9).alias("enough"))
+
+
+@query("j15_seed_similarity", _similar_sql("SELECT query, vec_id, score FROM c WHERE score >= 0.3"))
 def _(spark, d):
-    return search.similar(T(spark, d, "embeddings"), F.col("vec_id") == 3, 15)
+    asked, e = _queried(spark, d)
+    return vectors.VectorIndex(e, fresh_dir(spark, "vectors")).build().within(asked, 0.3)
 
 
 @query("r04_search_pipeline", FIND + SPOTS + " SELECT doc_id, NULL::VARCHAR AS symbol, line_number AS line_start, line_number AS line_end, substr(trim(line), 1, 160) AS snippet, score FROM best LEFT JOIN spot USING (doc_id)")
