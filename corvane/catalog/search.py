@@ -8,7 +8,7 @@ from math import log, sqrt
 
 from pyspark.sql import functions as F
 
-from ..operators import joins, search, vectors
+from ..operators import grams, joins, postings, search, vectors
 from ..operators.lineage import fresh_dir
 from ..sources import bindings as B
 from . import query
@@ -76,6 +76,27 @@ def _(spark, d):
     return search.bm25(docs(spark, d), KEYWORDS, "doc_id")
 
 
+def text_index(spark, d):
+    return postings.TextIndex(spark, fresh_dir(spark, "postings"), "doc_id").build(docs(spark, d))
+
+
+@query("r01_bm25_by_index", f"WITH {TOKENS}, {bm25_sql('lex', search.terms(KEYWORDS))} SELECT doc_id, score FROM lex")
+def _(spark, d):
+    return text_index(spark, d).bm25(KEYWORDS)
+
+
+@query("r01_explore_by_index", EXPLORE + f", {fused_sql('best', ['lex', 'vec', 'ask'], 10)} SELECT * FROM best")
+def _(spark, d):
+    return text_index(spark, d).explore(KEYWORDS, QUESTION)
+
+
+@query("r01_top_after_upsert", f"WITH tok AS (SELECT doc_id, regexp_extract_all(lower(CASE WHEN doc_id % 7 = 0 THEN text || ' heron thre heron' ELSE text END), '[\\p{{L}}\\p{{N}}_]+') AS w FROM documents), {bm25_sql('lex', search.terms(KEYWORDS))} SELECT row_number() OVER (ORDER BY score DESC, doc_id) AS rank, doc_id, score FROM lex QUALIFY rank <= 40")
+def _(spark, d):
+    """Every seventh document changes after it was indexed."""
+    changed = docs(spark, d).filter("doc_id % 7 = 0").select("doc_id", F.concat("text", F.lit(" heron thre heron")).alias("text"))
+    return text_index(spark, d).upsert(changed).top(KEYWORDS, 40)
+
+
 @query("r02_find", FIND + SPOTS + " SELECT rank, doc_id, round(score * 100)::BIGINT AS confidence, line_number FROM best LEFT JOIN spot USING (doc_id)")
 def _(spark, d):
     return search.find(docs(spark, d), KEYWORDS, 10, "doc_id")
@@ -153,6 +174,33 @@ def _(spark, d):
     return search.grep(B.documents(spark, d, "doc:///en/**"), "The ", False, 0, True)
 
 
+def gram_index(spark, d):
+    held = B.documents(spark, d).select("uri", "text")
+    return held, grams.GramIndex(spark, fresh_dir(spark, "grams")).build(held)
+
+
+@query("r05_grep_by_index", LINES + " SELECT uri, line_number, line FROM l WHERE contains(lower(line), 'heron') ORDER BY uri, line_number LIMIT 100")
+def _(spark, d):
+    held, index = gram_index(spark, d)
+    return index.grep(held, "heron")
+
+
+EITHER, ANY = "(inedtion|her[aeo]n) ?th|[Aa]nd wa", "[0-9]{3}-[0-9]{4}"
+
+
+@query("r06_regex_by_index", LINES + f" (SELECT 1 AS n, uri, line_number, line FROM l WHERE regexp_matches(line, '{EITHER}') ORDER BY uri, line_number LIMIT 50) UNION ALL (SELECT 2, uri, line_number, line FROM l WHERE regexp_matches(line, '{ANY}') ORDER BY uri, line_number LIMIT 50)")
+def _(spark, d):
+    """An alternation, and a pattern that requires no trigram."""
+    held, index = gram_index(spark, d)
+    return index.grep(held, EITHER, True, 50).select(F.lit(1).alias("n"), "*").unionByName(index.grep(held, ANY, True, 50).select(F.lit(2).alias("n"), "*"))
+
+
+@query("r06_share_compared", "SELECT p AS pattern, count(*) AS texts, count(*) FILTER (WHERE p = 'a' OR len(list_filter(g, lambda x: NOT contains(lower(coalesce(text, '')), x))) = 0) AS compared FROM documents, (VALUES ('heron', ['her', 'ero', 'ron']), ('thent of', ['the', 'hen', 'ent', 'nt ', 't o', ' of']), ('a', [])) v(p, g) GROUP BY p")
+def _(spark, d):
+    _, index = gram_index(spark, d)
+    return index.share("heron").unionByName(index.share("thent of")).unionByName(index.share("a"))
+
+
 @query(
     "r07_discover_vocabulary",
     f"""WITH {TOKENS}, e AS (SELECT doc_id, unnest(list_distinct(w)) AS term, list_has_any(w, ['inedtion', 'zzzq']) AS hit FROM tok), c AS (SELECT term, count(*) AS df, count(*) FILTER (WHERE hit) AS w FROM e GROUP BY term)
