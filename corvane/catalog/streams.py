@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..operators import retrieve
 from ..operators.lineage import fresh_dir
 from ..sources import bindings as B
-from ..streaming import feeds, leases, monitor, waits
+from ..streaming import feeds, leases, monitor, timers, waits
 from . import query
 from .relational import values
 from .sources import put
@@ -229,28 +229,48 @@ def _(spark, d):
     return waits.latest_answers(remotes, spark.createDataFrame([("a", "online", None)], kind), spark.createDataFrame([("a", "offline", "old"), ("b", "offline", "timeout")], kind))
 
 
-HOUR = 3_600_000
-ACTIONS = [
-    *(("h", i, i, "add", f"s{i}", "r", f"text {i}") for i in range(300)),
-    ("h", 300, 400, "take", "s0", "r", None),
-    ("h", 301, 400, "take", "s299", "r", None),
-    ("h", 302, 400, "take", "s299", "r", None),
-    ("h", 303, 400, "take", "s298", "other", None),
-    ("h", 304, 400, "take", "s298", "r", None),
-    ("h", 305, 401, "add", "s297", "r", "more"),
-    ("h", 306, 402, "take", "s297", "r", None),
-    ("h", 307, HOUR + 296, "take", "s296", "r", None),
-    ("h", 308, HOUR + 200, "take", "s290", "r", None),
-]
+#: Of the feed of events as actions: takes, and the time that a section is held.
+TAKES, HOLD_S = ("purchase", "error"), 6 * 3600
+
+
+@query(
+    "m07_held_entries",
+    f"""WITH e AS (SELECT user_id // 200 AS host, event_id AS seq, user_id AS session, ts, (ts::DATE)::VARCHAR AS run, event_type || ' ' || event_id AS section, event_type IN {TAKES} AS take FROM events),
+o AS (SELECT *, row_number() OVER w AS n, max(CASE WHEN take THEN 1 ELSE 0 END * rn) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prior FROM (SELECT *, row_number() OVER (PARTITION BY session ORDER BY ts, seq) AS rn FROM e) WINDOW w AS (PARTITION BY session ORDER BY ts, seq)),
+x AS (SELECT t.host, t.seq, t.session::VARCHAR AS session, string_agg(a.section, chr(10) || chr(10) ORDER BY a.n) AS sections FROM o t LEFT JOIN o a ON a.session = t.session AND NOT a.take AND a.n < t.n AND a.n > coalesce(t.prior, 0) AND a.run = t.run AND epoch_us(t.ts) - epoch_us(a.ts) < {HOLD_S * 1_000_000} WHERE t.take AND t.ts <= (SELECT max(ts) FROM events) - INTERVAL 1 MINUTE GROUP BY ALL)
+SELECT * FROM x""",
+)
+def _(spark, d):
+    """Every event is an addition or a take of its user's session; 200 users share a host."""
+    s = B.signals(spark, d)
+    at = feeds.as_lines(s.select(F.floor(F.col("run") / 200).cast("long").alias("host"), "run", "seq", "ts", "state"))
+    actions = feeds.stream_of(spark, at, "host long, run long, seq long, ts timestamp, state string", 1000).withWatermark("ts", "0 seconds")
+    section = F.concat_ws(" ", "state", F.col("seq").cast("string"))
+    rows = feeds.available(timers.held_sections(actions, "host", "ts", "seq", F.col("run"), F.to_date("ts"), section, F.col("state").isin(*TAKES), HOLD_S * 1000))
+    return rows.join(_settled(s), "seq", "left_semi")
+
+
+def _settled(signals):
+    """seq of what the last watermark has passed for sure."""
+    last = signals.agg((F.max("ts") - F.expr("INTERVAL 1 MINUTE")).alias("m"))
+    return signals.join(F.broadcast(last), F.col("ts") <= F.col("m")).select("seq")  # one row
+
+
+@query("d10_leases_by_timer", f"WITH {LEASES} SELECT user_id AS run, epoch_us(began) AS began, epoch_us(ended) AS ended, beats FROM held WHERE ended <= (SELECT max(ts) FROM events) - INTERVAL 1 MINUTE")
+def _(spark, d):
+    s = B.signals(spark, d)
+    records = feeds.stream_of(spark, feeds.as_lines(s.select("run", "ts")), "run long, ts timestamp", 1000).withWatermark("ts", "0 seconds")
+    rows = feeds.available(timers.leases(records, "run", "ts", 6 * 3600))
+    last = s.agg((F.max("ts") - F.expr("INTERVAL 1 MINUTE")).alias("m"))
+    return rows.join(F.broadcast(last), F.col("ended") <= F.col("m")).select("run", F.unix_micros("began").alias("began"), F.unix_micros("ended").alias("ended"), "beats")  # one row
 
 
-@query("m07_held_entries", "SELECT * FROM (VALUES (300::BIGINT, NULL), (301, 'text 299'), (302, NULL), (303, NULL), (304, NULL), (306, 'text 297' || chr(10) || chr(10) || 'more'), (307, NULL), (308, 'text 290')) v(seq, sections)")
+@query("x_pairs_within_an_hour", "SELECT a.user_id AS run, a.event_id AS first, b.event_id AS second FROM events a JOIN events b ON a.user_id = b.user_id AND b.ts >= a.ts AND b.ts <= a.ts + INTERVAL 1 HOUR WHERE a.event_type = 'view' AND b.event_type = 'purchase'")
 def _(spark, d):
-    names = ("host", "seq", "at_ms", "action", "session", "run", "section")
-    lines = [json.dumps(dict(zip(names, a, strict=True))) for a in ACTIONS]
-    at = put(spark, {"a.jsonl": "\n".join(lines[:200]), "b.jsonl": "\n".join(lines[200:])})
-    actions = feeds.stream_of(spark, at, "host string, seq long, at_ms long, action string, session string, run string, section string")
-    return feeds.available(leases.held_entries(actions)).select("seq", "sections")
+    """Streams of views and of purchases, each delivered twice."""
+    s = B.signals(spark, d).select("run", "seq", "ts", "state")
+    side = lambda state: feeds.stream_of(spark, feeds.as_lines(s.filter(F.col("state") == state).unionByName(s.filter(F.col("state") == state))), "run long, seq long, ts timestamp, state string", 1000)
+    return feeds.available(timers.pairs_within(side("view"), side("purchase"), "run", "ts", "seq", 3600)).select("run", "first", "second")
 
 
 @query("s37_telemetry_capture", "SELECT event_type AS state, count(*) AS n, sum(json_extract_string(props, '$.k')::BIGINT)::BIGINT AS k FROM events GROUP BY event_type")

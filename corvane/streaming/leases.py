@@ -1,14 +1,10 @@
-"""Leases kept by beats, idle times between them, and entries held for a session until it takes them."""
+"""Leases kept by beats, and idle times between them."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
 def leases(beats: DataFrame, client: str, at: str, timeout_s: int) -> DataFrame:
@@ -50,52 +46,3 @@ def _merged(spans: DataFrame, by: list[str]) -> DataFrame:
     marked = spans.withColumn("n", F.when(before.isNull() | (F.col("a") > before), 1).otherwise(0))
     grouped = marked.withColumn("g", F.sum("n").over(w.rowsBetween(W.unboundedPreceding, W.currentRow)))
     return grouped.groupBy(*by, "g").agg(F.min("a").alias("a"), F.max("b").alias("b")).drop("g")
-
-
-#: How long an entry is held, and for how many sessions.
-TTL_MS, SESSIONS = 60 * 60_000, 256
-
-
-class Held:
-    """Entries by session, oldest session first: those of another run, and those too old, are never delivered."""
-
-    def __init__(self, entries: list[tuple[str, str, str, int]] | None = None):
-        self.entries = list(entries or [])
-
-    def add(self, session: str, run: str, section: str, at: int) -> None:
-        own = [e for e in self.entries if e[0] == session and at - e[3] < TTL_MS]
-        others = [e for e in self.entries if e[0] != session]
-        self.entries = [*others, *own, (session, run, section, at)]
-        sessions = list(dict.fromkeys(e[0] for e in self.entries))
-        gone = set(sessions[: max(0, len(sessions) - SESSIONS)])
-        self.entries = [e for e in self.entries if e[0] not in gone]
-
-    def take(self, session: str, run: str, at: int) -> str | None:
-        """What the session holds for this run, once; everything that it held goes."""
-        mine = [e for e in self.entries if e[0] == session]
-        self.entries = [e for e in self.entries if e[0] != session]
-        told = [e[2] for e in mine if e[1] == run and at - e[3] < TTL_MS]
-        return "\n\n".join(told) if told else None
-
-
-def held_entries(actions: DataFrame, host: str = "host") -> DataFrame:
-    """actions (host, seq, at_ms, action add or take, session, run, section) as a stream -> host, seq, session, sections of each take.
-
-    The limit on sessions is one over a host, so a host is one state; it is bounded by that limit.
-    """
-
-    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = Held(list(zip(*state.get, strict=True)) if state.exists else [])
-        out = []
-        rows = pd.concat(list(batches)).sort_values("seq")
-        for row in rows.itertuples():
-            if row.action == "add":
-                held.add(row.session, row.run, row.section, int(row.at_ms))
-            else:
-                out.append((key[0], int(row.seq), row.session, held.take(row.session, row.run, int(row.at_ms))))
-        state.update(tuple(map(list, zip(*held.entries, strict=True))) if held.entries else ([], [], [], []))
-        yield pd.DataFrame(out, columns=["host", "seq", "session", "sections"])
-
-    return actions.groupBy(host).applyInPandasWithState(
-        run, "host string, seq long, session string, sections string", "session array<string>, run array<string>, section array<string>, at array<long>", "append", GroupStateTimeout.NoTimeout
-    )

@@ -174,16 +174,6 @@ def test_operations_in_words(spark):
     assert [r[0] for r in df.select(described(df.o, df.f)).collect()] == list(cases.values())
 
 
-def test_held_entries_expire_and_are_taken_once():
-    held = leases.Held()
-    held.add("s", "r", "one", 0)
-    held.add("s", "r", "two", 10)
-    assert held.take("s", "r", leases.TTL_MS + 5) == "two" and held.take("s", "r", 20) is None
-    for i in range(300):
-        held.add(f"s{i}", "r", "x", i)
-    assert len({e[0] for e in held.entries}) == leases.SESSIONS and held.take("s0", "r", 301) is None
-
-
 def test_a_call_has_one_result():
     assert waits.only_result([("progress", 1), ("result", "x")]) == "x"
     for events in ([], [("result", 1), ("progress", 2)], [("other", 1)]):
