@@ -6,7 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import scalars
-from ..operators import joins, memory, ranking, rollups
+from ..operators import joins, memory, ranking, rollups, timejoins
 from ..sources import bindings as B
 from . import query
 
@@ -235,6 +235,31 @@ def as_of(left, right, at: str, since: str, value: str):
     return out.select("__row.*", value)
 
 
+#: Orders in the days of the events, as moments of their customers' users.
+ORDERED = "SELECT o_orderkey, o_custkey % 150 AS buyer, TIMESTAMP '2024-01-01' + INTERVAL 1 MINUTE * (o_orderkey % 43200) AS moment FROM orders"
+
+
+def _ordered(spark, d):
+    moment = F.timestamp_seconds(F.lit(1704067200) + 60 * (F.col("o_orderkey") % 43200))
+    return T(spark, d, "orders").select("o_orderkey", (F.col("o_custkey") % 150).alias("buyer"), moment.alias("moment"))
+
+
+@query("x_asof_by_user", f"WITH o AS ({ORDERED}), e AS (SELECT user_id, ts, max(event_id) AS event_id FROM events GROUP BY ALL) SELECT o_orderkey, CASE WHEN moment - ts <= INTERVAL 8 HOUR THEN event_id END AS event_id FROM o ASOF LEFT JOIN e ON buyer = user_id AND moment >= ts")
+def _(spark, d):
+    """Each order with the latest event of its user within eight hours."""
+    events = T(spark, d, "events").select("user_id", "ts", "event_id")
+    found = timejoins.as_of(_ordered(spark, d), events, [("buyer", "user_id")], "moment", "ts", ["event_id"], 8 * 3600, "event_id")
+    return found.select("o_orderkey", "event_id")
+
+
+@query("x_orders_in_spans", f"WITH o AS ({ORDERED}), s AS (SELECT user_id, min(ts) AS began, max(ts) AS ended, event_type FROM events GROUP BY user_id, event_type, ts::DATE) SELECT o_orderkey, event_type, epoch_us(began) AS began FROM o JOIN s ON buyer = user_id AND moment BETWEEN began AND ended")
+def _(spark, d):
+    """Orders within the time that their user was active on a day, by kind of event."""
+    spans = T(spark, d, "events").groupBy("user_id", "event_type", F.to_date("ts").alias("day")).agg(F.min("ts").alias("began"), F.max("ts").alias("ended"))
+    found = timejoins.in_spans(_ordered(spark, d), spans, ("buyer", "user_id"), "moment", "began", "ended")
+    return found.select("o_orderkey", "event_type", F.unix_micros(F.col("began").cast("timestamp")).alias("began"))
+
+
 # -- aggregation ------------------------------------------------------------------------------------------------------
 
 
@@ -444,9 +469,9 @@ def _(spark, d):
     return ranking.near_best(T(spark, d, "part").select("p_partkey", "p_retailprice"), "p_retailprice", 0.9)
 
 
-@query("t11_scope_ceiling", f"WITH {FILES} SELECT uri FROM files WHERE starts_with(uri, 'doc:///es/src1/')")
+@query("t11_scope_ceiling", f"WITH {FILES} SELECT uri, count(*) OVER () <= 96 AS fits FROM files WHERE starts_with(uri, 'doc:///es/src1/')")
 def _(spark, d):
-    return ranking.within(B.documents(spark, d, "doc:///es/src1/**").select("uri"), 96).select("uri")
+    return ranking.within(B.documents(spark, d, "doc:///es/src1/**").select("uri"), 96)
 
 
 # -- sets -------------------------------------------------------------------------------------------------------------
