@@ -12,34 +12,42 @@ from .common import col, settle
 BUCKETS, RUN = 10_000, 2
 #: Scores count thousandths; share drawn in per cent, of the documents of that many words or more; seed of the draw.
 UNIT, SHARE, LEAST_WORDS, SEED = 1000, 25, 20, 7
-#: A word: letters and digits, and every character beyond ASCII.
-OTHER = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: What parts words: all of ASCII but letters and digits.
+GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def words(text: Column) -> Column:
-    """The lower-cased words; a null text has none."""
-    return F.array_remove(F.split(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), OTHER), "")
+    """The words as they are written; a null text has none."""
+    return F.array_remove(F.split(F.coalesce(text, F.lit("")), GAP), "")
 
 
-def _runs(w: Column, run: int) -> Column:
-    """All runs of 1 to ``run`` words, joined by one space."""
+def _lowered(word: Column) -> Column:
+    """A word with A-Z in lower case; lower() is much faster than translate(), but right for ASCII alone."""
+    return F.when(F.octet_length(word) == F.char_length(word), F.lower(word)).otherwise(F.translate(word, UPPER, LOWER))
 
-    def longer(n: int) -> Column:
-        last = F.slice(w, F.lit(n), F.greatest(F.size(w) - (n - 1), F.lit(0)))  # the last words of the runs
-        return F.transform(last, lambda x, i: F.concat(*(y for k in range(n - 1) for y in (F.get(w, i + k), F.lit(" "))), x))
 
-    return F.concat(w, *(longer(n) for n in range(2, run + 1)))
+def _starts(w: Column, run: int) -> Column:
+    """For each word the ``run`` words from it on, null where the text ends: an array of structs w0, w1, ..."""
+    later = [F.slice(w, F.lit(k + 1), F.greatest(F.size(w) - k, F.lit(0))).alias(f"w{k}") for k in range(run)]
+    return F.arrays_zip(*later)
 
 
-def _bucket(feature: Column, buckets: int) -> Column:
-    return (F.crc32(feature) % buckets).cast("int")
+def _buckets(start: str, run: int, buckets: int) -> list[Column]:
+    """The bucket of the run of each length that begins here; null where the text ends before it does."""
+    held = [_lowered(F.col(f"{start}.w{k}")) for k in range(run)]
+    joined = [F.concat(*(y for k in range(n) for y in (F.lit(" "), held[k])[0 if k else 1 :])) for n in range(1, run + 1)]
+    return [(F.crc32(x) % buckets).cast("int") for x in joined]
 
 
 def bucket_counts(texts: DataFrame, text: str, buckets: int = BUCKETS, run: int = RUN) -> DataFrame:
-    """bucket, n: the features of all texts, added up in each task before they are shuffled; buckets rows at most."""
-    features = texts.select(words(col(text)).alias("w")).select(F.explode(_runs(F.col("w"), run)).alias("f"))
-    return features.groupBy(_bucket(F.col("f"), buckets).alias("bucket")).agg(F.count("*").alias("n"))
+    """bucket, n: the features of all texts, added up in each task before they are shuffled; buckets rows at most.
+
+    The outer explosion spares the planner's own check of what is exploded, which would split every text twice.
+    """
+    held = texts.select(words(col(text)).alias("w")).select(_starts(F.col("w"), run).alias("z")).select(F.explode_outer("z").alias("x"))
+    features = held.select(F.explode_outer(F.array(*_buckets("x", run, buckets))).alias("bucket")).filter("bucket is not null")
+    return features.groupBy("bucket").agg(F.count("*").alias("n"))
 
 
 def gains(docs: DataFrame, target: DataFrame, text: str = "text", target_text: str = "text", buckets: int = BUCKETS, run: int = RUN) -> DataFrame:
@@ -67,9 +75,13 @@ def weights(docs: DataFrame, gain: DataFrame, id_col: str = "doc_id", text: str
     ``buckets`` rows, which is what is broadcast.
     """
     rows = docs.select(F.monotonically_increasing_id().alias("r"), col(id_col).alias("i"), words(col(text)).alias("w"))
-    features = rows.select("r", "i", F.size("w").alias("n_words"), F.explode_outer(_runs(F.col("w"), run)).alias("f"))
-    held = features.select("r", "i", "n_words", _bucket(F.col("f"), buckets).alias("bucket")).join(F.broadcast(gain), "bucket", "left")
-    sums = held.groupBy("r", "i", "n_words").agg(F.count("bucket").alias("n_features"), F.coalesce(F.sum("gain"), F.lit(0)).alias("g"))
+    starts = rows.select("r", "i", F.size("w").alias("words"), _starts(F.col("w"), run).alias("z")).select("r", "i", "words", F.explode_outer("z").alias("x"))
+    held = starts.select("r", "i", "words", *(b.alias(f"b{k}") for k, b in enumerate(_buckets("x", run, buckets))))
+    for k in range(run):
+        held = held.join(F.broadcast(gain.select(F.col("bucket").alias(f"b{k}"), F.col("gain").alias(f"g{k}"))), f"b{k}", "left")
+    some = sum((F.coalesce(f"g{k}", F.lit(0)) for k in range(run)), F.lit(0).cast("long"))
+    many = sum((F.when(F.col(f"b{k}").isNotNull(), 1).otherwise(0) for k in range(run)), F.lit(0))
+    sums = held.groupBy("r", "i").agg(F.max("words").alias("n_words"), F.sum(many).alias("n_features"), F.sum(some).alias("g"))
     weight = F.expr("CASE WHEN n_features > 0 THEN (g - pmod(g, n_features)) div n_features ELSE 0L END")  # downwards also below zero
     return sums.select(F.col("i").alias(id_col), F.col("n_words").cast("long").alias("n_words"), "n_features", weight.alias("weight"))
 
