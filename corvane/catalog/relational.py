@@ -6,7 +6,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import scalars
-from ..operators import joins, memory, ranking, rollups, timejoins
+from ..operators import graphs, joins, memory, ranking, rollups, timejoins
+from ..operators.lineage import settle
 from ..sources import bindings as B
 from . import query
 
@@ -193,6 +194,33 @@ def _(spark, d):
     return joins.reachable(edges, docs.filter(F.col("doc_id").isin(150, 151, 199)).select(F.col("doc_id").alias("node")))
 
 
+#: Links that follow each other on a page, as edges between what they lead to.
+FOLLOWS = "l AS (SELECT page_id, unnest(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) AS dst, generate_subscripts(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1), 1) AS n FROM pages), f AS (SELECT DISTINCT a.dst AS src, b.dst AS dst FROM l a JOIN l b ON a.page_id = b.page_id AND b.n = a.n + 1)"
+
+
+def _follows(spark, d):
+    found = F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))
+    ends = F.arrays_zip(F.slice(found, F.lit(1), F.greatest(F.size(found) - 1, F.lit(0))).alias("src"), F.slice(found, F.lit(2), F.greatest(F.size(found) - 1, F.lit(0))).alias("dst"))
+    return T(spark, d, "pages").select(F.explode(ends).alias("x")).select("x.*").distinct()
+
+
+@query(
+    "j11_components_and_levels",
+    f"""WITH RECURSIVE {FOLLOWS}, e AS MATERIALIZED (SELECT * FROM f), r AS (SELECT src, dst FROM e UNION SELECT r.src, e.dst FROM r JOIN e ON r.dst = e.src),
+v AS (SELECT src AS node FROM e UNION SELECT dst FROM e), t AS MATERIALIZED (SELECT * FROM r),
+c AS MATERIALIZED (SELECT node, least(node, min(a.dst)) AS component FROM v LEFT JOIN (SELECT a.src, a.dst FROM t a JOIN t b ON a.src = b.dst AND a.dst = b.src) a ON a.src = node GROUP BY node),
+k AS MATERIALIZED (SELECT DISTINCT x.component AS src, y.component AS dst FROM e JOIN c x ON x.node = e.src JOIN c y ON y.node = e.dst WHERE x.component <> y.component),
+p AS (SELECT component, 0 AS level FROM c UNION SELECT k.dst, p.level + 1 FROM p JOIN k ON k.src = p.component)
+SELECT node, component, max(level)::BIGINT AS level FROM c JOIN p USING (component) GROUP BY ALL""",
+)
+def _(spark, d):
+    """Every target of a link, with its strongly connected component and the longest way there between components."""
+    edges = settle(_follows(spark, d))
+    parts = settle(graphs.strongly_connected(edges))
+    order = graphs.levels(graphs.condensed(edges, parts), parts)
+    return parts.join(order, "component").select("node", "component", "level")
+
+
 @query("j12_blame_commit", "WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS line_number FROM documents) SELECT doc_id, line_number::BIGINT AS line_number, o_custkey AS author, o_orderpriority AS message FROM l JOIN orders ON o_orderkey = doc_id + line_number")
 def _(spark, d):
     lines = B.lines(T(spark, d, "documents"), "doc_id").withColumn("hash", F.col("doc_id") + F.col("line_number"))
