@@ -9,7 +9,7 @@ from math import log, sqrt
 from pyspark.sql import functions as F
 
 from ..operators import grams, joins, postings, search, vectors
-from ..operators.lineage import fresh_dir
+from ..operators.lineage import fresh_dir, settle
 from ..sources import bindings as B
 from . import query
 from .addresses import LINES
@@ -217,6 +217,21 @@ def _(spark, d):
     return search.fuzzy(search.vocabulary(docs(spark, d), "doc_id"), "natoin")
 
 
+#: Letters of two bytes told as one of ASCII that no word here has: edits are of letters, and the SQL counts bytes.
+TOLD = "translate(term, 'ßàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿ', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ#$%&*+')"
+
+
+@query(
+    "r08_near_terms",
+    f"WITH {TOKENS}, v AS MATERIALIZED (SELECT term, length(term) AS n, {TOLD} AS told FROM (SELECT DISTINCT unnest(w) AS term FROM tok)), q AS MATERIALIZED (SELECT * FROM v WHERE ('0x' || substr(md5(term), 1, 8))::BIGINT % 100 = 0) SELECT q.term AS query, v.term, levenshtein(q.told, v.told) AS distance FROM q JOIN v ON abs(q.n - v.n) <= 2 AND q.term <> v.term WHERE levenshtein(q.told, v.told) <= 2",
+)
+def _(spark, d):
+    """The words whose id, a hash of theirs, is divisible by 100, against all words."""
+    known = settle(search.vocabulary(docs(spark, d), "doc_id").select("term"))
+    id_ = F.conv(F.substring(F.md5("term"), 1, 8), 16, 10).cast("long")
+    return search.near_terms(known.filter(id_ % 100 == 0), known)
+
+
 @query("r08_vector_scores", f"WITH {TOKENS}, {vector_sql('vec', KEYWORDS)} SELECT doc_id, score FROM vec WHERE score > 0.0001")
 def _(spark, d):
     return search.vector_scores(docs(spark, d), KEYWORDS, "doc_id").filter("score > 0.0001")

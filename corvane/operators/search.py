@@ -269,6 +269,39 @@ def fuzzy(known: DataFrame, word: str, most: int = 5, within: int = 2) -> DataFr
     return scored.orderBy("distance", F.col("df").desc(), "term").limit(most)
 
 
+#: Letters at the beginning of a word whose deletions are its keys, so that a word of any length has few.
+HEAD = 8
+
+
+def remains(term: Column, within: int) -> Column:
+    """What is left of the first HEAD letters of a term after up to ``within`` of them are deleted, each once.
+
+    Two terms within so many edits share one of these: an edit is undone by a deletion on each side, of the letter
+    itself or of the last one of the head. At most 37 for two edits.
+    """
+    head = F.substring(term, F.lit(1), F.lit(HEAD))
+    less = lambda x: F.transform(F.when(F.length(x) > 0, F.sequence(F.lit(1), F.length(x))).otherwise(F.array().cast("array<int>")), lambda i: F.concat(F.substring(x, F.lit(1), i - 1), F.substring(x, i + 1, F.length(x))))
+    every = each = F.array(head)
+    for _ in range(within):
+        each = F.array_distinct(F.flatten(F.transform(each, less)))
+        every = F.concat(every, each)
+    return F.array_distinct(every)
+
+
+def near_terms(asked: DataFrame, known: DataFrame, within: int = 2) -> DataFrame:
+    """query, term, distance: every known term within so many edits of each query, the query itself left out.
+
+    Both sides meet on equal remains, and those that meet and are of about one length are compared. Terms are letters by
+    code point; null terms meet nothing, and repeated ones count once.
+    """
+    left = asked.select(F.col("term").alias("query")).filter("query is not null").distinct()
+    right = known.select("term").filter("term is not null").distinct()
+    keys = lambda rows, c: rows.select(c, F.explode(remains(F.col(c), within)).alias("key"))
+    met = keys(left, "query").join(keys(right, "term"), "key").filter((F.col("query") != F.col("term")) & (F.abs(F.length("query") - F.length("term")) <= within))
+    scored = met.select("query", "term").distinct().withColumn("distance", F.levenshtein("query", "term").cast("long"))
+    return scored.filter(F.col("distance") <= within)
+
+
 def discover(docs: DataFrame, keywords: str, key: str, text: str = "text", most: int = 10) -> DataFrame:
     """kind, channel, term, df, score: CONFIRMED words of the probe, TERMs that go with them, DIAGNOSTIC for unknown words.
 
