@@ -6,8 +6,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import scalars
-from ..operators import graphs, joins, memory, ranking, rollups, timejoins
-from ..operators.lineage import settle
+from ..operators import graphs, joins, memory, ranking, rollups, sketches, timejoins
+from ..operators.lineage import fresh_dir, settle
 from ..sources import bindings as B
 from . import query
 
@@ -291,6 +291,26 @@ def _(spark, d):
 # -- aggregation ------------------------------------------------------------------------------------------------------
 
 
+@query(
+    "x_sketch_rollup",
+    "SELECT 2 - (grouping(lang) + grouping(source)) AS level, lang, source, count(text) AS n, true AS distinct_near, true AS rank_near FROM documents GROUP BY GROUPING SETS ((lang, source), (lang), ())",
+)
+def _(spark, d):
+    """Distinct texts and the median of their lengths by language and source, from stored sketches, at three levels; held against the rows."""
+    rows = T(spark, d, "documents").select("lang", "source", F.xxhash64("text").alias("h"), "text", F.length("text").alias("size"))
+    rows = rows.withColumn("h", F.when(F.col("text").isNotNull(), F.col("h"))).drop("text")
+    at = fresh_dir(spark, "sketches")
+    sketches.sketched(rows, ["lang", "source"], F.col("h"), F.col("size")).write.parquet(at)
+    stored, out = spark.read.parquet(at), None
+    for by in (["lang", "source"], ["lang"], []):
+        told = sketches.estimated(sketches.rolled(stored, by), by, {"median": 0.5})
+        near = sketches.verified(rows, told, by, F.col("h"), F.col("size"), "median", 0.5)
+        missing = [F.lit(None).cast("string").alias(c) for c in ("lang", "source") if c not in by]
+        part = near.select(F.lit(len(by)).cast("long").alias("level"), "*", *missing)
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 @query("a01_count_by_group", "SELECT source, count(*) AS n FROM documents GROUP BY source")
 def _(spark, d):
     return T(spark, d, "documents").groupBy("source").agg(F.count("*").alias("n")).orderBy(F.col("n").desc_nulls_last(), F.col("source").asc_nulls_last())
