@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import col, settle
+from .common import col, settle, spread
 
 #: Buckets of the n-grams, and the longest run of words.
 BUCKETS, RUN = 10_000, 2
@@ -109,7 +109,8 @@ def resampled(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text:
     come after others of their score. Rows of one id and score are ranked by their features. An empty target
     gives gains by the documents alone, an empty table gives an empty one; extra columns play no part.
     """
-    scored = weights(docs, gains(docs, target, text, target_text), id_col, text)
+    docs = spread(docs.select(col(id_col), col(text)))
+    scored = weights(docs, gains(docs, spread(target.select(col(target_text))), text, target_text), id_col, text)
     scored = scored.withColumn("score", F.col("weight") + gumbel(col(id_col), seed)).withColumn("__able", F.col("n_words") >= least_words)
     order = [F.col("__able").desc(), F.col("score").desc(), col(id_col).asc_nulls_last(), F.col("n_features").asc()]
     placed = ranked(scored, order)
