@@ -161,7 +161,7 @@ class GramIndex(Segments):
         return {"name": name, "folders": folders, "docs": n_docs, "sized": n_docs, "words": 0, "dead": []}
 
     def _blocks(self, segment: dict, named: list[str]) -> DataFrame:
-        rows = self.spark.read.parquet(f"{self.path}/{segment['name']}/grams")
+        rows = self._read(segment, "grams", "gram string, r int, docs int")
         return rows.filter(F.col("bucket").isin(sorted({crc32(g.encode()) % segment["folders"] for g in named})) & F.col("gram").isin(named))
 
     def candidates(self, needs: Needs) -> DataFrame:

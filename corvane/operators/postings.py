@@ -84,6 +84,11 @@ class Segments:
         self._commit([*(s for s in out if s["docs"]), new])
         return self
 
+    def _read(self, segment: dict, table: str, schema: str) -> DataFrame:
+        """A table of a segment that is written by folders, which leaves no file to take its columns from when it is empty."""
+        key = self.spark.read.parquet(f"{self.path}/{segment['name']}/rows").schema["k"].dataType.simpleString()
+        return self.spark.read.schema(f"{schema}, keys array<{key}>, bucket int").parquet(f"{self.path}/{segment['name']}/{table}")
+
     def _alive(self, rows: DataFrame, segment: dict) -> DataFrame:
         """Rows (k, ...) without those that a later segment replaces."""
         if not segment["dead"]:
@@ -141,7 +146,7 @@ class TextIndex(Segments):
 
     def blocks(self, segment: dict, words: list[str]) -> DataFrame:
         """The blocks of these words alone: their folders by partition, their rows by statistics of the files."""
-        rows = self.spark.read.parquet(f"{self.path}/{segment['name']}/terms")
+        rows = self._read(segment, "terms", "term string, r int, most_tf int, least_n int, docs int, tf array<int>, n array<int>")
         return rows.filter(F.col("bucket").isin(sorted({crc32(w.encode()) % segment["folders"] for w in words})) & F.col("term").isin(words))
 
     def _postings(self, blocks: DataFrame, segment: dict) -> DataFrame:
@@ -226,7 +231,7 @@ class TextIndex(Segments):
         weight = F.create_map(*(F.lit(x) for d, v in wanted.items() for x in (d, v / size)))
         parts = []
         for s in self.segments:
-            rows = self.spark.read.parquet(f"{self.path}/{s['name']}/dims").filter(F.col("bucket").isin(sorted({x % s["folders"] for x in wanted})) & F.col("dim").isin(sorted(wanted)))
+            rows = self._read(s, "dims", "dim int, r int, weight array<double>").filter(F.col("bucket").isin(sorted({x % s["folders"] for x in wanted})) & F.col("dim").isin(sorted(wanted)))
             each = rows.select("dim", F.explode(F.arrays_zip("keys", "weight")).alias("p")).select("dim", F.col("p.keys").alias("k"), F.col("p.weight").alias("v"))
             parts.append(self._alive(each, s))
         cosine = F.sum(F.col("v") * F.try_element_at(weight, F.col("dim")))

@@ -110,3 +110,9 @@ def test_changed_texts(spark, df, tmp_path):
     for pattern in ("kingfisher", "needle", "heron"):
         assert own.grep(now, pattern, most=500).collect() == search.grep(now, pattern, most=500).collect()
     assert own.share("needle").first().asDict() == {"pattern": "needle", "texts": 125, "compared": 1}
+
+
+def test_nothing_indexed(spark, df, tmp_path):
+    none = df.limit(0)
+    empty = grams.GramIndex(spark, str(tmp_path)).build(none)
+    assert empty.grep(none, "needle").collect() == [] and empty.share("needle").first()["compared"] == 0
