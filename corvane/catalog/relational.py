@@ -6,7 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import scalars
-from ..operators import graphs, joins, memory, ranking, rollups, sketches, timejoins
+from ..operators import graphs, joins, memory, ranking, rollups, sketches, summaries, timejoins
 from ..operators.lineage import fresh_dir, settle
 from ..sources import bindings as B
 from . import query
@@ -652,6 +652,34 @@ def _(spark, d):
     return T(spark, d, "documents").select("doc_id", scalars.headline(F.col("text")).alias("headline"))
 
 
+def _walk_sql() -> str:
+    """The walk of operators.summaries in SQL, a step a table."""
+    words = lambda t: rf"list_distinct(regexp_extract_all(translate({t}, '{summaries.UPPER}', '{summaries.LOWER}'), '{summaries.WORD}'))"
+    parts = [
+        "n AS (SELECT count(*) AS n FROM documents)",
+        f"df AS (SELECT word, count(*) AS df FROM (SELECT unnest({words('text')}) AS word FROM documents) GROUP BY word)",
+        "g AS (SELECT word, floor(1000 * ln(1 + n::DOUBLE / df))::BIGINT AS g FROM df, n)",
+        r"p AS (SELECT doc_id, string_split(regexp_replace(text, '([.!?])[ \t]+', '\1' || chr(10), 'g'), chr(10)) AS list FROM documents)",
+        "s AS (SELECT doc_id, unnest(list) AS piece, generate_subscripts(list, 1)::BIGINT - 1 AS s FROM p)",
+        f"w AS (SELECT doc_id, s, unnest({words('piece')}) AS word FROM s)",
+        f"r0 AS (SELECT doc_id, s, word, g, count(*) OVER (PARTITION BY doc_id, word) AS shared, sum(g) OVER (PARTITION BY doc_id, s)::BIGINT AS total, {summaries.START}::BIGINT AS r FROM w JOIN g USING (word))",
+    ]
+    for i in range(summaries.STEPS):
+        got = f"SELECT * REPLACE (sum(r * g // total) OVER (PARTITION BY doc_id, word)::BIGINT // shared AS r) FROM r{i}"
+        parts.append(f"r{i + 1} AS (SELECT * REPLACE ({summaries.START * (1000 - summaries.FOLLOWED) // 1000} + sum(r) OVER (PARTITION BY doc_id, s)::BIGINT * {summaries.FOLLOWED} // 1000 AS r) FROM ({got}))")
+    return "WITH " + ", ".join(parts) + f", f AS (SELECT DISTINCT doc_id, s AS ordinal, r AS score FROM r{summaries.STEPS})"
+
+
+@query("f20_sentence_ranks", _walk_sql() + " SELECT doc_id, ordinal, score, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, ordinal) <= 3 AS picked FROM f")
+def _(spark, d):
+    return summaries.picked(summaries.ranked(T(spark, d, "documents"), "doc_id"), "doc_id")
+
+
+@query("f20_summaries", _walk_sql() + ", k AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, ordinal) AS place FROM f) SELECT doc_id, summary FROM documents LEFT JOIN (SELECT k.doc_id, string_agg(trim(piece), ' ' ORDER BY ordinal) AS summary FROM k JOIN s ON s.doc_id = k.doc_id AND s.s = k.ordinal WHERE place <= 3 GROUP BY k.doc_id) USING (doc_id)")
+def _(spark, d):
+    return summaries.summaries(T(spark, d, "documents"), "doc_id")
+
+
 @query("f21_ages", "SELECT event_id, ((epoch_us(TIMESTAMP '2024-02-01') // 1000) - (epoch_us(ts) // 1000))::BIGINT AS waiting_ms, (ts::DATE + 30)::VARCHAR AS expires FROM events")
 def _(spark, d):
     t = F.col("ts").cast("timestamp")

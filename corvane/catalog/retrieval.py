@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars
 from ..functions.address import in_scope
-from ..operators import joins, retrieve
+from ..operators import diffs, joins, retrieve
 from ..sources import bindings as B
 from . import query
 from .addresses import LINES
@@ -139,6 +139,19 @@ def _(spark, d):
     return retrieve.patches(pairs, "doc_id", "text", "new").select("doc_id", "insertions", "deletions")
 
 
+@query("s33_copies_diff")
+def _(spark, d):
+    """Every document against the least id of those that share its longest line (of equal ones the first): hunks, insertions and deletions."""
+    docs = T(spark, d, "documents").filter("text is not null").select("doc_id", "text")
+    size = F.transform(F.split("text", "\n"), lambda x: F.length(x))
+    longest = F.element_at(F.split("text", "\n"), F.array_position(size, F.array_max(size)).cast("int"))
+    rows = docs.select("doc_id", F.sha2(longest, 256).alias("h"))
+    base = rows.groupBy("h").agg(F.min("doc_id").alias("base_id"))
+    later = rows.join(base, "h").filter("doc_id <> base_id").select("doc_id", "base_id")
+    pairs = later.join(docs, "doc_id").join(docs.select(F.col("doc_id").alias("base_id"), F.col("text").alias("before")), "base_id")
+    return diffs.totals(pairs, "doc_id", "before", "text").join(later, "doc_id").select("doc_id", "base_id", "hunks", "insertions", "deletions")
+
+
 @query("s34_git_status", f"SELECT o_orderkey AS entry, {STATUS} AS changelist FROM orders")
 def _(spark, d):
     return _status(spark, d).select("entry", "changelist")
