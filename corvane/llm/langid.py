@@ -28,8 +28,10 @@ LEAST_UPDATES = 500
 #: A batch of the pass over all documents: pieces in the order of the rows, mixed within a pool of POOL, and beside them
 #: AGAIN pieces of the sample, so that rows sorted by language don't make it forget the others.
 STREAM, AGAIN, POOL, STREAM_RATE = 384, 128, 8192, 0.003
-#: Batches of a task, at least: rows that fit into one pool are gone through more often.
+#: Batches of a lane, at least: rows that fit into one pool are gone through more often.
 LEAST_STEPS = 100
+#: Bytes of a lane of the pass over all documents, and lanes, at most: beyond their product lanes grow.
+LANE, MOST_LANES = 2 << 20, 50_000
 #: Weights times pieces are summed as whole numbers of this fraction: sums are exact, in any order.
 UNIT = 1 << 16
 #: least_score() counts held-out scores by this fraction.
@@ -360,22 +362,26 @@ def _coded(labelled: list[tuple[str, bytes]], langs: list[str], width: int) -> t
 
 
 def chunks(rows: DataFrame) -> DataFrame:
-    """lang, b: every byte of the texts b in order, in rows of CHUNK bytes at most; empty texts have none."""
+    """rows with n and b: every byte of the texts b in order, in rows of CHUNK bytes at most, n from 0; empty texts have none."""
     cut = lambda b: F.transform(F.sequence(F.lit(0), F.floor((F.octet_length(b) - 1) / CHUNK).cast("int")), lambda k: F.substring(b, k * CHUNK + 1, F.lit(CHUNK)))
     whole = F.array(F.col("b"))  # encodes each text once
-    return rows.filter(F.octet_length("b") > 0).select("lang", F.explode(F.flatten(F.transform(whole, cut))).alias("b"))
+    others = [c for c in rows.columns if c != "b"]
+    return rows.filter(F.octet_length("b") > 0).select(*others, F.posexplode(F.flatten(F.transform(whole, cut))).alias("n", "b"))
 
 
 def learn(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> BiGru | None:
     """The network learned from every byte of every labelled document that is not held out; none of them gives none.
 
-    A bounded sample only sets the weights to begin with. From there every task follows all of its rows (BiGru.follow),
-    and the weights are the mean over tasks by pieces, summed exactly; they depend on how the files are divided into
-    tasks and not on the order in which tasks end. Every language with a text is learned, and each row counts.
+    A bounded sample only sets the weights to begin with. From there all rows are dealt to lanes, whose number follows
+    from their bytes, by a hash of id, place and bytes, which is also their order in the lane. A task follows each lane
+    (BiGru.follow), and the weights are the mean over lanes by pieces, summed exactly. So they depend on the rows alone: not on
+    files, cores or the order in which tasks end, and a lane that is run again gives the same. Every language with a text
+    is learned, each row counts, and copies under other ids spread over the lanes.
     """
     rows = _labelled(docs, id_col, text_col, lang_col, False)
     first = sample(docs, id_col, text_col, lang_col)
-    missing = {r["lang"] for r in rows.select("lang").distinct().collect()} - {lang for lang, _ in first}
+    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.sum(F.octet_length("t")).alias("n")).collect()}  # a row a language
+    missing = set(sizes) - {lang for lang, _ in first}
     if missing:  # a language of which the sample has empty texts only
         first += sample(rows.filter(F.col("lang").isin(*missing)), "i", "t", "lang")
     model = train(first)
@@ -393,7 +399,9 @@ def learn(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> BiGru |
             sums = np.concatenate([[seen], np.rint(flat * seen * UNIT)]).astype(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(-1, len(flat), dtype=np.int32)), pa.array(sums)], ["i", "v"])
 
-    parts = chunks(spread(rows.select("lang", F.encode("t", "utf-8").alias("b")))).mapInArrow(followed, "i int, v long")
+    dealt = chunks(rows.select("i", "lang", F.encode("t", "utf-8").alias("b"))).select("lang", "b", F.xxhash64("i", "n", "b").alias("h"))
+    lanes = max(1, min(MOST_LANES, -(-sum(sizes.values()) // LANE)))
+    parts = dealt.repartition(lanes, "h").sortWithinPartitions("h", "lang", "b").select("lang", "b").mapInArrow(followed, "i int, v long")
     sums = {r["i"]: r["v"] for r in parts.groupBy("i").agg(F.sum("v").alias("v")).collect()}  # a row a weight
     if not sums:
         return model

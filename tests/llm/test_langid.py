@@ -139,6 +139,13 @@ def test_every_piece_of_every_labelled_text_is_learned(spark):
     assert all((model.p[k] == again.p[k]).all() for k in model.p)
 
 
+def test_the_network_hangs_on_the_rows_and_not_on_their_division(spark, corpus, monkeypatch):
+    monkeypatch.setattr(langid, "LANE", 4096)
+    docs = spark.createDataFrame(corpus + corpus[:9], "doc_id long, text string, lang string")
+    one, many = (langid.learn(rows, "doc_id", "text", "lang") for rows in (docs.coalesce(1), docs.orderBy(F.xxhash64("text")).repartition(11)))
+    assert all((one.p[k] == many.p[k]).all() for k in one.p)
+
+
 def test_a_pass_takes_every_piece_and_keeps_languages_that_are_not_in_it():
     rng = random.Random(3)
     pieces = [(lang, speak(rng, lang, 40).encode()[:96]) for lang in ("xx", "yy", "zz") * 60]
