@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 import math
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache, reduce
 from uuid import uuid4
 from zlib import crc32
@@ -22,6 +22,8 @@ from .lineage import settle, spread
 RANGE, FOLDER, FOLDERS = 4096, 100_000, 1024
 #: Ranges whose documents are scored first, for a bound that other ranges have to reach.
 FIRST = 8
+#: Texts whose words are Python objects at one time, and words whose place in the hashed vector a worker remembers.
+SLICE, PLACES = 256, 50_000
 
 
 class Segments:
@@ -97,6 +99,27 @@ class Segments:
         return rows.join(gone, "k", "left_anti")
 
 
+def postings_of(texts: pa.Array, place: Callable[[str], tuple[int, int]]) -> pa.Array:
+    """The terms and dims of texts, given as lists of words. Columns are filled with plain values, so a posting is no object of its own."""
+    ends, words, tf, places, dims, weights = [0], [], [], [0], [], []
+    for text in texts:
+        counts, vector = Counter(text.as_py() or ()), Counter()
+        for word, n in counts.items():
+            dim, sign = place(word)
+            vector[dim] += sign * (1 + math.log(n))
+        length = math.sqrt(sum(v * v for v in vector.values()))
+        words += counts.keys()
+        tf += counts.values()
+        ends.append(len(words))
+        held = [d for d, v in vector.items() if v]
+        dims += held
+        weights += [vector[d] / length for d in held]
+        places.append(len(dims))
+    lists = lambda at, **c: pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.StructArray.from_arrays(list(c.values()), list(c)))
+    terms = lists(ends, term=pa.array(words, pa.string()), tf=pa.array(tf, pa.int32()))
+    return pa.StructArray.from_arrays([terms, lists(places, dim=pa.array(dims, pa.int32()), weight=pa.array(weights, pa.float64()))], ["terms", "dims"])
+
+
 class TextIndex(Segments):
     """Postings of documents.
 
@@ -112,20 +135,10 @@ class TextIndex(Segments):
 
         @F.arrow_udf("terms array<struct<term: string, tf: int>>, dims array<struct<dim: int, weight: double>>")
         def counted(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-            place = lru_cache(maxsize=200_000)(search.place_of)
+            place = lru_cache(maxsize=PLACES)(search.place_of)
             for batch in batches:
-                terms, dims = [], []
-                for words in batch.to_pylist():
-                    counts, vector = Counter(words or ()), Counter()
-                    for word, n in counts.items():
-                        dim, sign = place(word)
-                        vector[dim] += sign * (1 + math.log(n))
-                    length = math.sqrt(sum(v * v for v in vector.values()))
-                    terms.append([{"term": t, "tf": n} for t, n in counts.items()])
-                    dims.append([{"dim": d, "weight": v / length} for d, v in vector.items() if v])
-                yield pa.StructArray.from_arrays(
-                    [pa.array(terms, pa.list_(pa.struct([("term", pa.string()), ("tf", pa.int32())]))), pa.array(dims, pa.list_(pa.struct([("dim", pa.int32()), ("weight", pa.float64())])))], ["terms", "dims"]
-                )
+                for i in range(0, len(batch), SLICE):
+                    yield postings_of(batch[i : i + SLICE], place)
 
         rows = spread(docs.select(F.col(self.key).alias("k"), joins.tokens(F.col(self.text)).alias("w")))
         r = F.pmod(F.xxhash64("k"), F.lit(ranges)).cast("int")
