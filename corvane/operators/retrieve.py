@@ -99,8 +99,15 @@ def blame_totals(blamed: DataFrame, by: str, hash_: str = "hash") -> DataFrame:
     return blamed.groupBy(by).agg(F.count("*").alias("total_lines"), F.count_distinct(hash_).alias("commits"))
 
 
+#: Changes that one task counts distinct commits and authors of, about, before it passes them on.
+TASK_CHANGES = 1_000_000
+
+
 def hotspots(commits: DataFrame, changes: DataFrame, most: int) -> DataFrame:
-    rows = changes.join(commits, "hash").groupBy("file").agg(F.count_distinct("hash").alias("commits"), F.count_distinct("author").alias("authors"))
+    """file, commits, authors of the files that changed most. Distinct values hardly shrink within a task, so the changes are
+    counted first and dealt by commit to tasks of about TASK_CHANGES, however large the input."""
+    parts = max(1, -(-changes.count() // TASK_CHANGES))
+    rows = changes.repartition(parts, "hash").join(commits, "hash").groupBy("file").agg(F.count_distinct("hash").alias("commits"), F.count_distinct("author").alias("authors"))
     return rows.orderBy(F.col("commits").desc(), F.col("authors").desc(), "file").limit(most)
 
 
