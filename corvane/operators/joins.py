@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import pandas as pd
@@ -36,21 +37,28 @@ def prefix_counts(mounts: DataFrame, files: DataFrame, keys: dict[str, Column],
 
 #: Items of one key that one task pairs with as many others.
 BLOCK_ITEMS = 2_000
+#: Pairs that one task makes, about, and adds up before it passes them on.
+TASK_PAIRS = 1_000_000
 
 
 def co_change(changes: DataFrame, key: str = "hash", item: str = "file") -> DataFrame:
     """Pairs of items that change under one key, each once, with the number of keys. Rows are distinct (key, item).
 
     The items of a key are dealt to blocks of about BLOCK_ITEMS by a hash, and pairs meet by pairs of blocks, so a key
-    of any number of items is many tasks' work; the pairs themselves are what was asked for.
+    of any number of items is many tasks' work; the pairs themselves are what was asked for. Pairs are many more than
+    items, so they are counted first and decide over how many tasks the items and the sums are dealt: a task holds
+    about TASK_PAIRS, however large the input.
     """
-    sizes = changes.groupBy(F.col(key).alias("k")).agg(F.ceil(F.count("*") / BLOCK_ITEMS).alias("blocks"))
+    counted = changes.groupBy(F.col(key).alias("k")).agg(F.count("*").alias("n"))
+    pairs = counted.agg(F.sum(F.col("n").cast("double") * (F.col("n") - 1) / 2).alias("n")).first()["n"] or 0
+    parts = max(1, math.ceil(pairs / TASK_PAIRS))
+    sizes = counted.select("k", F.ceil(F.col("n") / BLOCK_ITEMS).alias("blocks"))
     held = changes.select(F.col(key).alias("k"), F.col(item).alias("i")).join(sizes, "k")
     held = held.withColumn("own", F.pmod(F.xxhash64("i"), F.col("blocks")))
-    meets = lambda name, pair: held.select("k", F.col("i").alias(name), F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), pair)).alias("at"))
+    meets = lambda name, pair: held.select("k", F.col("i").alias(name), F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), pair)).alias("at")).repartition(parts, "k", "at")
     a = meets("a", lambda o: F.struct(F.col("own").alias("x"), o.alias("y")))
     b = meets("b", lambda o: F.struct(o.alias("x"), F.col("own").alias("y")))
-    return a.join(b, ["k", "at"]).filter("a < b").groupBy("a", "b").agg(F.count("*").alias("together"))
+    return a.join(b.hint("merge"), ["k", "at"]).filter("a < b").groupBy("a", "b").agg(F.count("*").alias("together"))
 
 
 def _bucket(uri: Column, depth: int) -> Column:
