@@ -116,3 +116,29 @@ def test_nothing_indexed(spark, df, tmp_path):
     none = df.limit(0)
     empty = grams.GramIndex(spark, str(tmp_path)).build(none)
     assert empty.grep(none, "needle").collect() == [] and empty.share("needle").first()["compared"] == 0
+
+
+def test_short_ranges_and_long_texts_in_steps(spark, df, tmp_path, monkeypatch):
+    monkeypatch.setattr(grams, "RANGE", 7)
+    monkeypatch.setattr(grams, "POSTINGS", 400)
+    monkeypatch.setattr(grams, "STEP", 5)
+    own = grams.GramIndex(spark, str(tmp_path)).build(df)
+    blocks = spark.read.parquet(f"{tmp_path}/{own.segments[0]['name']}/grams")
+    assert blocks.select("r").distinct().count() > 124 // 7 and blocks.groupBy("gram", "r").count().filter("count > 1").isEmpty()
+    for pattern, is_regex, case in PATTERNS:
+        assert own.grep(df, pattern, is_regex, 200, case).collect() == search.grep(df, pattern, is_regex, 200, case).collect()
+
+
+@pytest.mark.parametrize("text", ["", "ab", "abc", "abcabc", "é abc\nde f\n\nghé i", "x" * 50, "her\non heron"])
+def test_numbers_of_trigrams(text, monkeypatch):
+    for step in (1, 3, 1 << 20):
+        monkeypatch.setattr(grams, "STEP", step)
+        assert {chr(c >> 14) + chr(c >> 7 & 127) + chr(c & 127) for c in grams.codes(text.encode()).tolist()} == grams.grams(text)
+
+
+def test_keys_are_not_repeated_for_each_trigram(spark, tmp_path):
+    rng = random.Random(4)
+    rows = [("".join(rng.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(2000)), " ".join(str(rng.random()) for _ in range(5))) for _ in range(200)]
+    own = grams.GramIndex(spark, str(tmp_path)).build(spark.createDataFrame(rows, "uri string, text string").repartition(2))
+    held = sum(p.stat().st_size for p in (tmp_path / own.segments[0]["name"] / "grams").rglob("*.parquet"))
+    assert held < 200_000 and own.share("0.").first()["texts"] == 200
